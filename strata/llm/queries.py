@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import chat, classifier, decontaminate, rules, secrets
 from .common import joined_digest, table
 
 
@@ -24,7 +24,77 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    made = chat.format_chat(rows)
+    back = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("learned"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        joined_digest(lines, "").alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = rules.apply_rules(docs, with_text=False)
+    return got.select("doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    texts = lambda spans: F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+    known = F.filter("secrets", lambda s: s["kind"] != "random")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return got.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        joined_digest(texts(known), ",").alias("base_sha256"),
+        F.array_join(texts(F.col("secrets")), ",").alias("spans"),
+    )
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    got = classifier.classify(docs, net)
+    return got.select(
+        "doc_id",
+        classifier.held_out().alias("held_out"),
+        "judged.score",
+        (F.col("judged.score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_chat_format": op2_chat_format,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_quality_classifier": op9_quality_classifier,
+}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), sized AS (
+            SELECT *, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g'))
+                + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + 4 + 2 + 8 AS chars
+            FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            sum(chars)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
 }
-ORACLES: dict[str, str] = {}
