@@ -1,8 +1,8 @@
 """Quality rules, line first: clean each line, then judge what is left of the document.
 
 Every line is held against rules for punctuation, navigation and boilerplate. Lines that
-fail any rule are removed. A document that loses more than ``MAX_LOST`` of its word
-characters, or keeps fewer than ``MIN_WORDS`` words, is rejected.
+fail any rule are removed. A document that loses more than ``MAX_LOST`` of the bytes of its
+words, or keeps fewer than ``MIN_WORDS`` words, is rejected.
 
 Defined results. Words are runs of characters other than ASCII white space. Null text:
 no words, rejected. Lines without a word are neither judged nor counted. Repeated
@@ -21,18 +21,22 @@ from pyspark.sql import types as T
 from .common import with_struct
 
 #: Fixed values of the base rules.
-MIN_WORDS, MAX_REPEATED_PERCENT, SYMBOLS = 50, 50, "#*$%&|<>"
-#: Fixed values of the line rules.
-SPACES = " \t\n\x0b\x0c\r"
-NAVIGATION = ("|", "»", "›", "→", "•", "·")
-LINK_WORDS = ("home", "login", "log in", "sign in", "sign up", "menu", "next", "previous", "share", "tweet", "search", "contact", "sitemap", "subscribe")
-BOILERPLATE = re.compile(
-    r"all rights reserved|©|copyright \(c\)|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|"
-    r"enable javascript|javascript is (?:disabled|required)|lorem ipsum|read more|click here|subscribe to (?:our|the)|"
-    r"licensed under the|powered by|skip to (?:main )?content",
-    re.IGNORECASE,
-)
+MIN_WORDS, MAX_REPEATED_PERCENT, SYMBOLS = 50, 50, b"#*$%&|<>"
+#: Fixed values of the line rules; texts are UTF-8 bytes throughout.
+SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+NAVIGATION = tuple(c.encode() for c in "|»›→•·")
+LINK_WORDS = frozenset(b"home,login,log in,sign in,sign up,menu,next,previous,share,tweet,search,contact,sitemap,subscribe".split(b","))
+BOILERPLATE = tuple(
+    x.encode()
+    for x in (
+        "all rights reserved", "©", "copyright (c)", "terms of use", "terms of service", "privacy policy", "cookie policy",
+        "accept cookies", "accept all cookies", "enable javascript", "javascript is disabled", "javascript is required",
+        "lorem ipsum", "read more", "click here", "subscribe to our", "subscribe to the", "licensed under the", "powered by",
+        "skip to content", "skip to main content",
+    )
+)
 MAX_SYMBOL_SHARE, MAX_LINE_REPEAT, MAX_LOST = 0.10, 0.5, 0.40
+PLAIN = re.compile(rb"[0-9A-Za-z]")
 
 VERDICT = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -40,76 +44,80 @@ VERDICT = T.StructType(
 )
 
 
-def repeated_words(words: list[str]) -> int:
+def repeated_words(words: list[bytes]) -> int:
     """Words in three-word windows that occur twice or more in ``words``."""
     n = len(words)
     if n < 4:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, n)
     v = len(number)
     pairs = ids[:-1] * v + ids[1:]
     if v >= 2_000_000:  # v cubed must stay below 2^63
         pairs = np.unique(pairs, return_inverse=True)[1]
     keys = pairs[:-1] * v + ids[2:]
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    ranked = np.sort(keys)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(twice):
+        return 0
+    found = np.isin(keys, twice)
     hit = np.zeros(n, bool)
     for j in range(3):
-        hit[j : j + len(keys)] |= twice
+        hit[j : j + len(keys)] |= found
     return int(hit.sum())
 
 
-def line_fails(line: str, words: list[str]) -> str | None:
-    """The rule that removes the line, or None."""
-    size = sum(map(len, words))
-    symbols = sum(map(line.count, SYMBOLS))
-    if symbols > MAX_SYMBOL_SHARE * size:
+def line_fails(line: bytes, words: list[bytes], navigation: bool = True, boilerplate: bool = True, repeats: int | None = None) -> str | None:
+    """The rule that removes the line, or None.
+
+    ``navigation`` and ``boilerplate`` are false, and ``repeats`` is small, where the
+    whole text has shown that these rules can't apply.
+    """
+    symbols = len(line) - len(line.translate(None, SYMBOLS))
+    if symbols and symbols > MAX_SYMBOL_SHARE * sum(map(len, words)):
         return "punctuation"
-    if not any(map(str.isalnum, line)):
+    if not PLAIN.search(line) and not any(map(str.isalnum, line.decode("utf-8"))):
         return "punctuation"
-    if len(words) >= 3 and sum(map(line.count, NAVIGATION)) * 3 >= len(words):
+    if navigation and len(words) >= 3 and sum(map(line.count, NAVIGATION)) * 3 >= len(words):
         return "navigation"
-    low = line.strip(SPACES).lower()
-    if len(words) <= 3 and low.rstrip(" >:.!") in LINK_WORDS:
+    if len(words) <= 3 and b" ".join(words).lower().rstrip(b" >:.!") in LINK_WORDS:
         return "navigation"
-    if BOILERPLATE.search(line):
-        return "boilerplate"
-    if len(words) >= 10 and repeated_words(words) > MAX_LINE_REPEAT * len(words):
+    if boilerplate:
+        low = line.lower()
+        if any(x in low for x in BOILERPLATE):
+            return "boilerplate"
+    least = MAX_LINE_REPEAT * len(words)
+    if len(words) >= 10 and (repeats is None or repeats > least) and repeated_words(words) > least:
         return "repetition"
     return None
 
 
-def judge(text: str) -> tuple:
-    words = text.translate(_TO_SPACE).split(" ") if text else []
-    words = [w for w in words if w]
-    n_words, word_chars = len(words), sum(map(len, words))
-    n_symbols = sum(map(text.count, SYMBOLS))
-    seen: set[str] = set()
-    n_dup, kept, kept_chars, kept_words = 0, [], 0, 0
-    for line in text.split("\n"):
-        own = [w for w in line.translate(_TO_SPACE).split(" ") if w]
+def judge(text: bytes, with_text: bool = True) -> tuple:
+    words = text.split()  # at ASCII white space
+    n_words = len(words)
+    low = text.lower()  # A-Z only
+    word_chars = len(text.decode("utf-8")) - sum(map(text.count, SPACES))
+    word_bytes = sum(map(len, words))
+    n_symbols = len(text) - len(text.translate(None, SYMBOLS))
+    n_repeat = repeated_words(words)
+    navigation = any(c in text for c in NAVIGATION)
+    boilerplate = any(x in low for x in BOILERPLATE)
+    seen: set[bytes] = set()
+    n_dup, kept, kept_bytes, kept_words = 0, [], 0, 0
+    for line in text.split(b"\n"):
+        own = line.split()
         if not own:
             kept.append(line)
             continue
-        if line in seen:
-            n_dup += 1
+        n_dup += line in seen
         seen.add(line)
-        if line_fails(line, own) is None:
+        if line_fails(line, own, navigation, boilerplate, n_repeat) is None:
             kept.append(line)
-            kept_chars += sum(map(len, own))
+            kept_bytes += sum(map(len, own))
             kept_words += len(own)
-    n_repeat = repeated_words(words)
     base_failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEATED_PERCENT * n_words
-    good = not base_failed and kept_words >= MIN_WORDS and word_chars - kept_chars <= MAX_LOST * word_chars
-    return n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, good, "\n".join(kept)
-
-
-_TO_SPACE = str.maketrans(dict.fromkeys(SPACES, " "))
+    good = not base_failed and kept_words >= MIN_WORDS and word_bytes - kept_bytes <= MAX_LOST * word_bytes
+    return n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, good, b"\n".join(kept).decode("utf-8") if with_text else None
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", out: str = "rules", with_text: bool = True) -> DataFrame:
@@ -120,10 +128,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", out: str = "rules", wit
     names = VERDICT.names
 
     def work(texts: list[bytes]) -> dict:
-        got = [judge(t.decode("utf-8")) for t in texts]
-        columns = dict(zip(names, zip(*got, strict=True) if got else [[]] * len(names), strict=True))
-        if not with_text:
-            columns["cleaned"] = [None] * len(got)
-        return columns
+        got = [judge(t, with_text) for t in texts]
+        return dict(zip(names, zip(*got, strict=True) if got else [[]] * len(names), strict=True))
 
     return with_struct(docs, text_col, out, VERDICT, lambda: work)

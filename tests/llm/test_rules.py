@@ -34,14 +34,14 @@ def test_counts_equal_brute_force(spark):
 
 def test_lines_and_verdict():
     prose = " ".join(f"word{i} and then, some{i} more." for i in range(20))
-    assert rules.judge(prose)[-2]
+    assert rules.judge(prose.encode())[-2]
     menu = "Home | News | Sport | Weather | Shop | Travel"
-    *_, kept, cleaned = rules.judge(f"{menu}\n{prose}\nAll rights reserved.\nNext >\n%%%% $$$$\n\n")
+    *_, kept, cleaned = rules.judge(f"{menu}\n{prose}\nAll rights reserved.\nNext >\n%%%% $$$$\n\n".encode())
     assert kept and cleaned == f"{prose}\n\n"  # lines without a word stay
-    *_, kept, cleaned = rules.judge("\n".join([menu + str(i) for i in range(60)]))
+    *_, kept, cleaned = rules.judge("\n".join([menu + str(i) for i in range(60)]).encode())
     assert not kept and cleaned == ""
 
 
 def test_very_long_text_and_no_rows(spark):
-    assert rules.judge("ab " * 400_000)[4] == 400_000
+    assert rules.judge(b"ab " * 400_000)[4] == 400_000
     assert rules.apply_rules(spark.createDataFrame([], "text string")).count() == 0
