@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, decontaminate, rules, secrets
+from . import chat, classifier, decontaminate, language_model, packing, rules, secrets, simhash, token_files
 from .common import joined_digest, table
 
 
+#: The queries' tokenizer, which drops white space, and the id that ends a document.
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(TOKENIZER)).read_text(encoding="utf-8")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -41,6 +52,15 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), END_ID, by_words=True, with_ids=False)
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = rules.apply_rules(docs, with_text=False)
@@ -60,6 +80,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -72,12 +97,21 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer(), END_ID, by_words=True)
+    return token_files.read_tokens(written)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_pack": op3_pack,
+    "op4_language_model": op4_language_model,
     "op5_quality_rules": op5_quality_rules,
     "op6_secret_scan": op6_secret_scan,
+    "op8_simhash": op8_simhash,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": r"""
