@@ -43,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import ROWS, by_group, chunks_of, dealt, pack, rows_of, slot, unpack
 from .common import bound_batches, stash
 
 END = np.uint64(0)
@@ -53,45 +54,12 @@ STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 BURN, KEEP, SEED, EXACT = 2, 4, 11, 48
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-ROWS = "bucket long, part int, seq int, blob binary"
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in a compressed blob; whole numbers take as many bytes as they need."""
-    import zstandard
-
-    out = [len(arrays).to_bytes(4, "little")]
-    for a in arrays:
-        if a.dtype.kind in "iu" and a.dtype.itemsize > 1 and len(a) and a.min() >= 0:
-            top = int(a.max())
-            a = a.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
-        out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), np.ascontiguousarray(a).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    at, out = 4, []
-    for _ in range(int.from_bytes(raw[:4], "little")):
-        kind, n = np.dtype(raw[at : at + 4].strip().decode()), int.from_bytes(raw[at + 4 : at + 12], "little")
-        out.append(np.frombuffer(raw, kind, n, at + 12))
-        at += 12 + n * kind.itemsize
-    return out
-
-
 def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     mixed = context * np.uint64(0x9E3779B97F4A7C15) ^ (word * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
     mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     return mixed ^ mixed >> np.uint64(29)
 
 
-def slot(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One of ``n`` slots by the high bits: sorted hashes have sorted slots."""
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 class Chunk:
     """Documents as numbers of the chunk's own words; 0 is the end, and the context of a first word."""
 
@@ -242,69 +210,29 @@ def discount_of(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones and twos else 0.5
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[bytes]]]:
-    ids: list = []
-    texts: list[bytes] = []
-    size = 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "part", "seq", "blob"])
-
-
 def _send(docs: DataFrame, buckets: int, with_docs: bool, chunk_bytes: int, common_from: int) -> DataFrame:
     """Packed pairs of every chunk, by bucket; with documents, also a row about each chunk (seq < 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, (ids, texts) in enumerate(_chunks(batches, chunk_bytes)):
+        for seq, (ids, texts) in enumerate(chunks_of(batches, chunk_bytes)):
             held = np.array([is_held_out(i) for i in ids])
             chunk = Chunk(texts, ~held)
             del texts
             for bucket, blob in chunk.sent(buckets, with_docs, common_from):
-                yield _rows([(bucket, part, seq, blob)])
+                yield rows_of([(bucket, part, seq, blob)])
             if with_docs:
                 known = np.array([i is not None for i in ids])
                 about = pack(np.array([i or 0 for i in ids], np.int64), known, held, chunk.lengths, *chunk.common_counts(), np.array([len(chunk.common)]))
-                yield _rows([((part * 7919 + seq) % buckets, part, -1 - seq, about)])
+                yield rows_of([((part * 7919 + seq) % buckets, part, -1 - seq, about)])
 
     return docs.mapInArrow(run, ROWS)
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows whose first ``width`` columns are equal; input is sorted."""
-    key, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:width] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row[:width], []
-            rows.append(row)
-    if rows:
-        yield key, rows
-
-
-def _dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    return rows.repartition(n, keys[0]).sortWithinPartitions(*keys)
-
-
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, tokens_per_bucket: int = TOKENS_PER_BUCKET, chunk_bytes: int = CHUNK_BYTES, common_from: int = COMMON) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -314,20 +242,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = int(size // 6 // tokens_per_bucket) + 1
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), group in _by_group(batches, 1):
+        for (bucket,), group in by_group(batches, 1):
             pairs = Pairs([unpack(r[3]) for r in group])
             sums, to = pairs.sums(), slot(pairs.words, buckets)
             ends = np.searchsorted(to, np.arange(buckets + 1))
             ones = np.array([(pairs.c == 1).sum(), (pairs.c == 2).sum(), 0])
             for k in np.flatnonzero(np.diff(ends)):
                 cut = slice(ends[k], ends[k + 1])
-                yield _rows([(int(k), int(bucket), 0, pack(pairs.words[cut], *(s[cut] for s in sums), ones))])
+                yield rows_of([(int(k), int(bucket), 0, pack(pairs.words[cut], *(s[cut] for s in sums), ones))])
                 ones = np.zeros(3, np.int64)
 
-    asked = _dealt(_send(rows, buckets, False, chunk_bytes, common_from), buckets, "bucket", "part", "seq").mapInArrow(add_up, ROWS)
+    asked = dealt(_send(rows, buckets, False, chunk_bytes, common_from), buckets, "bucket", "part", "seq").mapInArrow(add_up, ROWS)
 
     def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (to,), group in _by_group(batches, 1):
+        for (to,), group in by_group(batches, 1):
             blobs = [unpack(r[3]) for r in group]
             words, of = np.unique(np.concatenate([b[0].astype(np.uint64) for b in blobs]), return_inverse=True)
             sums = [np.bincount(of, np.concatenate([b[j] for b in blobs]).astype(float), len(words)) for j in range(1, 5)]
@@ -340,11 +268,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for r, b in zip(group, blobs, strict=True):
                 cut = of[at : at + len(b[0])]
                 at += len(b[0])
-                yield _rows([(r[1], int(to), 0, pack(*(s[cut].astype(np.int64) for s in sums), np.round(own[cut] * KEEP).astype(np.int64)))])
+                yield rows_of([(r[1], int(to), 0, pack(*(s[cut].astype(np.int64) for s in sums), np.round(own[cut] * KEEP).astype(np.int64)))])
             total = np.array([count.sum(), (count > 0).sum(), tables.sum(), own.sum(), (tables == 1).sum(), (tables == 2).sum(), ones[0], ones[1]])
-            yield _rows([(-1, int(to), 0, pack(total))])
+            yield rows_of([(-1, int(to), 0, pack(total))])
 
-    answers = stash(_dealt(asked, buckets, "bucket", "part").mapInArrow(exchange, ROWS), "words")
+    answers = stash(dealt(asked, buckets, "bucket", "part").mapInArrow(exchange, ROWS), "words")
     totals = np.zeros(8)
     for r in answers.filter("bucket = -1").orderBy("part").toLocalIterator():
         totals = totals + unpack(bytes(r.blob))[0]
@@ -353,11 +281,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base_mass = (ROOT_STRENGTH + root_d * own_tables) / (ROOT_STRENGTH + k) / (v + 1) if n else 1.0
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), group in _by_group(batches, 1):
+        for (bucket,), group in by_group(batches, 1):
             answer = [unpack(r[4]) for r in group if r[1] == 0]
             for r in group:
                 if r[3] < 0:
-                    yield _rows([(0, r[2], r[3], r[4])])
+                    yield rows_of([(0, r[2], r[3], r[4])])
             sent = [(r[2], r[3], unpack(r[4])) for r in group if r[1] == 1 and r[3] >= 0]
             if not sent:
                 continue
@@ -373,13 +301,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 docs_, nth = np.unique(b[6].astype(np.int64), return_inverse=True)
                 word = pairs.word[pair]
                 got = (np.bincount(nth, x, len(docs_)) for x in (logp[pair], base[word], known[word]))
-                yield _rows([(0, part, seq, pack(docs_, *got))])
+                yield rows_of([(0, part, seq, pack(docs_, *got))])
 
     both = answers.filter("bucket >= 0").select("bucket", F.lit(0).alias("kind"), "part", "seq", "blob").unionByName(_send(rows, buckets, True, chunk_bytes, common_from).select("bucket", F.lit(1).alias("kind"), "part", "seq", "blob"))
-    sums = _dealt(both, buckets, "bucket", "kind", "part", "seq").mapInArrow(seat, ROWS)
+    sums = dealt(both, buckets, "bucket", "kind", "part", "seq").mapInArrow(seat, ROWS)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _by_group(batches, 2):
+        for _, group in by_group(batches, 2):
             about = next(r for r in group if r[2] < 0)
             ids, has_id, held, lengths, doc, nth, times, common = unpack(about[3])
             score = np.zeros((3, len(ids) + int(common[0])))

@@ -1,19 +1,47 @@
 """Token ids of whole texts, from a tokenizer file of the tokenizers library.
 
-``by_words`` is for tokenizers that drop white space before they split: there a text's
-ids are the ids of its words in order, so each word is encoded once by the library and
-its packed ids are kept. The cache is bounded in words and in their length; it changes
-the time that encoding takes, never the ids. Without ``by_words`` the library encodes
-whole texts.
+``by_words`` is for tokenizers that lower-case, drop white space and then split into
+runs of letters, single digits and runs of other signs, closing each with an end-of-word
+mark: there a text's ids are the ids of its pieces in order, so each piece is encoded
+once by the library and its packed ids are kept. Words of ASCII and common Latin letters
+are split here; other words are left to the library whole. Caches are bounded in entries
+and in their length; they change the time that encoding takes, never the ids. Without
+``by_words`` the library encodes whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-CACHED_WORDS, CACHED_LENGTH = 300_000, 48
+#: Entries of a cache's young generation, and the length from which words aren't kept.
+CACHED, CACHED_LENGTH = 400_000, 48
+#: Letters whose lower case and composition are the same in every Unicode version.
+SIMPLE = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]+")
+#: How such tokenizers split, restricted to these letters.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+TOGETHER = 500
+
+
+class Cache:
+    """Two generations: what is used again moves to the young one, so common words stay."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Keys in neither generation; the others are made young."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        keys = keys.difference(young)
+        if old:
+            for k in keys & old.keys():
+                young[k] = old[k]
+            keys = keys.difference(young)
+        return keys
 
 
 class Encoder:
@@ -25,26 +53,58 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.by_words = by_words
-        self.cache: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)
+        self.words, self.pieces = Cache(CACHED), Cache(CACHED)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+    def _pieces(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one text: each ends where an end-of-word mark is."""
+        known = self.pieces.young
+        for a in range(0, len(pieces), TOGETHER):
+            own = pieces[a : a + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(own):  # a piece that the library would split further
+                known.update(zip(own, self._library(own), strict=True))
+                continue
+            raw, at = ids.tobytes(), 0
+            for piece, cut in zip(own, (4 * cuts).tolist(), strict=True):
+                known[piece] = raw[at:cut]
+                at = cut
+
+    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        split: dict[bytes, list[str]] = {}
+        whole: list[bytes] = []
+        for word in new:
+            text = word.decode("utf-8")
+            if SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
+                split[word] = PIECES.findall(text.lower())
+            else:
+                whole.append(word)
+        self._pieces(sorted(self.pieces.missing(set().union(*split.values()))))
+        known = self.pieces.young
+        out = {word: b"".join([known[p] for p in own]) for word, own in split.items()}
+        out.update(zip(whole, self._library([w.decode("utf-8") for w in whole]), strict=True))
+        return out
+
     def packed(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
-            return self._library(texts)
+            return self._library([t.decode("utf-8") for t in texts])
         split = [t.split() for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = list(set().union(*split).difference(self.cache))
-        own = dict(zip(new, self._library(new), strict=True))
-        long = {w: own[w] for w in new if len(w) > CACHED_LENGTH}
-        known = self.cache
+        new = self.words.missing(set().union(*split))
+        own = self._words(list(new))
+        known = self.words.young
         known.update(own)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in long:
-            del known[w]
+        out = [b"".join([known[w] for w in words]) for words in split]
+        for w in own:
+            if len(w) > CACHED_LENGTH:
+                del known[w]
         return out
 
 

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+from strata.llm import blobs
 from strata.llm import language_model as L
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,7 +121,7 @@ def test_jumps_seat_like_one_customer_after_the_other():
 
 def test_pack_round_trip():
     arrays = [np.array([], np.int64), np.array([1, 300, 2**40]), np.array([-1, 5]), np.array([0.5, np.inf]), np.array([True, False]), np.array([0, 2**64 - 1], np.uint64)]
-    for a, b in zip(arrays, L.unpack(L.pack(*arrays)), strict=True):
+    for a, b in zip(arrays, blobs.unpack(blobs.pack(*arrays)), strict=True):
         assert (a == b).all() and len(a) == len(b)
 
 

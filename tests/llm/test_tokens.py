@@ -12,7 +12,7 @@ PATH = P.path("word_bpe_49k.json")
 DEFINITION = open(PATH, encoding="utf-8").read()
 TEXTS = [
     None, "", " ", "Hello  World\n\nit's we'll 1234 ABC's", "a\x1cb a\x85b a b c", "é é ́x", "İstanbul ΣΣ σς",
-    "<|endoftext|> x<|startoftext|>y <|endoftext|", "\U0001f600\U0001f468‍\U0001f469 日本語", "\x00\x0b\x0c\r﻿", "x" * 300, "ab " * 5000,
+    "<|endoftext|> x<|startoftext|>y <|endoftext|", "\U0001f600\U0001f468‍\U0001f469 日本語", "\x00\x0b\x0c\r﻿", "x" * 300, "ab " * 5000, "isn't ''s 're'S it'LL x'd9've don't!'s", "ÀÉÎ ß ÿŸ µm ªº ×÷ naïve", "a_b-c/d 3.14 \x1f~",
 ]
 
 
@@ -31,13 +31,15 @@ def test_words_one_by_one_give_the_librarys_ids():
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w[:-1].tolist() for w in whole(texts)]
 
 
-def test_full_cache_is_emptied(monkeypatch):
-    monkeypatch.setattr(K, "CACHED_WORDS", 10)
+def test_cache_is_bounded_and_keeps_what_is_used(monkeypatch):
+    monkeypatch.setattr(K, "CACHED", 50)
     encoder = K.Encoder(DEFINITION, True)
-    for k in range(5):
-        text = " ".join(f"w{k}x{i}" for i in range(30))
+    for k in range(20):
+        text = "often " + " ".join(f"W{k}x{i}." for i in range(30)) + " " + "y" * 100
         assert np.frombuffer(encoder.packed([text.encode()])[0], "<u4").tolist() == whole([text])[0][:-1].tolist()
-        assert len(encoder.cache) <= 40
+        for cache in (encoder.words, encoder.pieces):
+            assert len(cache.young) + len(cache.old) <= 2 * (50 + 70)
+    assert b"often" in encoder.words.young and b"y" * 100 not in encoder.words.young
 
 
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 1500])
