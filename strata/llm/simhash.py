@@ -14,6 +14,10 @@ by a task of its own. A tile returns a spanning forest of its links, never all p
 Forests are joined into components by alternating large-star and small-star steps on
 distributed tables; nothing of a document's size or number reaches the driver.
 
+For a similarity of shingle sets, where far more bits differ, ``similar_documents`` takes
+fingerprints of several words and tables of keys drawn from their bits: links are missed
+with a small probability that follows from the number of tables, never invented.
+
 Defined results. Null or empty text, or no words: fingerprint zero, linked like any
 other. Fewer words than a shingle: one shingle of all words. Equal fingerprints are one
 node, so copies are never paired. A component's id is the smallest id in it; null ids are
@@ -38,10 +42,10 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 TILE = 4096
 #: Rows that a task compares at once, besides those of one tile.
 ROWS_AT_ONCE = 1 << 15
+#: For similarities: 64-bit words of a fingerprint, tables and bits of their keys.
+WORDS, TABLES, KEY_BITS = 4, 48, 16
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-FINGERPRINT = T.StructType([T.StructField("fp", T.LongType())])
-
 
 def shingles_of(text: bytes, size: int) -> list[bytes]:
     """Shingles, repeats included, of ``text`` with A-Z in lower case."""
@@ -55,28 +59,44 @@ def shingles_of(text: bytes, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), stops[size - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint: a bit is set if it is set in over half of the hashes."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th set of 64-bit hashes derived from ``hashes``; the 0-th is itself."""
+    if not k:
+        return hashes
+    h = hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED, words: int = 1) -> list[int]:
+    """Unsigned 64-bit words: a bit is set if it is set in over half of the hashes."""
     from xxhash import xxh64_intdigest
 
     shingles = shingles_of(text, size)
     if not shingles:
-        return 0
+        return [0] * words
     hashes = np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8")
-    counts = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(words):
+        counts = np.zeros(64, np.int64)
+        own = mixed(hashes, k)
+        for a in range(0, len(own), 1 << 14):
+            bits = np.unpackbits(own[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "simhash", size: int = SHINGLE) -> DataFrame:
-    """``docs`` with the struct ``out``: ``fp``, the fingerprint as a signed 64-bit integer."""
+def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "simhash", size: int = SHINGLE, words: int = 1) -> DataFrame:
+    """``docs`` with the struct ``out``: ``fp``, or ``fp0``, ``fp1``, ..., as signed 64-bit integers."""
+    names = ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
 
     def work(texts: list[bytes]) -> dict:
-        return {"fp": np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)}
+        got = np.array([fingerprint(t, size, words=words) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
+        return {name: got[:, k].copy() for k, name in enumerate(names)}
 
-    return with_struct(docs, text_col, out, FINGERPRINT, lambda: work)
+    return with_struct(docs, text_col, out, T.StructType([T.StructField(n, T.LongType()) for n in names]), lambda: work)
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -98,20 +118,20 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def components_of(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
     """Labels (a position in the same component) of ``fps``, dealt into groups of ``sizes``.
 
-    Only fingerprints of one group are compared. Groups must come largest first.
+    ``fps`` has a row of one or more 64-bit words each. Only fingerprints of one group are compared. Groups must come largest first.
     """
-    n = len(fps)
+    n, depth = len(fps), 64 * fps[:1].size
     labels = np.arange(n)
     if not n or sizes[0] < 2:
         return labels
     begins = np.cumsum(sizes) - sizes
     after = np.repeat(begins + sizes, sizes) - np.arange(n) - 1  # members that follow in the group
     words = -(-n // 64) + 1
-    bits = np.zeros((64, words * 64), np.uint8)
-    bits[:, :n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    bits = np.zeros((depth, words * 64), np.uint8)
+    bits[:, :n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
     planes = np.packbits(bits, axis=1, bitorder="little").view("<u8")  # plane, word
     shifts = min(64, int(sizes[0]))
-    shifted = np.empty((shifts, 64, words), np.uint64)
+    shifted = np.empty((shifts, depth, words), np.uint64)
     shifted[0] = planes
     for r in range(1, shifts):
         shifted[r] = planes >> np.uint64(r)
@@ -136,7 +156,7 @@ def components_of(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray
         fits = at_w + q < words  # beyond the last word there is no partner
         at_r, at_w, alive = at_r[fits], at_w[fits], alive[fits]
         counter = [np.zeros(len(alive), np.uint64) for _ in range(width + 1)]
-        for p in range(64):
+        for p in range(depth):
             if not len(alive):
                 break
             carry = shifted[at_r, p, at_w + q] ^ planes[p, at_w]
@@ -174,17 +194,34 @@ def _keys(fp: Column, radius: int) -> Column:
     return F.array(*out)
 
 
+def _sampled_keys(words: list[Column], tables: int, key_bits: int, seed: int = SEED) -> Column:
+    """A key per table: ``key_bits`` bits drawn from all bits, and the table's number."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(tables):
+        key = F.lit(k).cast("long")
+        for bit in sorted(rng.choice(64 * len(words), key_bits, replace=False).tolist()):
+            key = F.shiftleft(key, 1).bitwiseOR(F.shiftrightunsigned(words[bit // 64], bit % 64).bitwiseAND(F.lit(1)))
+        out.append(key)
+    return F.array(*out)
+
+
 def forest(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct ``fp`` of ``fps``."""
-    bound_batches(fps.sparkSession)
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"))
+    return _compared(fps.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"), F.col("fp").alias("w0")), 1, radius, tile)
+
+
+def _compared(keyed: DataFrame, words: int, radius: int, tile: int) -> DataFrame:
+    """Edges between nodes ``fp`` that share a ``key`` and whose words ``w0``, ... differ in few bits."""
+    bound_batches(keyed.sparkSession)
+    names = [f"w{k}" for k in range(words)]
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
     parts = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
-    salted = keyed.join(large, "key", "left").select("key", "fp", parts.alias("s"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
+    salted = keyed.join(large, "key", "left").select("key", "fp", *names, parts.alias("s"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
     pairs = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda x: x != F.col("own")), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     )
-    dealt = salted.select("key", "fp", F.explode(pairs).alias("t")).select("key", "t.i", "t.j", "fp")
+    dealt = salted.select("key", "fp", *names, F.explode(pairs).alias("t")).select("key", "t.i", "t.j", "fp", *names)
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
@@ -198,17 +235,18 @@ def forest(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         sizes, begins = sizes[order], begins[order]
         at = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         own = fp[at]
-        labels = components_of(own.view(np.uint64), sizes, radius)
+        labels = components_of(np.ascontiguousarray(own[:, 1:]).view(np.uint64), sizes, radius)
         linked = np.flatnonzero(labels != np.arange(len(own)))
         if not len(linked):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[labels[linked]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(own[linked, 0]), pa.array(own[labels[linked], 0])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps_ = np.empty((0, 3), np.int64), np.empty(0, np.int64)
+        keys, fps_ = np.empty((0, 3), np.int64), np.empty((0, 1 + words), np.int64)
         for batch in batches:
-            keys = np.concatenate([keys, np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)])
-            fps_ = np.concatenate([fps_, batch.column(3).to_numpy()])
+            columns = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            keys = np.concatenate([keys, np.stack(columns[:3], axis=1)])
+            fps_ = np.concatenate([fps_, np.stack(columns[3:], axis=1)])
             if len(fps_) < ROWS_AT_ONCE:
                 continue
             change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
@@ -252,13 +290,53 @@ def star_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _components(printed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``printed`` (doc_id, fp, ...) with ``root`` and ``component_id``."""
+    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = star_components(edges)
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return printed.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row per document: its id, ``fp`` and ``component_id``."""
     printed = with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "simhash", size)
     printed = stash(printed.select("doc_id", F.col("simhash.fp").alias("fp")), "fingerprints")
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = star_components(forest(nodes.select("fp"), radius, tile))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return printed.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    edges = forest(printed.select("fp").distinct(), radius, tile)
+    return _components(printed, edges).select("doc_id", "fp", "component_id")
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits to expect at this Jaccard similarity of two equally large sets."""
+    return int(round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, words: int = WORDS, tables: int = TABLES, key_bits: int = KEY_BITS, tile: int = TILE) -> DataFrame:
+    """``docs`` with the struct ``group``: node, root and component_id; links estimate the Jaccard similarity.
+
+    Two documents link if their fingerprints differ in no more bits than sets of this
+    similarity do on average. With the defaults, a link at that border is found with a
+    probability of 0.97; closer ones almost surely.
+    """
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("group", "simhash")])
+    printed = with_fingerprints(kept, text_col, "simhash", size, words)
+    printed = stash(printed, "similar")
+    own = [F.col(f"simhash.fp{k}") for k in range(words)]
+    node = F.xxhash64(*own)
+    nodes = printed.select(node.alias("fp"), *[c.alias(f"w{k}") for k, c in enumerate(own)]).dropDuplicates(["fp"])
+    keyed = nodes.select("fp", F.explode(_sampled_keys([F.col(f"w{k}") for k in range(words)], tables, key_bits)).alias("key"), *[f"w{k}" for k in range(words)])
+    edges = _compared(keyed, words, radius_of(similarity, 64 * words), tile)
+    found = _components(printed.select(F.col(id_col).alias("doc_id"), node.alias("fp")).distinct(), edges)
+    group = F.struct("fp", "root", "component_id").alias("group")
+    by_id = found.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), group)
+    joined = printed.withColumn("__fp0", node).join(by_id, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp0") == F.col("__fp")))
+    return joined.drop("__id", "__fp", "__fp0", "simhash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that with the smallest id."""
+    columns = docs.columns
+    found = similar_documents(docs, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("group.component_id")))
+    # Rows that repeat an id within a group, too, come down to one.
+    return found.withColumn("__root", F.col("group.root")).dropDuplicates([id_col, "__root"]).select(*columns)

@@ -55,7 +55,7 @@ def test_bit_slices_find_what_comparing_pairs_finds(radius):
         groups.append([near(rng, rng.choice(seeds), rng.randint(0, 2 * radius + 1)) for _ in range(size)])
     groups.sort(key=len, reverse=True)
     flat = [x for g in groups for x in g]
-    got = S.components_of(np.array(flat, np.uint64), np.array([len(g) for g in groups]), radius)
+    got = S.components_of(np.array(flat, np.uint64)[:, None], np.array([len(g) for g in groups]), radius)
     at = 0
     for g in groups:
         n = len(g)
@@ -94,3 +94,47 @@ def test_documents_and_ids(spark):
 def test_long_chain_converges(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in S.star_components(edges).collect()} == {0}
+
+
+def jaccard(a, b):
+    s, t = (set(S.shingles_of(x.encode(), 5)) for x in (a, b))
+    return len(s & t) / len(s | t)
+
+
+def test_similar_documents_stay_once_and_others_stay(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows, edits = [], []
+    for k in range(60):
+        text = [rng.choice(words) for _ in range(400)]
+        rows.append((3 * k, " ".join(text)))
+        close = list(text)
+        for at in rng.sample(range(400), 1 + k % 5):
+            close[at] = "edited"
+        edits.append((rows[-1], (3 * k + 1, " ".join(close))))
+        far = [w if rng.random() < 0.8 else rng.choice(words) for w in text]
+        edits.append((rows[-1], (3 * k + 2, " ".join(far))))
+    rows += [e for _, e in edits] + [(999, rows[0][1]), (0, rows[0][1]), (None, rows[0][1]), (998, "alone"), (997, None), (996, "")]
+    want = {i for i, _ in rows if i is not None and i < 900 and i % 3 != 1} | {998, 996}
+    assert all((jaccard(a[1], b[1]) >= 0.85) == (b[0] % 3 == 1) for a, b in edits)
+    df = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, group string, root long").repartition(4)
+    got = S.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    assert S.one_of_each(df.limit(0)).count() == 0
+
+
+def test_many_words_compare_like_pairs():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, (4, 4)).astype(np.uint64)
+    fps = []
+    for i in range(150):
+        bits = np.unpackbits(base[i % 4].view(np.uint8))
+        bits[rng.choice(256, rng.integers(0, 40), replace=False)] ^= 1
+        fps.append(np.packbits(bits).view(np.uint64))
+    fps = np.array(fps)
+    got = S.components_of(fps, np.array([100, 50]), 39)
+    d = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    for a, b in ((0, 100), (100, 150)):
+        want = roots(range(a, b), [(i, j) for i in range(a, b) for j in range(a, i) if d[i, j] <= 39])
+        assert [want[i] for i in range(a, b)] == got[a:b].tolist()
