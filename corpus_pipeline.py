@@ -1,10 +1,69 @@
-"""The corpus pipeline: STAGES, run in order, each over all that its predecessor kept."""
+"""The corpus pipeline: STAGES, run in order, each over all that its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``. Between stages the rows
+rest in a written table, so lost executors cost no more than the stage that runs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.llm import classifier, decontaminate, packing, secrets, simhash
+from strata.llm.common import stash, table
+from strata.llm.queries import END_ID, tokenizer
+
+KEPT_FROM = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    net = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    judged = classifier.classify(docs, net, out="quality_judged")
+    return judged.filter(F.col("quality_judged.score") >= KEPT_FROM).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles are similar by 0.8 or more."""
+    return simhash.one_of_each(docs, size=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of the benchmark."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out="benchmark_leak")
+    return found.filter(F.col("benchmark_leak.n_hit") == 0).select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    found = secrets.find_secrets(docs, out="secret_spans")
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("secret_spans")))
+    return clean.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of at most 4096 tokens."""
+    got = packing.pack(docs, tokenizer(), END_ID, by_words=True, with_ids=False)
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("best-fit packing", packed),
+]
+
+#: Learned scores, sampled keys and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from the table ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
