@@ -194,16 +194,21 @@ def _keys(fp: Column, radius: int) -> Column:
     return F.array(*out)
 
 
-def _sampled_keys(words: list[Column], tables: int, key_bits: int, seed: int = SEED) -> Column:
-    """A key per table: ``key_bits`` bits drawn from all bits, and the table's number."""
+def _sampled(nodes: DataFrame, words: int, tables: int, key_bits: int, seed: int = SEED) -> DataFrame:
+    """A row per node and table; its key is the table's number and ``key_bits`` bits drawn from all."""
     rng = np.random.default_rng(seed)
-    out = []
-    for k in range(tables):
-        key = F.lit(k).cast("long")
-        for bit in sorted(rng.choice(64 * len(words), key_bits, replace=False).tolist()):
-            key = F.shiftleft(key, 1).bitwiseOR(F.shiftrightunsigned(words[bit // 64], bit % 64).bitwiseAND(F.lit(1)))
-        out.append(key)
-    return F.array(*out)
+    drawn = np.array([rng.choice(64 * words, key_bits, replace=False) for _ in range(tables)])
+    names = ["fp", "key", *[f"w{k}" for k in range(words)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, *own = [c.to_numpy() for c in batch.columns]
+            bits = np.unpackbits(np.stack(own, axis=1).view(np.uint8), axis=1, bitorder="little")
+            for k, places in enumerate(drawn):
+                key = bits[:, places].astype(np.int64) @ (1 << np.arange(key_bits)) | k << key_bits
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, key, *own)], names=names)
+
+    return nodes.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def forest(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -325,8 +330,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = [F.col(f"simhash.fp{k}") for k in range(words)]
     node = F.xxhash64(*own)
     nodes = printed.select(node.alias("fp"), *[c.alias(f"w{k}") for k, c in enumerate(own)]).dropDuplicates(["fp"])
-    keyed = nodes.select("fp", F.explode(_sampled_keys([F.col(f"w{k}") for k in range(words)], tables, key_bits)).alias("key"), *[f"w{k}" for k in range(words)])
-    edges = _compared(keyed, words, radius_of(similarity, 64 * words), tile)
+    edges = _compared(_sampled(nodes, words, tables, key_bits), words, radius_of(similarity, 64 * words), tile)
     found = _components(printed.select(F.col(id_col).alias("doc_id"), node.alias("fp")).distinct(), edges)
     group = F.struct("fp", "root", "component_id").alias("group")
     by_id = found.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), group)
