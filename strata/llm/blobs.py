@@ -40,6 +40,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def thin(hashes: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit hashes as bytes: differences, plane by plane, of which the high ones compress."""
+    steps = np.diff(hashes.astype(np.uint64), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def thick(planes: np.ndarray) -> np.ndarray:
+    """The hashes that ``thin`` packed."""
+    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def slot(hashes: np.ndarray, n: int) -> np.ndarray:
     """One of ``n`` slots by the high bits: sorted hashes have sorted slots."""
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)

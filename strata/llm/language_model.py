@@ -15,7 +15,7 @@ Every count covers all training documents. Pairs of words are dealt to buckets b
 
 1. documents are cut into chunks; a chunk sends each of its pairs once to the pair's
    bucket, with its training count;
-2. buckets add up the pairs, and exchange sums with the words: each word's training
+2. buckets (by the context and some bits of the word) add up the pairs, and exchange sums with the words: each word's training
    count, its tables as a word, its customers and tables as a context. There the parent
    restaurant's seating is sampled;
 3. chunks send pairs again, now with the documents that hold them; buckets sample the
@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import ROWS, by_group, chunks_of, dealt, pack, rows_of, slot, unpack
+from .blobs import ROWS, by_group, chunks_of, dealt, pack, rows_of, slot, thick, thin, unpack
 from .common import bound_batches, stash
 
 END = np.uint64(0)
@@ -60,6 +60,16 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed ^ mixed >> np.uint64(29)
 
 
+def bucket_of(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a pair: a context is spread over a sixteenth of the buckets, eight at least.
+
+    So a chunk names a context to few buckets, while one with a third of all pairs adds
+    no more than five times its mean load to any bucket.
+    """
+    part = word * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)
+    return slot(pair_hash(context, part % np.uint64(max(8, -(-buckets // 16)))), buckets)
+
+
 class Chunk:
     """Documents as numbers of the chunk's own words; 0 is the end, and the context of a first word."""
 
@@ -75,8 +85,12 @@ class Chunk:
             own[-1] = 0
             parts.append(own)
         self.lengths = np.array([len(p) for p in parts], np.int64)
-        self.hashes = np.array([0, *(xxh64_intdigest(w) | 1 for w in number)], np.uint64)
-        word = np.concatenate(parts).astype(np.int64)
+        hashes = np.array([0, *(xxh64_intdigest(w) | 1 for w in number)], np.uint64)
+        # Words are numbered in the order of their hashes, so sorted numbers are sorted hashes.
+        order = np.argsort(hashes)
+        self.hashes, rank = hashes[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        word = rank[np.concatenate(parts)]
         del parts, number
         context = np.concatenate([[0], word[:-1]])
         n = len(self.hashes)
@@ -88,7 +102,7 @@ class Chunk:
 
     def sent(self, buckets: int, with_docs: bool, common_from: int = COMMON) -> Iterator[tuple[int, bytes]]:
         """(bucket, blob) for all buckets that have pairs of this chunk."""
-        bucket = slot(pair_hash(self.hashes[self.context], self.hashes[self.word]), buckets)
+        bucket = bucket_of(self.hashes[self.context], self.hashes[self.word], buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         if with_docs:
@@ -100,8 +114,8 @@ class Chunk:
             pseudo[self.common] = len(self.lengths) + np.arange(len(self.common))
         for own in np.split(order, cuts[1:]):
             contexts, runs = np.unique(self.context[own], return_counts=True)  # keys are sorted by context
-            words, nth = np.unique(self.word[own], return_inverse=True)
-            arrays = [self.hashes[contexts], runs, self.hashes[words], nth, self.trained[own]]
+            known = np.union1d(contexts, self.word[own])
+            arrays = [thin(self.hashes[known]), np.diff(np.searchsorted(known, contexts), prepend=0), runs, np.searchsorted(known, self.word[own]), self.trained[own]]
             if with_docs:
                 times = np.where(common[own], 1, self.counts[own])
                 total = np.cumsum(times)
@@ -127,8 +141,9 @@ class Pairs:
     """A bucket's distinct pairs, their training counts, and its distinct words, sorted."""
 
     def __init__(self, blobs: list[list[np.ndarray]]):
-        context = np.concatenate([np.repeat(b[0].astype(np.uint64), b[1]) for b in blobs])
-        word = np.concatenate([b[2].astype(np.uint64)[b[3]] for b in blobs])
+        hashes = [thick(b[0]) for b in blobs]
+        context = np.concatenate([np.repeat(h[np.cumsum(b[1].astype(np.int64))], b[2]) for h, b in zip(hashes, blobs, strict=True)])
+        word = np.concatenate([h[b[3]] for h, b in zip(hashes, blobs, strict=True)])
         count = np.concatenate([b[4] for b in blobs]).astype(np.float64)
         _, first, self.of_entry = np.unique(pair_hash(context, word), return_index=True, return_inverse=True)
         self.c = np.bincount(self.of_entry, count, len(first))
@@ -249,7 +264,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ones = np.array([(pairs.c == 1).sum(), (pairs.c == 2).sum(), 0])
             for k in np.flatnonzero(np.diff(ends)):
                 cut = slice(ends[k], ends[k + 1])
-                yield rows_of([(int(k), int(bucket), 0, pack(pairs.words[cut], *(s[cut] for s in sums), ones))])
+                yield rows_of([(int(k), int(bucket), 0, pack(thin(pairs.words[cut]), *(s[cut] for s in sums), ones))])
                 ones = np.zeros(3, np.int64)
 
     asked = dealt(_send(rows, buckets, False, chunk_bytes, common_from), buckets, "bucket", "part", "seq").mapInArrow(add_up, ROWS)
@@ -257,7 +272,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (to,), group in by_group(batches, 1):
             blobs = [unpack(r[3]) for r in group]
-            words, of = np.unique(np.concatenate([b[0].astype(np.uint64) for b in blobs]), return_inverse=True)
+            named = [thick(b[0]) for b in blobs]
+            words, of = np.unique(np.concatenate(named), return_inverse=True)
             sums = [np.bincount(of, np.concatenate([b[j] for b in blobs]).astype(float), len(words)) for j in range(1, 5)]
             count, tables = sums[0], sums[1]
             ones = np.sum([b[5] for b in blobs], axis=0)
@@ -266,8 +282,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             own = sample_root(tables, share, np.random.default_rng([seed, 1, int(to)]), d)
             at = 0
             for r, b in zip(group, blobs, strict=True):
-                cut = of[at : at + len(b[0])]
-                at += len(b[0])
+                cut = of[at : at + len(b[1])]
+                at += len(b[1])
                 yield rows_of([(r[1], int(to), 0, pack(*(s[cut].astype(np.int64) for s in sums), np.round(own[cut] * KEEP).astype(np.int64)))])
             total = np.array([count.sum(), (count > 0).sum(), tables.sum(), own.sum(), (tables == 1).sum(), (tables == 2).sum(), ones[0], ones[1]])
             yield rows_of([(-1, int(to), 0, pack(total))])

@@ -131,3 +131,18 @@ def test_empty_and_untrained(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     [r] = L.score_texts(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_thin_hashes_round_trip():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 1000):
+        h = np.unique(np.concatenate([rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2), np.zeros(min(n, 1), np.uint64)]))
+        assert (blobs.thick(blobs.thin(h)) == h).all()
+
+
+def test_a_common_context_is_spread():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 2**63, 100_000).astype(np.uint64)
+    for buckets in (1, 20, 1000):
+        n = np.bincount(L.bucket_of(np.full(len(words), 7, np.uint64), words, buckets), minlength=buckets)
+        assert n.max() <= 3 * len(words) / max(1, min(buckets, 8) / 2, buckets // 16) and len(n) == buckets
