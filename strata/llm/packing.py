@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, stash
-from .tokens import Encoder, groups_of
+from .tokens import encoder, groups_of
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long"
@@ -48,13 +48,13 @@ def cut_pieces(docs: DataFrame, definition: str, end_id: int, capacity: int = CA
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(sent.value, by_words), TaskContext.get().partitionId()
+        tool, part = encoder(sent.value, by_words), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in groups_of(texts):
                 out: list[tuple] = []
-                for name, blob in zip(names[a:b], encoder.packed(texts[a:b]), strict=True):
+                for name, blob in zip(names[a:b], tool.packed(texts[a:b]), strict=True):
                     blob += end
                     for k, at in enumerate(range(0, len(blob), 4 * capacity)):
                         own = blob[at : at + 4 * capacity]

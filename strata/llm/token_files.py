@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, stash
-from .tokens import Encoder, groups_of, vocabulary_size
+from .tokens import encoder, groups_of, vocabulary_size
 
 MAGIC = b"STRTOK01"
 HEADER = struct.Struct("<8s4IQ")
@@ -136,7 +136,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_col: str = "d
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(sent.value, by_words), TaskContext.get().partitionId()
+        tool, part = encoder(sent.value, by_words), TaskContext.get().partitionId()
         segment = before = 0
         names: list = []
         blobs: list[bytes] = []
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_col: str = "d
         for batch in batches:
             own, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in groups_of(texts):
-                for name, blob in zip(own[a:b], encoder.packed(texts[a:b]), strict=True):
+                for name, blob in zip(own[a:b], tool.packed(texts[a:b]), strict=True):
                     names.append(name)
                     blobs.append(blob + end)
                     held += len(blob) // 4 + 1

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
 #: Entries of a cache's young generation, and the length from which words aren't kept.
-CACHED, CACHED_LENGTH = 400_000, 48
+CACHED, CACHED_LENGTH = 250_000, 48
 #: Letters whose lower case and composition are the same in every Unicode version.
 SIMPLE = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]+")
 #: How such tokenizers split, restricted to these letters.
@@ -57,7 +58,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -78,13 +79,14 @@ class Encoder:
                 known[piece] = raw[at:cut]
                 at = cut
 
-    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
+    def _words(self, new: list[bytes], special: list[bytes]) -> dict[bytes, bytes]:
         split: dict[bytes, list[str]] = {}
         whole: list[bytes] = []
+        simple, pieces = SIMPLE.fullmatch, PIECES.findall
         for word in new:
             text = word.decode("utf-8")
-            if SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-                split[word] = PIECES.findall(text.lower())
+            if simple(text) and not (special and any(s in word for s in special)):
+                split[word] = pieces(text.lower())
             else:
                 whole.append(word)
         self._pieces(sorted(self.pieces.missing(set().union(*split.values()))))
@@ -98,7 +100,7 @@ class Encoder:
             return self._library([t.decode("utf-8") for t in texts])
         split = [t.split() for t in texts]
         new = self.words.missing(set().union(*split))
-        own = self._words(list(new))
+        own = self._words(list(new), [s for s in self.special if any(s in t for t in texts)])
         known = self.words.young
         known.update(own)
         out = [b"".join([known[w] for w in words]) for words in split]
@@ -108,6 +110,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(definition: str, by_words: bool) -> Encoder:
+    """The process's encoder: what one task has cached serves the next."""
+    return Encoder(definition, by_words)
+
+
 def vocabulary_size(definition: str) -> int:
     from tokenizers import Tokenizer
 
