@@ -29,7 +29,7 @@ from .common import with_struct
 CHUNK, OVERLAP, WIDTH, STRIDE = 1024, 64, 8, 4
 EMBEDDING, FILTERS, HIDDEN = 8, 48, 16
 PAD = 256
-SAMPLE_ROWS, TRAIN_CHUNKS, PASSES, BATCH, SEED = 4_000, 6, 12, 64, 7
+SAMPLE_ROWS, TRAIN_CHUNKS, PASSES, LEAST_STEPS, BATCH, SEED = 4_000, 6, 12, 400, 64, 7
 #: Chunks that are scored at once.
 SCORED_AT_ONCE = 256
 
@@ -124,7 +124,7 @@ def _full(text: bytes) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[int], passes: int = PASSES, train_chunks: int = TRAIN_CHUNKS, seed: int = SEED) -> Network:
-    """Adam on the cross entropy, both classes weighted as they occur."""
+    """Adam on the cross entropy: ``passes`` over the sample, more if that makes few steps."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
     y = np.array(labels, np.float32)
@@ -133,7 +133,9 @@ def train(texts: list[bytes], labels: list[int], passes: int = PASSES, train_chu
         return net
     docs = [_full(t) for t in texts]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params()]
-    t, last = 0, passes * -(-len(docs) // BATCH)
+    batches = -(-len(docs) // BATCH)
+    passes = max(passes, -(-LEAST_STEPS // batches))
+    t, last = 0, passes * batches
     for _ in range(passes):
         order = rng.permutation(len(docs))
         for a in range(0, len(order), BATCH):
