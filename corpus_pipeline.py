@@ -19,8 +19,10 @@ KEPT_FROM = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; all, if it has nothing to learn from."""
     net = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    if net.constant is not None:
+        return docs
     judged = classifier.classify(docs, net, out="quality_judged")
     return judged.filter(F.col("quality_judged.score") >= KEPT_FROM).select(*docs.columns)
 
