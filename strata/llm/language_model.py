@@ -15,7 +15,7 @@ Every count covers all training documents. Pairs of words are dealt to buckets b
 
 1. documents are cut into chunks; a chunk sends each of its pairs once to the pair's
    bucket, with its training count;
-2. buckets (by the context and some bits of the word) add up the pairs, and exchange sums with the words: each word's training
+2. buckets (cells of a grid of contexts and words) add up the pairs, and exchange sums with the words: each word's training
    count, its tables as a word, its customers and tables as a context. There the parent
    restaurant's seating is sampled;
 3. chunks send pairs again, now with the documents that hold them; buckets sample the
@@ -47,7 +47,7 @@ from .blobs import ROWS, by_group, chunks_of, dealt, pack, rows_of, slot, thick,
 from .common import bound_batches, stash
 
 END = np.uint64(0)
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 16 << 20
 #: Tokens of the corpus per bucket, about; occurrences from which a chunk treats a pair as common.
 TOKENS_PER_BUCKET, COMMON = 2_000_000, 200
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
@@ -61,13 +61,16 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of a pair: a context is spread over a sixteenth of the buckets, eight at least.
+    """The bucket of a pair, by its cell in a grid of classes of contexts and classes of words.
 
-    So a chunk names a context to few buckets, while one with a third of all pairs adds
-    no more than five times its mean load to any bucket.
+    With twice the root of ``buckets`` classes on each side, a chunk names a word to few
+    buckets, in either role, and a word with the share p of all pairs adds to a bucket no
+    more than p / 2 times the root of ``buckets`` mean loads.
     """
-    part = word * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)
-    return slot(pair_hash(context, part % np.uint64(max(8, -(-buckets // 16)))), buckets)
+    side = np.uint64(int(np.ceil(2 * np.sqrt(buckets))))
+    row = (context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % side
+    column = (word * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)) % side
+    return slot(pair_hash(row, column), buckets)
 
 
 class Chunk:
@@ -94,7 +97,10 @@ class Chunk:
         del parts, number
         context = np.concatenate([[0], word[:-1]])
         n = len(self.hashes)
-        self.keys, self.of_token, self.counts = np.unique(context * n + word, return_inverse=True, return_counts=True)
+        keys = context * n + word
+        del context, word
+        self.keys, self.of_token, self.counts = np.unique(keys, return_inverse=True, return_counts=True)
+        del keys
         self.of_token = self.of_token.astype(np.int32)
         self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.trained = np.bincount(self.of_token, train[self.doc], len(self.keys)).astype(np.int64)

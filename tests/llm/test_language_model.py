@@ -140,9 +140,12 @@ def test_thin_hashes_round_trip():
         assert (blobs.thick(blobs.thin(h)) == h).all()
 
 
-def test_a_common_context_is_spread():
+def test_a_common_word_is_spread():
     rng = np.random.default_rng(6)
-    words = rng.integers(0, 2**63, 100_000).astype(np.uint64)
+    words, one = rng.integers(0, 2**63, 100_000).astype(np.uint64), np.full(100_000, 7, np.uint64)
     for buckets in (1, 20, 1000):
-        n = np.bincount(L.bucket_of(np.full(len(words), 7, np.uint64), words, buckets), minlength=buckets)
-        assert n.max() <= 3 * len(words) / max(1, min(buckets, 8) / 2, buckets // 16) and len(n) == buckets
+        for pair in ((one, words), (words, one)):
+            n = np.bincount(L.bucket_of(*pair, buckets), minlength=buckets)
+            assert len(n) == buckets and n.max() <= max(100_000 / buckets, 5 * 100_000 / np.sqrt(buckets) / 2)
+        n = np.bincount(L.bucket_of(words, words[::-1], buckets), minlength=buckets)
+        assert n.max() <= 5 * 100_000 / buckets
