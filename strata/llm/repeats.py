@@ -9,6 +9,7 @@ document with a smaller id or before in its own. The steps:
 2. Where contexts are equal, all but the earliest are repeats as a whole. Where several
    differ around an anchor, their bytes are needed: they are sent to the anchor's first
    document, so neighbouring contexts of a document join to long segments there.
+   Strings with 16 bytes in them that are unique there can't repeat and drop out.
 3. Segments of earlier documents are indexed: suffixes are sorted, the Burrows-Wheeler
    transform is kept as runs, with suffix positions at both ends of each run. Segments
    of later documents are streamed through the index from their ends: a step either
@@ -17,8 +18,8 @@ document with a smaller id or before in its own. The steps:
    ``length`` or more are repeats.
 
 Earlier means among all documents of a first document's group, so groups are halved again
-and again: the right half is streamed against the index of the left half. Indexes have a
-bounded size; a larger half is indexed piece by piece.
+and again, from pairs upward: the right half is streamed against the index of the left
+half, and strings that are found leave. Indexes have a bounded size; a larger half is indexed piece by piece.
 
 Repeats within one document share an anchor there and are compared directly.
 
@@ -52,15 +53,21 @@ INDEXED, LANE = 4 << 20, 400
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def eights(data: bytes, beyond: int = 0) -> np.ndarray:
+    """The eight bytes from each position on as a number; ``beyond`` positions more than bytes."""
+    n = len(data) + beyond
+    padded = np.frombuffer(data + b"\xff" * (beyond + 16), np.uint8)
+    out = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        own = out[k::8]
+        own[:] = padded[k : k + 8 * len(own)].copy().view("<u8")
+    return out
+
+
 def gram_hashes(data: bytes) -> np.ndarray:
     """A hash of the 16 bytes from each position on."""
-    n = len(data)
-    padded = np.frombuffer(data + b"\xff" * 24, np.uint8)
-    words = np.empty(n + 8, np.uint64)
-    for k in range(8):
-        own = words[k::8]
-        own[:] = padded[k : k + 8 * len(own)].copy().view("<u8")
-    h = words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    words = eights(data, 8)
+    h = words[: len(data)] * np.uint64(0x9E3779B97F4A7C15) ^ words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
@@ -98,13 +105,15 @@ class Index:
 
     def __init__(self, segments: list[bytes], tags: list[int]):
         sizes = np.array([len(s) + 1 for s in segments], np.int64)
-        plain = np.frombuffer(b"".join(s + b"\xff" for s in segments), np.uint8).astype(np.int64) + 1
+        data = b"".join(s + b"\xff" for s in segments)
+        plain = np.frombuffer(data, np.uint8).astype(np.int64) + 1
         stops = np.cumsum(sizes) - 1
         plain[stops] = 0
         tag = np.repeat(np.array(tags, np.int64), sizes)
-        self.text = np.where(plain > 0, symbols_of(plain - 1, tag), 0)
+        text = np.where(plain > 0, symbols_of(plain - 1, tag), 0)
+        self.eights = eights(data)
         order = suffix_array(plain, tag, np.repeat(stops, sizes))
-        before = self.text[order - 1]
+        before = text[order - 1]
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.starts = heads
         self.stops = np.append(heads[1:], len(plain)) - 1
@@ -118,13 +127,14 @@ class Index:
         self.shift -= self.starts
         self.keys = self.symbols[self.by_symbol] * len(heads) + self.by_symbol
 
-    def statistics(self, query: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
+    def statistics(self, query: np.ndarray, query_eights: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
         """Matching statistics, ``cap`` at most, of all positions of the lanes.
 
         Lane i is ``query[ends[i] - sizes[i] : ends[i]]``; lanes come longest first.
+        ``query_eights`` has the bytes behind the symbols.
         """
         out = np.zeros(len(query), np.int16)
-        runs, n = len(self.starts), len(self.text)
+        runs, n = len(self.starts), len(self.eights)
         row, place, length = (np.zeros(len(ends), np.int64) for _ in range(3))
         for step in range(int(sizes[0]) if len(sizes) else 0):
             live = int(np.searchsorted(-sizes, -step, side="left"))  # lanes longer than step
@@ -142,7 +152,7 @@ class Index:
                 for nth, rows, places in ((below - 1, self.stops, self.last), (below, self.starts, self.first)):
                     there = self.by_symbol[np.clip(nth, 0, runs - 1)]
                     ok = np.flatnonzero((nth >= 0) & (nth < runs) & (self.symbols[there] == c))
-                    common = self._common(places[there[ok]], query, at[jump[ok]] + 1, length[jump[ok]])
+                    common = self._common(places[there[ok]], query_eights, at[jump[ok]] + 1, length[jump[ok]])
                     better = common > best[ok]
                     own = ok[better]
                     best[own], to_row[own], to_place[own] = common[better], rows[there[own]], places[there[own]]
@@ -158,17 +168,21 @@ class Index:
         return out
 
     def _common(self, places: np.ndarray, query: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Common symbols of the text from ``places`` and the query from ``at``, ``most`` at most."""
+        """Common bytes of the text from ``places`` and the query from ``at``, ``most`` at most.
+
+        Runs with a lane's symbol lie in segments of its tag, so bytes tell enough; the
+        byte that ends a segment is none of UTF-8.
+        """
         out = np.zeros(len(places), np.int64)
-        live, k = np.flatnonzero(most > 0), 0
+        live = np.flatnonzero(most > 0)
+        last, last_at = len(self.eights) - 1, len(query) - 1
         while len(live):
-            inside = places[live] + k < len(self.text)
-            live = live[inside]
-            live = live[self.text[places[live] + k] == query[at[live] + k]]
-            k += 1
-            out[live] = k
-            live = live[most[live] > k]
-        return out
+            k = out[live]
+            differ = self.eights[np.minimum(places[live] + k, last)] ^ query[np.minimum(at[live] + k, last_at)]
+            same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
+            out[live] += same
+            live = live[(same == 8) & (out[live] < most[live])]
+        return np.minimum(out, most)
 
 
 def symbols_of(plain: np.ndarray, tag: np.ndarray | int) -> np.ndarray:
@@ -209,43 +223,85 @@ def suffix_array(plain: np.ndarray, tag: np.ndarray, stops: np.ndarray) -> np.nd
         depth *= 2
 
 
+def possible_starts(segments: list[bytes], group: np.ndarray, length: int) -> np.ndarray:
+    """Places in the joined segments at which a repeat can start.
+
+    All its grams, 16 bytes each, must occur twice or more in the segment's group.
+    """
+    sizes = np.array([len(s) for s in segments], np.int64)
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    place = np.arange(len(ends))
+    inside = place + GRAM <= ends
+    key = gram_hashes(b"".join(segments)) ^ np.repeat(group.astype(np.uint64) * SPREAD, sizes)
+    _, nth, counts = np.unique(key[inside], return_inverse=True, return_counts=True)
+    single = np.zeros(len(ends) + 1, np.int64)
+    single[1:][inside] = counts[nth] == 1
+    single = np.cumsum(single)
+    whole = np.flatnonzero(place + length <= ends)
+    return whole[single[whole + length - GRAM + 1] == single[whole]]
+
+
 def repeats_among(segments: list[bytes], rank: np.ndarray, group: np.ndarray, length: int = LENGTH, indexed: int = INDEXED) -> list[np.ndarray]:
-    """Per segment, the starts of strings that a segment of the same group and a lower rank holds."""
+    """Per segment, the starts of strings that a segment of the same group and a lower rank holds.
+
+    What is found leaves: an earlier holder of the string stays, and of each half the
+    first holder, so later levels only see strings that are new in their half.
+    """
     sizes = np.array([len(s) for s in segments], np.int64)
+    begins = np.cumsum(sizes) - sizes
     found: list[list[np.ndarray]] = [[] for _ in segments]
-    order = np.lexsort((rank, group))
-    most = np.zeros(len(segments), np.int64)
-    new = np.flatnonzero(np.diff(group[order], prepend=group[order[0]] - 1 if len(order) else 0))
-    for a, b in zip(new, np.append(new[1:], len(order)), strict=True):
-        most[order[a:b]] = rank[order[b - 1]]
+    starts = possible_starts(segments, group, length) if segments else np.empty(0, np.int64)
     level = 0
-    while len(segments) and int(most.max()) >> level:
-        half = rank >> level
-        left = np.flatnonzero((half % 2 == 0) & ((half + 1) << level <= most))
-        right = np.flatnonzero(half % 2 == 1)
-        pair = rank >> level + 1
-        # Pairs of halves, in runs that one index holds; a long left half makes several.
-        left, right = (x[np.lexsort((rank[x], pair[x], group[x]))] for x in (left, right))
-        key = lambda x, pair=pair: list(zip(group[x].tolist(), pair[x].tolist(), strict=True))
-        partners: dict[tuple, list[int]] = {}
-        for i, k in zip(right.tolist(), key(right), strict=True):
-            partners.setdefault(k, []).append(i)
-        batch: list[int] = []
-        held = 0
-        for i, k in zip(left.tolist(), key(left), strict=True):
-            if k not in partners:
-                continue
-            if batch and held + sizes[i] > indexed:
-                _stream(segments, batch, partners, group, pair, length, found)
-                batch, held = [], 0
-            batch.append(i)
-            held += sizes[i]
-        if batch:
-            _stream(segments, batch, partners, group, pair, length, found)
+    while len(starts):
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        while len(own := np.flatnonzero(sizes[owner] == 0)):  # empty segments share a place
+            owner[own] -= 1
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(owner) != 0)]))
+        of = owner[new]
+        first = starts[new] - begins[of]
+        last = starts[np.append(new[1:], len(starts)) - 1] - begins[of]
+        pieces = [segments[i][a : b + length] for i, a, b in zip(of.tolist(), first.tolist(), last.tolist(), strict=True)]
+        hits, deepest = _level(pieces, rank[of], group[of], level, length, indexed)
+        gone = []
+        for k, places in enumerate(hits):
+            if places:
+                places = np.unique(np.concatenate(places)) + first[k]
+                found[of[k]].append(places)
+                gone.append(places + begins[of[k]])
+        if gone:
+            starts = starts[~np.isin(starts, np.concatenate(gone))]
         level += 1
+        if not deepest >> level:
+            break
     return [np.unique(np.concatenate(f)) if f else np.empty(0, np.int64) for f in found]
 
 
+def _level(pieces: list[bytes], rank: np.ndarray, group: np.ndarray, level: int, length: int, indexed: int) -> tuple[list[list[np.ndarray]], int]:
+    """Hits of the right halves of all pairs of this level in their left halves; the highest rank."""
+    hits: list[list[np.ndarray]] = [[] for _ in pieces]
+    half, pair = rank >> level, rank >> (level + 1)
+    order = np.lexsort((rank, pair, group))
+    partners: dict[tuple, list[int]] = {}
+    keys = list(zip(group.tolist(), pair.tolist(), strict=True))
+    right = half % 2 == 1
+    for i in order[right[order]].tolist():
+        partners.setdefault(keys[i], []).append(i)
+    batch: list[int] = []
+    held = 0
+    # Pairs in runs that one index holds; a long left half makes several.
+    for i in order[~right[order]].tolist():
+        if keys[i] not in partners:
+            continue
+        if batch and held + len(pieces[i]) > indexed:
+            _stream(pieces, batch, partners, group, pair, length, hits)
+            batch, held = [], 0
+        batch.append(i)
+        held += len(pieces[i])
+    if batch:
+        _stream(pieces, batch, partners, group, pair, length, hits)
+    return hits, int(rank.max())
+
+
 def _stream(segments: list[bytes], left: list[int], partners: dict, group: np.ndarray, pair: np.ndarray, length: int, found: list[list[np.ndarray]]) -> None:
     """Index the left segments; stream the right halves of their pairs."""
     # Halves of different pairs must not match: each pair has a tag, its bytes are other symbols.
@@ -253,9 +309,12 @@ def _stream(segments: list[bytes], left: list[int], partners: dict, group: np.nd
     tag_of = lambda i: tag[int(group[i]), int(pair[i])]
     index = Index([segments[i] for i in left], [tag_of(i) for i in left])
     right = [i for k in tag for i in partners[k]]
-    for a in range(0, len(right), 2000):
-        own = right[a : a + 2000]
-        query = np.concatenate([symbols_of(np.frombuffer(segments[i], np.uint8).astype(np.int64), tag_of(i)) for i in own])
+    for a in range(0, len(right), 8000):
+        own = right[a : a + 8000]
+        data = b"".join(segments[i] for i in own)
+        tags = np.repeat(np.array([tag_of(i) for i in own]), [len(segments[i]) for i in own])
+        query = symbols_of(np.frombuffer(data, np.uint8).astype(np.int64), tags)
+        ahead = eights(data)
         sizes = np.array([len(segments[i]) for i in own])
         begins = np.cumsum(sizes) - sizes
         cuts = [(b + x, min(LANE + length - 1, n - x), i, x) for i, b, n in zip(own, begins.tolist(), sizes.tolist(), strict=True) for x in range(0, max(1, n - length + 1), LANE)]
@@ -264,7 +323,7 @@ def _stream(segments: list[bytes], left: list[int], partners: dict, group: np.nd
         lanes = np.array([c[1] for c in cuts])
         ends = np.cumsum(lanes)
         source = np.repeat(np.array([c[0] for c in cuts]) - (ends - lanes), lanes) + np.arange(ends[-1])
-        hits = np.flatnonzero(index.statistics(query[source], ends, lanes, length) >= length)
+        hits = np.flatnonzero(index.statistics(query[source], ahead[source], ends, lanes, length) >= length)
         lane = np.searchsorted(ends, hits, side="right")
         for k in np.flatnonzero(np.bincount(lane, minlength=len(cuts))):
             x, y = np.searchsorted(lane, [k, k + 1])

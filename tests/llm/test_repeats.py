@@ -95,7 +95,7 @@ def test_index_keeps_runs_only():
     rng = np.random.default_rng(1)
     base = rng.integers(97, 101, 2000).astype(np.uint8).tobytes()
     index = R.Index([base] * 20, [0] * 20)
-    assert len(index.starts) < 2500 < len(index.text) / 10
+    assert len(index.starts) < 2500 < len(index.eights) / 10
     assert len(index.first) == len(index.last) == len(index.starts)
 
 
