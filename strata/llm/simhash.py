@@ -14,9 +14,17 @@ by a task of its own. A tile returns a spanning forest of its links, never all p
 Forests are joined into components by alternating large-star and small-star steps on
 distributed tables; nothing of a document's size or number reaches the driver.
 
-For a similarity of shingle sets, where far more bits differ, ``similar_documents`` takes
-fingerprints of several words and tables of keys drawn from their bits: links are missed
-with a small probability that follows from the number of tables, never invented.
+For a similarity of shingle sets, where repeats of a shingle must not count and far more
+bits would differ, ``similar_documents`` works on the sets of distinct shingles (as 64-bit
+hashes) in two steps:
+
+* candidates: 256 min-wise hash functions a set, which agree with a probability of the
+  Jaccard similarity J, whatever the sets' sizes. Sets that agree in one of 42 bands of 6
+  functions are compared by sketches of one bit a function, with a radius over five
+  standard deviations above the mean at 0.8. At J = 0.8 a pair has no common band with a
+  probability of 3e-6, and a larger one less;
+* links: within the components of candidates, every pair that can reach the similarity
+  (by its rarest shingles) is counted exactly, so none below it is ever linked.
 
 Defined results. Null or empty text, or no words: fingerprint zero, linked like any
 other. Fewer words than a shingle: one shingle of all words. Equal fingerprints are one
@@ -42,8 +50,11 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 TILE = 4096
 #: Rows that a task compares at once, besides those of one tile.
 ROWS_AT_ONCE = 1 << 15
-#: For similarities: 64-bit words of a fingerprint, tables and bits of their keys.
-WORDS, TABLES, KEY_BITS = 4, 48, 16
+#: For similarities: min-wise functions, those of a band, and differing bits of candidates'
+#: sketches at most (25.6 on average at 0.8, with a standard deviation of 4.8).
+FUNCTIONS, BAND, SKETCH_RADIUS = 256, 6, 52
+#: Shingles of a component of candidates that one part holds; a tile holds two parts.
+PART = 1 << 20
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -59,44 +70,25 @@ def shingles_of(text: bytes, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), stops[size - 1 :].tolist(), strict=True)]
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The k-th set of 64-bit hashes derived from ``hashes``; the 0-th is itself."""
-    if not k:
-        return hashes
-    h = hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED, words: int = 1) -> list[int]:
-    """Unsigned 64-bit words: a bit is set if it is set in over half of the hashes."""
+def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64 bits: a bit is set if it is set in over half of the hashes."""
     from xxhash import xxh64_intdigest
 
-    shingles = shingles_of(text, size)
-    if not shingles:
-        return [0] * words
-    hashes = np.array([xxh64_intdigest(s, seed) for s in shingles], "<u8")
-    out = []
-    for k in range(words):
-        counts = np.zeros(64, np.int64)
-        own = mixed(hashes, k)
-        for a in range(0, len(own), 1 << 14):
-            bits = np.unpackbits(own[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0]))
-    return out
+    hashes = np.array([xxh64_intdigest(s, seed) for s in shingles_of(text, size)], "<u8")
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "simhash", size: int = SHINGLE, words: int = 1) -> DataFrame:
-    """``docs`` with the struct ``out``: ``fp``, or ``fp0``, ``fp1``, ..., as signed 64-bit integers."""
-    names = ["fp"] if words == 1 else [f"fp{k}" for k in range(words)]
+def with_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "simhash", size: int = SHINGLE) -> DataFrame:
+    """``docs`` with the struct ``out``: ``fp``, as a signed 64-bit integer."""
 
     def work(texts: list[bytes]) -> dict:
-        got = np.array([fingerprint(t, size, words=words) for t in texts], np.uint64).reshape(-1, words).view(np.int64)
-        return {name: got[:, k].copy() for k, name in enumerate(names)}
+        return {"fp": np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)}
 
-    return with_struct(docs, text_col, out, T.StructType([T.StructField(n, T.LongType()) for n in names]), lambda: work)
+    return with_struct(docs, text_col, out, T.StructType([T.StructField("fp", T.LongType())]), lambda: work)
 
 
 def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -194,23 +186,6 @@ def _keys(fp: Column, radius: int) -> Column:
     return F.array(*out)
 
 
-def _sampled(nodes: DataFrame, words: int, tables: int, key_bits: int, seed: int = SEED) -> DataFrame:
-    """A row per node and table; its key is the table's number and ``key_bits`` bits drawn from all."""
-    rng = np.random.default_rng(seed)
-    drawn = np.array([rng.choice(64 * words, key_bits, replace=False) for _ in range(tables)])
-    names = ["fp", "key", *[f"w{k}" for k in range(words)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, *own = [c.to_numpy() for c in batch.columns]
-            bits = np.unpackbits(np.stack(own, axis=1).view(np.uint8), axis=1, bitorder="little")
-            for k, places in enumerate(drawn):
-                key = bits[:, places].astype(np.int64) @ (1 << np.arange(key_bits)) | k << key_bits
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, key, *own)], names=names)
-
-    return nodes.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
 def forest(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct ``fp`` of ``fps``."""
     return _compared(fps.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"), F.col("fp").alias("w0")), 1, radius, tile)
@@ -312,25 +287,166 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components(printed, edges).select("doc_id", "fp", "component_id")
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Differing bits to expect at this Jaccard similarity of two equally large sets."""
-    return int(round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+def shingle_set(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(s, seed) for s in set(shingles_of(text, size))], np.uint64))
+
+
+def minima(own: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The least value of each min-wise function over a set of hashes."""
+    rng = np.random.default_rng(seed)
+    flips, odd = rng.integers(0, 1 << 64, (2, FUNCTIONS), np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(FUNCTIONS, ~np.uint64(0))
+    for a in range(0, len(own), 256):
+        np.minimum(least, ((own[a : a + 256, None] ^ flips) * odd).min(axis=0), out=least)
+    return least
+
+
+def sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A mixed bit of each minimum, in 64-bit words; and a key per band."""
+    bits = np.packbits((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8), bitorder="little")
+    bands = len(least) // BAND
+    rows = least[: bands * BAND].reshape(bands, BAND)
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in rows.T:
+        keys = (keys ^ column) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys ^= keys >> np.uint64(29)
+    return bits.view(np.int64), keys.view(np.int64)
+
+
+def with_sketches(docs: DataFrame, text_col: str, out: str, size: int) -> DataFrame:
+    """``docs`` with the struct ``out``: ``fp`` (of the whole shingle set), sketch words ``w0``, ... and ``bands``."""
+    from xxhash import xxh64_intdigest
+
+    names = [f"w{k}" for k in range(FUNCTIONS // 64)]
+
+    def work(texts: list[bytes]) -> dict:
+        sets = [shingle_set(t, size) for t in texts]
+        made = [sketch(minima(s)) for s in sets]
+        words = np.array([w for w, _ in made], np.int64).reshape(-1, len(names))
+        fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return {"fp": fps, "bands": [b for _, b in made]} | {n: words[:, k].copy() for k, n in enumerate(names)}
+
+    fields = [T.StructField(n, T.LongType()) for n in ("fp", *names)]
+    return with_struct(docs, text_col, out, T.StructType([*fields, T.StructField("bands", T.ArrayType(T.LongType()))]), lambda: work)
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels (a position in the same component) of sets, linked by exact Jaccard similarity.
+
+    Two sets that reach it share one of their few rarest members. From each set found, the
+    search goes on among those not yet found, so large components cost few comparisons.
+    """
+    labels, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    members, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(members), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(members))
+    owner = np.repeat(labels, sizes)
+    ranks = rank[of]
+    ranks = ranks[np.lexsort((ranks, owner))]  # of each set, rarest first
+    begins = np.cumsum(sizes) - sizes
+    heads = np.minimum(sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, sizes)
+    in_head = np.arange(len(ranks)) - begins[owner] < heads[owner]
+
+    def spread(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        use = in_head & free[owner]
+        order = np.argsort(ranks[use], kind="stable")
+        return ranks[use][order], owner[use][order]
+
+    free, left, held = np.ones(len(sets), bool), len(sets), len(sets)
+    named, holder = index()
+    mark = np.zeros(len(members), np.int64)
+    for seed in range(len(sets)):
+        if not free[seed]:
+            continue
+        free[seed], left, queue = False, left - 1, [seed]
+        while queue and left:
+            i = queue.pop()
+            if left < held / 2:
+                (named, holder), held = index(), left
+            own = ranks[begins[i] : begins[i] + sizes[i]]
+            first = np.searchsorted(named, own[: heads[i]])
+            near = np.unique(holder[spread(first, np.searchsorted(named, own[: heads[i]], "right") - first)])
+            near = near[free[near] & (np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9)]
+            if not len(near):
+                continue
+            mark[own] = 1
+            widths = sizes[near]
+            common = np.add.reduceat(mark[ranks[spread(begins[near], widths)]], np.cumsum(widths) - widths)
+            mark[own] = 0
+            found = near[common >= similarity * (sizes[i] + widths - common) - 1e-9]
+            labels[found], free[found], left = seed, False, left - len(found)
+            queue += found.tolist()
+    return labels
+
+
+def _confirmed(texts: DataFrame, rooted: DataFrame, size: int, similarity: float, tile: int, part: int) -> DataFrame:
+    """Edges between nodes of one component of candidates whose sets reach the similarity.
+
+    ``texts``: fp, text; ``rooted``: node, root. Components larger than a part are cut into
+    salted parts, and each pair of parts is compared by a task of its own.
+    """
+    nodes = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
+    members = texts.join(nodes, texts.fp == nodes.node).dropDuplicates(["fp"]).select("root", "fp", "text")
+
+    def with_sets(texts: list[bytes]) -> dict:
+        sets = [shingle_set(t, size) for t in texts]
+        return {"hashes": [s.tobytes() for s in sets], "n": [len(s) for s in sets]}
+
+    kind = T.StructType([T.StructField("hashes", T.BinaryType()), T.StructField("n", T.LongType())])
+    sets = stash(with_struct(members, "text", "own", kind, lambda: with_sets).select("root", "fp", "own.hashes", "own.n"), "sets")
+    parts = F.greatest(F.ceil(F.sum("n") / part), F.ceil(F.count("*") / tile)).cast("int")
+    large = sets.groupBy("root").agg(parts.alias("s")).filter("s > 1")
+    salted = sets.join(large, "root", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("at", F.pmod(F.xxhash64("fp"), "s").cast("int"))
+    pairs = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda x: x != F.col("at")), lambda x: F.struct(F.least(x, F.col("at")).alias("i"), F.greatest(x, F.col("at")).alias("j")))
+    )
+    dealt = salted.select("root", "fp", "hashes", F.explode(pairs).alias("t")).select("root", "t.i", "t.j", "fp", "hashes")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def edges(fps: list[int], own: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(fps) < 2:
+            return
+        labels = linked([np.frombuffer(h, np.uint64) for h in own], similarity)
+        found = np.flatnonzero(labels != np.arange(len(labels)))
+        if len(found):
+            nodes = np.array(fps, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[found]), pa.array(nodes[labels[found]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, own = None, [], []
+        for batch in batches:
+            for *key, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    yield from edges(fps, own)
+                    now, fps, own = key, [], []
+                fps.append(fp)
+                own.append(hashes)
+        yield from edges(fps, own)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, words: int = WORDS, tables: int = TABLES, key_bits: int = KEY_BITS, tile: int = TILE) -> DataFrame:
-    """``docs`` with the struct ``group``: node, root and component_id; links estimate the Jaccard similarity.
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile: int = TILE, part: int = PART) -> DataFrame:
+    """``docs`` with the struct ``group``: fp, root and component_id.
 
-    Two documents link if their fingerprints differ in no more bits than sets of this
-    similarity do on average. With the defaults, a link at that border is found with a
-    probability of 0.97; closer ones almost surely.
+    Two documents link if the Jaccard similarity of their shingle sets is ``similarity``
+    or more; groups are the components of all links. Candidates are tuned to 0.8 or more.
     """
     kept = docs.select(*[c for c in docs.columns if c.lower() not in ("group", "simhash")])
-    printed = with_fingerprints(kept, text_col, "simhash", size, words)
-    printed = stash(printed, "similar")
-    own = [F.col(f"simhash.fp{k}") for k in range(words)]
-    node = F.xxhash64(*own)
-    nodes = printed.select(node.alias("fp"), *[c.alias(f"w{k}") for k, c in enumerate(own)]).dropDuplicates(["fp"])
-    edges = _compared(_sampled(nodes, words, tables, key_bits), words, radius_of(similarity, 64 * words), tile)
+    printed = stash(with_sketches(kept, text_col, "simhash", size), "similar")
+    node = F.col("simhash.fp")
+    words = [f"w{k}" for k in range(FUNCTIONS // 64)]
+    nodes = printed.select(node.alias("fp"), *[F.col(f"simhash.{w}").alias(w) for w in words], F.col("simhash.bands").alias("bands")).dropDuplicates(["fp"])
+    candidates = _compared(nodes.select("fp", F.explode("bands").alias("key"), *words), len(words), SKETCH_RADIUS, tile)
+    texts = printed.select(node.alias("fp"), F.col(text_col).alias("text"))
+    edges = _confirmed(texts, star_components(candidates), size, similarity, tile, part)
     found = _components(printed.select(F.col(id_col).alias("doc_id"), node.alias("fp")).distinct(), edges)
     group = F.struct("fp", "root", "component_id").alias("group")
     by_id = found.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), group)

@@ -138,3 +138,48 @@ def test_many_words_compare_like_pairs():
     for a, b in ((0, 100), (100, 150)):
         want = roots(range(a, b), [(i, j) for i in range(a, b) for j in range(a, i) if d[i, j] <= 39])
         assert [want[i] for i in range(a, b)] == got[a:b].tolist()
+
+
+def test_links_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(50_000)]
+    rows, want = [], set()
+    for k in range(240):
+        n = rng.choice([10, 40, 400])
+        text = [rng.choice(words) for _ in range(n)]
+        copy = list(text)
+        while jaccard(" ".join(text), " ".join(copy)) > 0.75 + 0.1 * k / 240:
+            copy[rng.randrange(n)] = rng.choice(words)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(copy))]
+        want |= {2 * k} if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else {2 * k, 2 * k + 1}
+    assert 20 < 480 - len(want) < 220
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in S.one_of_each(df).collect()} == want
+
+
+def test_exact_links_equal_brute_force():
+    rng = np.random.default_rng(3)
+    for similarity in (0.5, 0.8):
+        sets = []
+        for _ in range(20):
+            base = rng.integers(0, 400, rng.choice([1, 4, 5, 60])).astype(np.uint64)
+            sets += [np.unique(np.where(rng.random(len(base)) < 0.1, rng.integers(0, 400, len(base)), base).astype(np.uint64)) for _ in range(8)]
+        plain = [set(s.tolist()) for s in sets]
+        want = roots(range(len(sets)), [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(plain[i] & plain[j]) >= 5 * similarity * len(plain[i] | plain[j]) - 1e-6])
+        assert [want[i] for i in range(len(sets))] == S.linked(sets, similarity).tolist()
+
+
+def test_components_of_candidates_are_cut_into_parts(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(60):
+        texts.append(list(base))
+        for at in rng.sample(range(300), 7):
+            texts[-1][at] = f"x{rng.random()}"
+    texts = [" ".join(t) for t in texts]
+    want = roots(range(60), [(i, j) for i in range(60) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part in (2000, S.PART):
+        got = {r.doc_id: r.group.component_id for r in S.similar_documents(df, part=part, tile=16).collect()}
+        assert got == want
