@@ -2,12 +2,14 @@
 
 A document's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each byte
 has a learned embedding; learned filters slide over a chunk and each filter keeps its
-maximum there. Over the document's chunks, the maximum and the mean of these feed one
-hidden layer and one probability.
+maximum there, over the windows that start in the text and end no later than its last
+byte, rounded up to a stride. Over the document's chunks, the maximum and the mean of
+these feed one hidden layer and one probability.
 
 It is trained on the driver on a bounded sample: the ``sample_rows`` labelled rows with
-the least hashes of their ids (fewer if there are fewer), with at most ``train_chunks``
-chunks of each drawn anew in every pass. Every text is scored whole.
+the least hashes of their ids (fewer if there are fewer), up to the row with which their
+texts reach ``SAMPLE_BYTES``. Every text, in training as in scoring, is read whole and
+pooled over the same windows of all of its chunks.
 
 Defined results. Null or empty text: one chunk of padding, which has a score like any
 other. Rows with a null label, or a null id, are not learned from; of repeated ids each
@@ -20,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +31,8 @@ from .common import with_struct
 CHUNK, OVERLAP, WIDTH, STRIDE = 1024, 64, 8, 4
 EMBEDDING, FILTERS, HIDDEN = 8, 48, 16
 PAD = 256
-SAMPLE_ROWS, TRAIN_CHUNKS, PASSES, LEAST_STEPS, BATCH, SEED = 4_000, 6, 12, 400, 64, 7
-#: Chunks that are scored at once.
+SAMPLE_ROWS, SAMPLE_BYTES, PASSES, LEAST_STEPS, BATCH, SEED = 4_000, 32 << 20, 12, 400, 64, 7
+#: Chunks that are pooled at once.
 SCORED_AT_ONCE = 256
 
 
@@ -56,14 +58,18 @@ class Network:
     def params(self) -> list[np.ndarray]:
         return [self.emb, self.conv, self.bias, self.w1, self.b1, self.w2, self.b2]
 
-    def pooled(self, chunks: np.ndarray, with_places: bool = False):
-        """Each filter's maximum over each chunk (rows of bytes), and where it lies."""
+    def pooled(self, chunks: np.ndarray, with_places: bool = False, sizes: np.ndarray | None = None):
+        """Each filter's maximum over each chunk (rows of bytes; ``sizes``: without padding), and where it lies."""
         n, size = chunks.shape
         steps = (size - WIDTH) // STRIDE + 1
         x = self.emb[chunks].reshape(n, size // STRIDE, STRIDE * EMBEDDING)
         half = STRIDE * EMBEDDING
         act = (x.reshape(-1, half) @ self.conv[:half]).reshape(n, -1, FILTERS)[:, :steps]
         act = act + (x.reshape(-1, half) @ self.conv[half:]).reshape(n, -1, FILTERS)[:, 1 : steps + 1]
+        if sizes is not None:
+            windows = np.maximum(-(-sizes // STRIDE) - WIDTH // STRIDE, 0) + 1
+            for i in np.flatnonzero(windows < steps):
+                act[i, windows[i] :] = -np.inf
         if not with_places:
             return np.maximum(act.max(axis=1) + self.bias, 0)
         place = act.argmax(axis=1)
@@ -89,7 +95,8 @@ class Network:
             cut = np.frombuffer(text, np.uint8)
             span = (CHUNK - OVERLAP) * SCORED_AT_ONCE
             for a in range(0, max(1, len(cut) - OVERLAP), span):
-                got = self.pooled(chunked(cut[a : a + span + OVERLAP]))
+                part = cut[a : a + span + OVERLAP]
+                got = self.pooled(chunked(part), sizes=sizes_of(len(part)))
                 total, most, n = total + got.sum(axis=0), np.maximum(most, got.max(axis=0)), n + len(got)
             maxima.append(most)
             sums.append(total)
@@ -115,15 +122,24 @@ def chunked(text: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::step]
 
 
-def _full(text: bytes) -> np.ndarray:
-    """Chunks of CHUNK bytes each, as training stacks them."""
-    own = chunked(np.frombuffer(text, np.uint8))
-    if own.shape[1] < CHUNK:
-        own = np.concatenate([own, np.full((1, CHUNK - own.shape[1]), PAD, np.int16)], axis=1)
-    return own
+def sizes_of(n: int) -> np.ndarray:
+    """Bytes of a text of ``n`` bytes in each of its chunks."""
+    step = CHUNK - OVERLAP
+    return np.minimum(n - step * np.arange(1 + max(0, -(-(n - CHUNK) // step))), CHUNK)
+
+
+def _blocks(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Chunks of CHUNK bytes each, and their sizes, in blocks; each text's first chunk."""
+    chunks, sizes = [], [sizes_of(len(t)) for t in texts]
+    for text in texts:
+        own = chunked(np.frombuffer(text, np.uint8))
+        chunks.append(np.pad(own, ((0, 0), (0, CHUNK - own.shape[1])), constant_values=PAD))
+    first = np.cumsum([0, *map(len, chunks[:-1])])
+    rows, size = np.concatenate(chunks), np.concatenate(sizes)
+    return [(rows[a : a + SCORED_AT_ONCE], size[a : a + SCORED_AT_ONCE]) for a in range(0, len(rows), SCORED_AT_ONCE)], first
 
 
-def train(texts: list[bytes], labels: list[int], passes: int = PASSES, train_chunks: int = TRAIN_CHUNKS, seed: int = SEED) -> Network:
+def train(texts: list[bytes], labels: list[int], passes: int = PASSES, seed: int = SEED) -> Network:
     """Adam on the cross entropy: ``passes`` over the sample, more if that makes few steps."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
@@ -131,18 +147,16 @@ def train(texts: list[bytes], labels: list[int], passes: int = PASSES, train_chu
     if not len(y) or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
-    docs = [_full(t) for t in texts]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params()]
-    batches = -(-len(docs) // BATCH)
+    batches = -(-len(texts) // BATCH)
     passes = max(passes, -(-LEAST_STEPS // batches))
     t, last = 0, passes * batches
     for _ in range(passes):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
-            drawn = [docs[i] if len(docs[i]) <= train_chunks else docs[i][rng.choice(len(docs[i]), train_chunks, replace=False)] for i in rows]
-            first = np.concatenate([[0], np.cumsum([len(d) for d in drawn])[:-1]])
-            grads = _gradients(net, np.concatenate(drawn), first, y[rows])
+            blocks, first = _blocks([texts[i] for i in rows])
+            grads = _gradients(net, blocks, first, y[rows])
             t += 1
             rate = 0.004 * min(1, t / 20) * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * t / last)))
             for p, g, (m, v) in zip(net.params(), grads, moments, strict=True):
@@ -152,8 +166,11 @@ def train(texts: list[bytes], labels: list[int], passes: int = PASSES, train_chu
     return net
 
 
-def _gradients(net: Network, chunks: np.ndarray, first: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    pooled, place = net.pooled(chunks, with_places=True)
+def _gradients(net: Network, chunks: np.ndarray | list, first: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean loss; ``chunks``: rows of bytes, or blocks of rows and their sizes."""
+    blocks = chunks if isinstance(chunks, list) else [(chunks, None)]
+    found = [net.pooled(rows, True, sizes) for rows, sizes in blocks]
+    pooled, place = (np.concatenate(x) for x in zip(*found, strict=True))
     feats = net.combine(pooled, first)
     hidden = np.tanh(feats @ net.w1 + net.b1)
     p = 1 / (1 + np.exp(-np.clip(hidden @ net.w2 + net.b2, -30, 30)))
@@ -166,14 +183,16 @@ def _gradients(net: Network, chunks: np.ndarray, first: np.ndarray, y: np.ndarra
     ties = np.add.reduceat(top.astype(np.float32), first)[doc]
     d_pooled = d_feats[doc, :FILTERS] * top / ties + d_feats[doc, FILTERS:] / counts[doc][:, None]
     d_pooled *= pooled > 0
-    # Only the places of the maxima get a gradient.
-    start = place * STRIDE
-    seen = chunks[np.arange(len(chunks))[:, None, None], start[:, :, None] + np.arange(WIDTH)]  # chunk, filter, byte
-    x = net.emb[seen].reshape(len(chunks), FILTERS, -1)
-    d_conv = np.einsum("nfk,nf->kf", x, d_pooled, optimize=True)
-    d_x = (d_pooled[:, :, None] * net.conv.T[None]).reshape(-1, EMBEDDING)
-    flat = seen.reshape(-1)
-    d_emb = np.stack([np.bincount(flat, d_x[:, e], 257) for e in range(EMBEDDING)], axis=1).astype(np.float32)
+    d_conv, d_emb, at = np.zeros_like(net.conv), np.zeros_like(net.emb), 0
+    for rows, _ in blocks:  # Only the places of the maxima get a gradient.
+        start, d = place[at : at + len(rows)] * STRIDE, d_pooled[at : at + len(rows)]
+        at += len(rows)
+        seen = rows[np.arange(len(rows))[:, None, None], start[:, :, None] + np.arange(WIDTH)]  # chunk, filter, byte
+        x = net.emb[seen].reshape(len(rows), FILTERS, -1)
+        d_conv += np.einsum("nfk,nf->kf", x, d, optimize=True)
+        d_x = (d[:, :, None] * net.conv.T[None]).reshape(-1, EMBEDDING)
+        flat = seen.reshape(-1)
+        d_emb += np.stack([np.bincount(flat, d_x[:, e], 257) for e in range(EMBEDDING)], axis=1).astype(net.emb.dtype)
     return [d_emb, d_conv, d_pooled.sum(axis=0), feats.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ d_logit, d_logit.sum(keepdims=True)]
 
 
@@ -183,11 +202,14 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Train on at most ``sample_rows`` labelled rows that aren't held out."""
+    """Train on at most ``sample_rows`` labelled rows that aren't held out, and about ``SAMPLE_BYTES``."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     sample = usable.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i", "y").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    rows = texts.join(F.broadcast(sample), "i").orderBy("i", "y", "body").limit(sample_rows).collect()
+    order = (F.xxhash64("i"), "i", "y", "body")
+    before = F.sum(F.octet_length("body").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    first = texts.join(F.broadcast(sample), "i").orderBy(*order).limit(sample_rows)
+    rows = first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SAMPLE_BYTES).orderBy(*order).collect()
     return train([r.body.encode() for r in rows], [r.y for r in rows])
 
 

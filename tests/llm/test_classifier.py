@@ -75,3 +75,17 @@ def test_without_usable_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.judged.score for r in C.classify(docs, C.fit(docs, none)).collect()] == [0.5, 0.5]
     assert C.classify(docs.limit(0), C.fit(docs, none)).count() == 0
+
+
+def test_training_pools_what_scoring_pools():
+    rng = np.random.default_rng(9)
+    net = C.Network.fresh(rng)
+    net.emb[C.PAD] = 50.0
+    net.bias += 0.1
+    texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (0, 1, 9, 700, 1023, 1024, 1025, 1900, 2000, 9000, 270_000)]
+    blocks, first = C._blocks(texts)
+    feats = net.combine(np.concatenate([net.pooled(rows, sizes=sizes) for rows, sizes in blocks]), first)
+    assert np.allclose(net.head(feats), net.score(texts), atol=1e-5)
+    # Windows of padding alone are nowhere pooled: a text and its longer copy of the same bytes agree.
+    same = [b"abcd" * n for n in (4, 255, 256, 257, 300, 2000)]
+    assert np.ptp(net.score(same)) < 1e-6
