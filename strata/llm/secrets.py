@@ -3,8 +3,10 @@
 Three known kinds (``assign``, ``access``, ``hex``) are found by pattern. The kind
 ``random`` comes from a test battery over long tokens:
 
-* the encoding is inferred from the characters (hexadecimal, base 32, 62, 64, URL-safe
-  64), and asks for the mixture of letters and digits that such encodings show;
+* the encoding is inferred from the characters (hexadecimal, base 32 and 36 of either
+  case, base 62, 64, URL-safe 64, and these mixed; in one case also with marks between
+  groups, which are left out of the tests). A token of one case needs a digit and a
+  letter: words, numbers and paths of such letters alone are not judged;
 * three tests ask whether the token could be uniform over that alphabet: chi-squared of
   its character counts, the number of runs above and below the middle, and the serial
   correlation of neighbours; Fisher's method combines their p-values;
@@ -44,14 +46,22 @@ KINDS = ("assign", "access", "hex", "random")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Encodings in the order in which they are tried: the pattern of the whole token, what it
-#: has to contain, its alphabet.
+#: has to contain, its alphabet, and the marks that only separate groups.
 ENCODINGS = (
-    (r"^[0-9a-f]+$", (r"[0-9]", r"[a-f]"), _DIGITS + "abcdef"),
-    (r"^[0-9A-F]+$", (r"[0-9]", r"[A-F]"), _DIGITS + "ABCDEF"),
-    (r"^[A-Z2-7]+$", (r"[2-7]", r"[A-Z]"), _UPPER + "234567"),
-    (r"^[A-Za-z0-9]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), _DIGITS + _UPPER + _LOWER),
-    (r"^[A-Za-z0-9+/]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), _UPPER + _LOWER + _DIGITS + "+/"),
-    (r"^[A-Za-z0-9_-]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), _UPPER + _LOWER + _DIGITS + "-_"),
+    (r"^[0-9a-f]+$", (r"[0-9]", r"[a-f]"), _DIGITS + "abcdef", ""),
+    (r"^[0-9A-F]+$", (r"[0-9]", r"[A-F]"), _DIGITS + "ABCDEF", ""),
+    (r"^[A-Z2-7]+$", (r"[2-7]", r"[A-Z]"), _UPPER + "234567", ""),
+    (r"^[a-z2-7]+$", (r"[2-7]", r"[a-z]"), _LOWER + "234567", ""),
+    (r"^[A-Z0-9]+$", (r"[0-9]", r"[A-Z]"), _DIGITS + _UPPER, ""),
+    (r"^[a-z0-9]+$", (r"[0-9]", r"[a-z]"), _DIGITS + _LOWER, ""),
+    (r"^[0-9a-f-]+$", (r"[0-9]", r"[a-f]"), _DIGITS + "abcdef", "-"),
+    (r"^[0-9A-F-]+$", (r"[0-9]", r"[A-F]"), _DIGITS + "ABCDEF", "-"),
+    (r"^[A-Z0-9+/_-]+$", (r"[0-9]", r"[A-Z]"), _DIGITS + _UPPER, "+/_-"),
+    (r"^[a-z0-9+/_-]+$", (r"[0-9]", r"[a-z]"), _DIGITS + _LOWER, "+/_-"),
+    (r"^[A-Za-z0-9]+$", (r"[A-Z]", r"[a-z]"), _DIGITS + _UPPER + _LOWER, ""),
+    (r"^[A-Za-z0-9+/]+$", (r"[A-Z]", r"[a-z]"), _UPPER + _LOWER + _DIGITS + "+/", ""),
+    (r"^[A-Za-z0-9_-]+$", (r"[A-Z]", r"[a-z]"), _UPPER + _LOWER + _DIGITS + "-_", ""),
+    (r"^[A-Za-z0-9+/_-]+$", (r"[A-Z]", r"[a-z]"), _UPPER + _LOWER + _DIGITS + "+/-_", ""),
 )
 #: Length classes: their least lengths. Rate of false discoveries of non-random tokens.
 CLASSES = (20, 24, 32, 48, 64, 128)
@@ -159,12 +169,17 @@ def p_value(token: Column, alphabet: str) -> Column:
 
 def _judged(token: Column) -> Column:
     """p-value under the first encoding that the token may have; null if none."""
+
+    def over(alphabet: str, marks: str) -> Column:
+        return let(F.translate(token, marks, ""), lambda t: p_value(t, alphabet)) if marks else p_value(token, alphabet)
+
     out = None
-    for whole, needed, alphabet in ENCODINGS:
+    for whole, needed, alphabet, marks in ENCODINGS:
         fits = token.rlike(whole)
         for part in needed:
             fits = fits & token.rlike(part)
-        out = F.when(fits, p_value(token, alphabet)) if out is None else out.when(fits, p_value(token, alphabet))
+        p = over(alphabet, marks)
+        out = F.when(fits, p) if out is None else out.when(fits, p)
     return out
 
 

@@ -65,3 +65,24 @@ def test_running_sums(spark):
     df = spark.range(1).select(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long")).alias("x"))
     r = df.select(secrets.running_sums(F.col("x")).alias("s")).first().s
     assert r == [i * (i + 1) // 2 for i in range(1, 1001)]
+
+
+def test_battery_judges_every_alphabet(spark):
+    rng = random.Random(7)
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    draw = lambda alphabet, n=32: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = {
+        "base 36": lambda: draw(low + num),
+        "upper base 36": lambda: draw(up + num),
+        "lower base 32": lambda: draw(low + "234567"),
+        "dashed hex": lambda: "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "mixed marks": lambda: "+-" + draw(low + up + num + "+/-_", 30),
+        "no digit": lambda: draw(low + up),
+    }
+    tokens = [(kind, make()) for kind, make in kinds.items() for _ in range(40)]
+    soft = [f"documentation-of-the-interesting-things-{i}" for i in range(60)] + [f"/usr/share/gettingstarted/documentation/{i}" for i in range(60)]
+    got = scan(spark, [f"see {t} here" for t in [t for _, t in tokens] + soft])
+    for kind in kinds:
+        found = [any(s == ("random", 4, 4 + len(t)) for s in got[i]) for i, (k, t) in enumerate(tokens) if k == kind]
+        assert sum(found) >= 0.85 * len(found), kind
+    assert sum(any(s[0] == "random" for s in got[len(tokens) + i]) for i in range(len(soft))) <= 0.1 * len(soft)
