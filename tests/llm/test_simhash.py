@@ -183,3 +183,14 @@ def test_components_of_candidates_are_cut_into_parts(spark):
     for part in (2000, S.PART):
         got = {r.doc_id: r.group.component_id for r in S.similar_documents(df, part=part, tile=16).collect()}
         assert got == want
+
+
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(8)
+    draw = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    line, text = " ".join(draw(12)) + "\n", draw(400)
+    rows = [(k, " ".join(draw(300)) + "\n" + line * 60) for k in range(2)]
+    rows += [(2, " ".join(text)), (3, " ".join(text) + "\n" + (" ".join(text[:12]) + "\n") * 30)]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[2][1], rows[3][1]) > 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in S.one_of_each(df).collect()) == [0, 1, 2]
