@@ -3,7 +3,8 @@
 Each word seen before (the context) has a restaurant; all context restaurants share one
 parent, the restaurant of words without context, whose own parent is uniform over the
 known words and one unknown. Customers of a context are the words that follow it in the
-training documents; each of its tables is a customer of the parent.
+training documents. The parent's customers are one table per distinct pair (minimal
+seating): it is seated once, before the contexts, whose sampled tables don't change it.
 
 Seating is sampled by Gibbs: given all other counts, the number of tables at which the c
 customers of a word sit is drawn anew in each sweep, exactly (from generalized Stirling
