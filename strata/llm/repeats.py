@@ -42,9 +42,10 @@ from pyspark.sql import functions as F
 
 from .blobs import ROWS, by_group, chunks_of, dealt, pack, rows_of, slot, unpack
 from .common import bound_batches, stash
+from .tokens import groups_of
 
 LENGTH, GRAM = 100, 16
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, TOGETHER = 8 << 20, 2 << 20
 #: Bytes of text per bucket of contexts, and of segments per bucket of the index.
 BYTES_PER_BUCKET, SEGMENTS_PER_BUCKET = 24 << 20, 2 << 20
 #: Bytes that one index holds at most, but for a single longer segment; starts of a streamed lane.
@@ -74,7 +75,18 @@ def gram_hashes(data: bytes) -> np.ndarray:
 
 
 def contexts_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(anchor hash, document, first start, last start) of the contexts of all texts, in order."""
+    """(anchor hash, document, first start, last start) of the contexts of all texts, in order.
+
+    Runs of texts are taken at once: their bytes cost about fifty times their number in memory.
+    """
+    found = []
+    for a, b in groups_of(texts, TOGETHER):
+        anchor, doc, lo, hi = _contexts(texts[a:b], length)
+        found.append((anchor, doc + a, lo, hi))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else _contexts([], length)
+
+
+def _contexts(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     data = b"".join(texts)
@@ -249,18 +261,22 @@ def repeats_among(segments: list[bytes], rank: np.ndarray, group: np.ndarray, le
     """
     sizes = np.array([len(s) for s in segments], np.int64)
     begins = np.cumsum(sizes) - sizes
+    filled = np.flatnonzero(sizes)  # empty segments share a place with the next one
     found: list[list[np.ndarray]] = [[] for _ in segments]
-    starts = possible_starts(segments, group, length) if segments else np.empty(0, np.int64)
-    level = 0
-    while len(starts):
-        owner = np.searchsorted(begins, starts, side="right") - 1
-        while len(own := np.flatnonzero(sizes[owner] == 0)):  # empty segments share a place
-            owner[own] -= 1
+
+    def cut(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Segment, first start and bytes of each run of successive starts in a segment."""
+        owner = filled[np.searchsorted(begins[filled], starts, side="right") - 1]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(owner) != 0)]))
         of = owner[new]
         first = starts[new] - begins[of]
         last = starts[np.append(new[1:], len(starts)) - 1] - begins[of]
-        pieces = [segments[i][a : b + length] for i, a, b in zip(of.tolist(), first.tolist(), last.tolist(), strict=True)]
+        return of, first, [segments[i][a : b + length] for i, a, b in zip(of.tolist(), first.tolist(), last.tolist(), strict=True)]
+
+    starts = possible_starts(segments, group, length) if segments else np.empty(0, np.int64)
+    level = 0
+    while len(starts):
+        of, first, pieces = cut(starts)
         hits, deepest = _level(pieces, rank[of], group[of], level, length, indexed)
         gone = []
         for k, places in enumerate(hits):
@@ -268,11 +284,17 @@ def repeats_among(segments: list[bytes], rank: np.ndarray, group: np.ndarray, le
                 places = np.unique(np.concatenate(places)) + first[k]
                 found[of[k]].append(places)
                 gone.append(places + begins[of[k]])
-        if gone:
-            starts = starts[~np.isin(starts, np.concatenate(gone))]
         level += 1
         if not deepest >> level:
             break
+        if gone:
+            starts = starts[~np.isin(starts, np.concatenate(gone))]
+            if len(starts):  # a string whose other holders have all left can't repeat any more
+                of, first, pieces = cut(starts)
+                left = possible_starts(pieces, group[of], length)
+                at = np.cumsum([0, *map(len, pieces[:-1])])
+                piece = np.searchsorted(at, left, side="right") - 1
+                starts = left - at[piece] + first[piece] + begins[of[piece]]
     return [np.unique(np.concatenate(f)) if f else np.empty(0, np.int64) for f in found]
 
 
@@ -461,26 +483,20 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for _, group in by_group(((b.select(["part", "seq", "kind", "blob"])) for b in batches), 2):
             ids, known, lengths, data = _documents(next(r[3] for r in group if r[2] == 0))
             begin = np.cumsum(lengths) - lengths
-            edge = np.zeros(len(data) + 1, np.int32)
-            for doc, lo, n in (unpack(r[3]) for r in group if r[2] == 1):
-                a = begin[doc.astype(np.int64)] + lo
-                edge += np.bincount(a.astype(np.int64), minlength=len(edge)).astype(np.int32)
-                edge -= np.bincount((a + n + (length - 1)).astype(np.int64), minlength=len(edge)).astype(np.int32)
-            gone = np.cumsum(edge[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            some = np.flatnonzero(lengths)
-            opens[begin[some]] = gone[begin[some]]
-            spans = np.concatenate([[0], np.cumsum(opens)])
-            ends = begin + lengths
-            kept_bytes = data[~gone].tobytes()
-            kept_at = begin - total[begin]
-            removed = total[ends] - total[begin]
+            sent = [unpack(r[3]) for r in group if r[2] == 1]
+            doc, start, stop = _merged(*(np.concatenate([x[j] for x in sent] or [lengths[:0]]).astype(np.int64) for j in range(3)), length)
+            # Runs of two documents may touch: one's end and the other's start cancel out.
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[begin[doc] + start] += 1
+            edge[begin[doc] + stop] -= 1
+            kept_bytes = data[np.cumsum(edge[:-1], dtype=np.int8) == 0].tobytes()
+            spans = np.bincount(doc, minlength=len(ids))
+            removed = np.bincount(doc, stop - start, len(ids)).astype(np.int64)
+            kept_at = begin - (np.cumsum(removed) - removed)
             kept = [kept_bytes[a : a + n] for a, n in zip(kept_at.tolist(), (lengths - removed).tolist(), strict=True)]
             for a in range(0, len(ids), 2000):
                 cut = slice(a, a + 2000)
-                columns = [pa.array(ids[cut].astype(np.int64), mask=~known[cut]), pa.array(lengths[cut].astype(np.int64)), pa.array(removed[cut].astype(np.int64)), pa.array((spans[ends] - spans[begin])[cut].astype(np.int64)), pa.array(kept[cut], pa.binary())]
+                columns = [pa.array(ids[cut].astype(np.int64), mask=~known[cut]), pa.array(lengths[cut].astype(np.int64)), pa.array(removed[cut].astype(np.int64)), pa.array(spans[cut].astype(np.int64)), pa.array(kept[cut], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     known = answers.filter("bucket = 0").unionByName(matched).withColumn("kind", F.lit(1))
@@ -488,6 +504,19 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return last.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _merged(doc: np.ndarray, first: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document, start, stop) of the maximal runs of bytes under strings that start at ``first``, ..., n each."""
+    order = np.lexsort((first, doc))
+    doc, start, stop = doc[order], first[order], (first + n + (length - 1))[order]
+    if not len(doc):
+        return doc, start, stop
+    # Places beyond all of a document's separate it from the next one.
+    base = doc * (int(stop.max()) + 1)
+    reach = np.maximum.accumulate(base + stop)
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (base[1:] + start[1:] > reach[:-1])]))
+    return doc[new], start[new], reach[np.append(new[1:], len(doc)) - 1] - base[new]
+
+
 def _order(ids: np.ndarray, known: np.ndarray, chunk: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Keys that sort documents: null ids first, then ids, then places in the input."""
     rank = np.empty(len(ids), np.int64)
