@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROWS = "bucket long, part int, seq int, blob binary"
 
@@ -78,8 +79,8 @@ def by_group(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tu
 
 
 def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """``rows`` in ``n`` partitions by the first key, sorted by all keys."""
-    return rows.repartition(n, keys[0]).sortWithinPartitions(*keys)
+    """``rows`` in ``n`` partitions, one for each value of the first key from 0 on, sorted by all keys."""
+    return rows.repartitionById(n, F.col(keys[0]).cast("int")).sortWithinPartitions(*keys)
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[bytes]]]:

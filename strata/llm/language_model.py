@@ -3,26 +3,26 @@
 Each word seen before (the context) has a restaurant; all context restaurants share one
 parent, the restaurant of words without context, whose own parent is uniform over the
 known words and one unknown. Customers of a context are the words that follow it in the
-training documents. The parent's customers are one table per distinct pair (minimal
-seating): it is seated once, before the contexts, whose sampled tables don't change it.
+training documents; each of its tables is a customer of the parent.
 
-Seating is sampled by Gibbs: given all other counts, the number of tables at which the c
-customers of a word sit is drawn anew in each sweep, exactly (from generalized Stirling
-numbers) up to ``EXACT`` customers, and beyond that by seating the customers in order,
-with jumps from one new table to the next. Predictive probabilities are averaged over
-the sweeps that are kept.
+Seating is sampled by Gibbs in joint rounds. In a round every context's tables are drawn
+anew, dish by dish, given all other counts (``pitman_yor.seat``); then the parent gets the
+new tables as its customers, and its own tables are drawn. The state after such a round is
+one joint sample. Predictive probabilities are averaged over the samples that are kept.
+Within a round tasks see each other's counts as of the round before; a kept sample's
+probabilities use its own counts throughout, so they add up to one, whatever the number of
+buckets. Discounts are estimated from the numbers of types seen once and twice.
 
 Every count covers all training documents. Pairs of words are dealt to buckets by hash:
 
 1. documents are cut into chunks; a chunk sends each of its pairs once to the pair's
    bucket, with its training count;
-2. buckets (cells of a grid of contexts and words) add up the pairs, and exchange sums with the words: each word's training
-   count, its tables as a word, its customers and tables as a context. There the parent
-   restaurant's seating is sampled;
-3. chunks send pairs again, now with the documents that hold them; buckets sample the
-   seating of their pairs, with other buckets' counts as exchanged (scaled by how much
-   their own tables have grown, as pairs are dealt evenly), and return sums per document;
-4. sums are added per chunk.
+2. buckets (cells of a grid of contexts and words) add up the pairs and send each of their
+   words the sums that it takes part in: training count, customers, tables. Pairs seen once
+   sit at one table for good; a bucket keeps only the others for the rounds;
+3. rounds: words return their totals to buckets, which draw tables and send what changed;
+4. chunks send their pairs again, now with the documents that hold them; buckets compute
+   the averaged probabilities and return sums per document, which are added per chunk.
 
 A pair that is common in a chunk travels once from there, and its probability comes back
 by itself; so a very common word or pair costs each bucket one entry per chunk at most.
@@ -30,13 +30,14 @@ Rows between tasks are packed arrays, so that a pair takes some ten bytes.
 
 Defined results. Null or empty text: the end token alone. A null id is learned from.
 Repeated rows are learned from and scored one by one. Without training documents every
-probability is 1. An empty table gives no rows.
+probability is 1. Very long texts are read whole: a chunk holds one text at least, and its
+memory is in proportion. Other columns are left aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +47,17 @@ from pyspark.sql import functions as F
 
 from .blobs import ROWS, by_group, chunks_of, dealt, pack, rows_of, slot, thick, thin, unpack
 from .common import bound_batches, stash
+from .pitman_yor import discount_of, seat
 
 END = np.uint64(0)
 CHUNK_BYTES = 16 << 20
 #: Tokens of the corpus per bucket, about; occurrences from which a chunk treats a pair as common.
 TOKENS_PER_BUCKET, COMMON = 2_000_000, 200
 STRENGTH, ROOT_STRENGTH = 1.0, 10.0
-BURN, KEEP, SEED, EXACT = 2, 4, 11, 48
+#: Joint rounds that are left out and kept; sweeps over a task's entries in a round.
+BURN, KEEP, SWEEPS, SEED = 1, 2, 2, 11
+#: What buckets and words send each other in rounds; ``state`` is kept, ``sums`` are totals.
+SENT = "bucket long, part int, seq int, blob binary, state binary, sums array<double>"
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -159,77 +164,60 @@ class Pairs:
         self.context, self.word = np.searchsorted(self.words, context), np.searchsorted(self.words, word)
 
     def sums(self) -> list[np.ndarray]:
-        """Per word: training count, tables as a word, customers and tables as a context."""
-        n, seen = len(self.words), (self.c > 0).astype(float)
-        return [np.bincount(i, w, n).astype(np.int64) for i, w in ((self.word, self.c), (self.word, seen), (self.context, self.c), (self.context, seen))]
-
-
-_STIRLING: dict[tuple[float, int], np.ndarray] = {}
-
-
-def log_stirling(discount: float, most: int) -> np.ndarray:
-    """ln of the generalized Stirling numbers S(c, t): ways to seat c customers at t tables."""
-    key = (discount, most)
-    if key not in _STIRLING:
-        out = np.full((most + 1, most + 1), -np.inf)
-        out[0, 0] = 0.0
-        for c in range(most):
-            stay = out[c] + np.log(np.maximum(c - discount * np.arange(most + 1), 1e-300))
-            new = np.concatenate([[-np.inf], out[c, :-1]])
-            out[c + 1] = np.logaddexp(stay, new)
-            out[c + 1, c + 2 :] = -np.inf
-        _STIRLING[key] = out
-    return _STIRLING[key]
-
-
-def sample_tables(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of c customers of one word, given the restaurant's other tables and the parent's probability."""
-    t = np.minimum(c, 1).astype(np.int64)
-    table = log_stirling(discount, EXACT)
-    sized = c.astype(np.int64)
-    few = np.flatnonzero((sized > 1) & (sized <= EXACT))
-    few = few[np.argsort(sized[few], kind="stable")]
-    for own in np.split(few, np.flatnonzero(np.diff(sized[few])) + 1):
-        if not len(own):
-            continue
-        n = int(sized[own[0]])
-        for a in range(0, len(own), 1 << 15):
-            part = own[a : a + (1 << 15)]
-            grow = np.log(strength + discount * (others[part][:, None] + np.arange(n))) + np.log(base[part])[:, None]
-            weight = table[n, 1 : n + 1] + np.cumsum(grow, axis=1)
-            t[part] = 1 + np.argmax(weight - np.log(-np.log(rng.random(weight.shape))), axis=1)
-    many = np.flatnonzero(sized > EXACT)
-    sat, tables = np.ones(len(many)), np.ones(len(many))
-    live = np.arange(len(many))
-    while len(live):  # jump to the next customer who opens a table
-        own = many[live]
-        a = (strength + discount * (others[own] + tables[live])) * base[own]
-        x = np.maximum(sat[live] - discount * tables[live] + (a - 1) / 2, 0.05)
-        with np.errstate(over="ignore"):
-            joined = np.floor(x * np.expm1(-np.log(rng.random(len(live))) / a))
-        sat[live] += joined + 1
-        more = sat[live] <= c[own]
-        tables[live[more]] += 1
-        live = live[more]
-    t[many] = tables.astype(np.int64)
+        """Per word: training count, customers as a context, tables of pairs seen once as a word and as a context."""
+        n, once = len(self.words), (self.c == 1).astype(float)
+        pairs = ((self.word, self.c), (self.context, self.c), (self.word, once), (self.context, once))
+        return [np.bincount(i, w, n).astype(np.int64) for i, w in pairs]
+
+    def open(self) -> np.ndarray:
+        """Pairs whose tables are sampled: those seen more than once."""
+        return np.flatnonzero(self.c > 1)
+
+
+class Parent:
+    """The parent's probabilities from a sample's customers and tables of words and in all."""
+
+    def __init__(self, known: float, customers: float, tables: float, discount: float):
+        self.customers, self.discount = customers, discount
+        self.new = (ROOT_STRENGTH + discount * tables) / (known + 1)
+
+    def of(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - self.discount * tables + self.new) / (ROOT_STRENGTH + self.customers)
+
+
+def sample_parent(k: np.ndarray, known: float, tables: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """The parent's tables of a task's words with ``k`` customers each; ``tables``: of all words before."""
+    t = np.minimum(k, 1)
+    elsewhere = tables * (1 - np.count_nonzero(k) / max(known, 1))
+    much = np.full(len(k), 1e18)  # a constant chance of 1 / (known + 1)
+    for _ in range(SWEEPS):
+        t = seat(k, np.maximum(elsewhere + t.sum() - t, 0), much / (known + 1), much, discount, ROOT_STRENGTH, rng)
     return t
 
 
-def sample_root(k: np.ndarray, words: int, rng: np.random.Generator, discount: float) -> np.ndarray:
-    """Mean number of the parent's own tables per word, over the kept sweeps."""
-    t, total = np.minimum(k, 1).astype(np.int64), np.zeros(len(k))
-    base = np.full(len(k), 1.0 / (words + 1))
-    for sweep in range(BURN + KEEP):
-        # This task's words are an even share of all words.
-        grown = t.sum() / max(1, np.count_nonzero(k)) * words
-        t = sample_tables(k, np.maximum(grown - t, 0), base, discount, ROOT_STRENGTH, rng)
-        total += t * (sweep >= BURN)
-    return total / KEEP
+def sample_tables(c: np.ndarray, context: np.ndarray, word: np.ndarray, t: np.ndarray, parent: Parent, customers: np.ndarray, tables: np.ndarray, own: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """New tables of a bucket's open pairs.
+
+    Per word: ``customers`` and ``tables`` in the parent, tables ``own`` as a context, all
+    as of the last exchange, where the pairs had ``t`` tables.
+    """
+    n = len(own)
+    as_context, as_word = own - np.bincount(context, t, n), customers - np.bincount(word, t, n)
+    for _ in range(SWEEPS):
+        half = rng.random(len(c)) < 0.5
+        for part in (np.flatnonzero(half), np.flatnonzero(~half)):
+            now = t[part]
+            others = (as_context + np.bincount(context, t, n))[context[part]] - now
+            k = (as_word + np.bincount(word, t, n))[word[part]] - now
+            held = np.maximum(np.minimum(tables[word[part]], k), 1)
+            t = t.copy()
+            t[part] = seat(c[part], others, k - parent.discount * held + parent.new, ROOT_STRENGTH + parent.customers - now, discount, STRENGTH, rng)
+    return t
 
 
-def discount_of(ones: float, twos: float) -> float:
-    """Estimate from the numbers of types with one and two customers."""
-    return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones and twos else 0.5
+def predictive(c: np.ndarray, t: np.ndarray, context: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray, discount: float) -> np.ndarray:
+    """Each pair's probability in one sample; ``parent``: that of its word in the parent."""
+    return (c - discount * t + (STRENGTH + discount * tables[context]) * parent) / (STRENGTH + customers[context])
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -255,6 +243,16 @@ def _send(docs: DataFrame, buckets: int, with_docs: bool, chunk_bytes: int, comm
     return docs.mapInArrow(run, ROWS)
 
 
+def sent_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SENT.split(", ")])
+
+
+def _totals(sent: DataFrame, n: int) -> list[float]:
+    """The sums of ``sums``: one row comes to the driver."""
+    return [x or 0.0 for x in sent.agg(*[F.sum(F.col("sums")[i]) for i in range(n)]).first()]
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, tokens_per_bucket: int = TOKENS_PER_BUCKET, chunk_bytes: int = CHUNK_BYTES, common_from: int = COMMON) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -266,56 +264,131 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), group in by_group(batches, 1):
             pairs = Pairs([unpack(r[3]) for r in group])
+            own = pairs.open()
+            used, at = np.unique(np.concatenate([pairs.context[own], pairs.word[own]]), return_inverse=True)
+            c = pairs.c[own].astype(np.int64)
+            state = pack(c, at[: len(own)], at[len(own) :], np.ones(len(own), np.int64))
+            yield sent_rows([(-1, int(bucket), 0, None, state, [float((pairs.c == 1).sum()), float((c == 2).sum())])])
             sums, to = pairs.sums(), slot(pairs.words, buckets)
-            ends = np.searchsorted(to, np.arange(buckets + 1))
-            ones = np.array([(pairs.c == 1).sum(), (pairs.c == 2).sum(), 0])
-            for k in np.flatnonzero(np.diff(ends)):
-                cut = slice(ends[k], ends[k + 1])
-                yield rows_of([(int(k), int(bucket), 0, pack(thin(pairs.words[cut]), *(s[cut] for s in sums), ones))])
-                ones = np.zeros(3, np.int64)
-
-    asked = dealt(_send(rows, buckets, False, chunk_bytes, common_from), buckets, "bucket", "part", "seq").mapInArrow(add_up, ROWS)
-
-    def exchange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums += [np.bincount(x, minlength=len(pairs.words)) for x in (pairs.word[own], pairs.context[own])]
+            is_open = np.zeros(len(to), bool)
+            is_open[used] = True
+            for k, cut in slices(to):
+                yield sent_rows([(k, int(bucket), 0, pack(thin(pairs.words[cut]), *(x[cut] for x in sums[:4]), is_open[cut], *(x[cut][is_open[cut]] for x in sums[4:])), None, None)])
+
+    def slices(to: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Sorted slots, and where each one's words lie."""
+        ends = np.searchsorted(to, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(ends)):
+            yield int(k), slice(int(ends[k]), int(ends[k + 1]))
+
+    # Sums of all buckets' words, and each bucket's open pairs.
+    named = stash(dealt(_send(rows, buckets, False, chunk_bytes, common_from), buckets, "bucket", "part", "seq").mapInArrow(add_up, SENT), "pairs")
+    names = named.filter("bucket >= 0").select("bucket", F.lit(0).alias("kind"), "part", "seq", "blob")
+    states = named.filter("bucket = -1").select(F.col("part").cast("long").alias("bucket"), F.lit(0).alias("kind"), "part", "seq", F.col("state").alias("blob"))
+    types = _totals(named, 2)
+    d = discount_of(*types)
+
+    def exchange(nth: int, known: float, root_d: float, before: float) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (to,), group in by_group(batches, 1):
+                sent = [(r[2], unpack(r[4])) for r in group if r[1] == 0]
+                changed = {r[2]: unpack(r[4]) for r in group if r[1] == 1}
+                words, of = np.unique(np.concatenate([thick(b[0]) for _, b in sent]), return_inverse=True)
+                n, where = len(words), np.split(of, np.cumsum([len(b[1]) for _, b in sent])[:-1])
+                count, customers, tables, own = (np.bincount(of, np.concatenate([b[j] for _, b in sent]), n).astype(np.int64) for j in range(1, 5))
+                asked = [of_own[b[5]] for of_own, (_, b) in zip(where, sent, strict=True)]
+                for at, (part, b) in zip(asked, sent, strict=True):
+                    as_word, as_context = changed.get(part, b[6:]) if nth else b[6:]
+                    tables[at] += as_word.astype(np.int64)  # a bucket names a word once
+                    own[at] += as_context.astype(np.int64)
+                t = sample_parent(tables, known, before, root_d, np.random.default_rng([seed, 1, nth, int(to)])) if nth else np.minimum(tables, 1)
+                for at, (part, _) in zip(asked, sent, strict=True):
+                    if len(at):
+                        yield sent_rows([(part, int(to), 0, pack(tables[at], t[at], own[at]), None, None)])
+                totals = [count.sum(), (count > 0).sum(), tables.sum(), t.sum(), (tables == 1).sum(), (tables == 2).sum()]
+                yield sent_rows([(-1, int(to), nth, None, pack(count, customers, tables, t, own), [float(x) for x in totals])])
+
+        return run
+
+    def draw(nth: int, parent: Parent) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (bucket,), group in by_group(batches, 1):
+                c, context, word, t = (x.astype(np.int64) for x in unpack(next(r[4] for r in group if r[1] == 0)))
+                if not len(c):
+                    continue
+                t = next((unpack(r[4])[0].astype(np.int64) for r in group if r[1] == 2), t)
+                got = [(r[2], unpack(r[4])) for r in group if r[1] == 1]
+                customers, tables, own = (np.concatenate([b[j] for _, b in got]).astype(np.int64) for j in range(3))
+                t = sample_tables(c, context, word, t, parent, customers, tables, own, d, np.random.default_rng([seed, 2, nth, int(bucket)]))
+                yield sent_rows([(-1, int(bucket), nth, None, pack(t), None)])
+                sums, at = [np.bincount(x, t, len(own)).astype(np.int64) for x in (word, context)], 0
+                for to, b in got:
+                    yield sent_rows([(int(to), int(bucket), 1, pack(*(x[at : at + len(b[0])] for x in sums)), None, None)])
+                    at += len(b[0])
+
+        return run
+
+    def blobs_of(df: DataFrame, kind: int) -> DataFrame:
+        return df.filter("bucket >= 0").select("bucket", F.lit(kind).alias("kind"), "part", "seq", "blob")
+
+    def kept(df: DataFrame, kind: int) -> DataFrame:
+        return df.filter("bucket = -1").select(F.col("part").cast("long").alias("bucket"), F.lit(kind).alias("kind"), "part", "seq", F.col("state").alias("blob"))
+
+    words = stash(dealt(names, buckets, "bucket", "kind", "part").mapInArrow(exchange(0, 0, 0, 0), SENT), "words")
+    n, v, k, t0, *types = _totals(words, 6)
+    root_d = discount_of(*types)
+    samples: list[tuple[Parent, DataFrame, DataFrame]] = []
+    drawn = None
+    for nth in range(1, BURN + KEEP + 1 if n else 1):
+        sent = states.unionByName(blobs_of(words, 1))
+        if drawn is not None:
+            sent = sent.unionByName(kept(drawn, 2))
+        drawn = stash(dealt(sent, buckets, "bucket", "kind", "part").mapInArrow(draw(nth, Parent(v, k, t0, root_d)), SENT), "tables")
+        sent = names.unionByName(blobs_of(drawn, 1))
+        words = stash(dealt(sent, buckets, "bucket", "kind", "part").mapInArrow(exchange(nth, v, root_d, t0), SENT), "words")
+        _, _, k, t0, *_ = _totals(words, 6)
+        if nth > BURN:
+            samples.append((Parent(v, k, t0, root_d), words, drawn))
+    parents = [p for p, *_ in samples]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (to,), group in by_group(batches, 1):
-            blobs = [unpack(r[3]) for r in group]
-            named = [thick(b[0]) for b in blobs]
-            words, of = np.unique(np.concatenate(named), return_inverse=True)
-            sums = [np.bincount(of, np.concatenate([b[j] for b in blobs]).astype(float), len(words)) for j in range(1, 5)]
-            count, tables = sums[0], sums[1]
-            ones = np.sum([b[5] for b in blobs], axis=0)
-            d = discount_of((tables == 1).sum(), (tables == 2).sum())
-            share = int((count > 0).sum()) * buckets  # about all known words
-            own = sample_root(tables, share, np.random.default_rng([seed, 1, int(to)]), d)
+            sent = [(r[2], thick(unpack(r[4])[0])) for r in group if r[1] == 0]
+            of = np.unique(np.concatenate([h for _, h in sent]), return_inverse=True)[1]
+            states = [unpack(r[4]) for r in group if r[1] == 1]  # of all samples
             at = 0
-            for r, b in zip(group, blobs, strict=True):
-                cut = of[at : at + len(b[1])]
-                at += len(b[1])
-                yield rows_of([(r[1], int(to), 0, pack(*(s[cut].astype(np.int64) for s in sums), np.round(own[cut] * KEEP).astype(np.int64)))])
-            total = np.array([count.sum(), (count > 0).sum(), tables.sum(), own.sum(), (tables == 1).sum(), (tables == 2).sum(), ones[0], ones[1]])
-            yield rows_of([(-1, int(to), 0, pack(total))])
-
-    answers = stash(dealt(asked, buckets, "bucket", "part").mapInArrow(exchange, ROWS), "words")
-    totals = np.zeros(8)
-    for r in answers.filter("bucket = -1").orderBy("part").toLocalIterator():
-        totals = totals + unpack(bytes(r.blob))[0]
-    n, v, k, own_tables, *types = totals.tolist()
-    root_d, d = discount_of(types[0], types[1]), discount_of(types[2], types[3])
-    base_mass = (ROOT_STRENGTH + root_d * own_tables) / (ROOT_STRENGTH + k) / (v + 1) if n else 1.0
-
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, h in sent:
+                cut = of[at : at + len(h)]
+                at += len(h)
+                yield rows_of([(part, int(to), 0, pack(*(x[cut] for x in states[0][:2]), *(x[cut] for s in states for x in s[2:])))])
+
+    last = [w for _, w, _ in samples] or [words]
+    asked = names
+    for w in last:
+        asked = asked.unionByName(kept(w, 1))
+    answers = dealt(asked, buckets, "bucket", "kind", "part", "seq").mapInArrow(answer, ROWS)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), group in by_group(batches, 1):
-            answer = [unpack(r[4]) for r in group if r[1] == 0]
+            got = [unpack(r[4]) for r in group if r[1] == 0]
             for r in group:
-                if r[3] < 0:
+                if r[1] == 2 and r[3] < 0:
                     yield rows_of([(0, r[2], r[3], r[4])])
-            sent = [(r[2], r[3], unpack(r[4])) for r in group if r[1] == 1 and r[3] >= 0]
+            sent = [(r[2], r[3], unpack(r[4])) for r in group if r[1] == 2 and r[3] >= 0]
             if not sent:
                 continue
             pairs = Pairs([b for *_, b in sent])
-            count, as_word, customers, tables, own = (np.concatenate([a[j] for a in answer]).astype(float) for j in range(5))
-            parent = (as_word - root_d * own / KEEP) / (ROOT_STRENGTH + k) + base_mass if n else np.ones(len(count))
-            logp = np.log10(predictive(pairs, customers, tables, parent, d, np.random.default_rng([seed, 2, int(bucket)])))
+            count, customers, *rest = (np.concatenate([b[j] for b in got]).astype(float) for j in range(len(got[0])))
+            p, own = np.zeros(len(pairs.c)), pairs.open()
+            drawn = [unpack(r[4])[0] for r in group if r[1] == 1]
+            for nth, parent in enumerate(parents):
+                words, tables, as_context = rest[3 * nth : 3 * nth + 3]
+                t = np.minimum(pairs.c, 1)
+                if len(own):
+                    t[own] = drawn[nth]
+                p += predictive(pairs.c, t, pairs.context, customers, as_context, parent.of(words, tables)[pairs.word], d) / len(parents)
+            logp = np.log10(p) if parents else p
             base, known = np.log10((count + 1) / (n + v + 1)), count > 0
             at = 0
             for part, seq, b in sent:
@@ -323,11 +396,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at += len(b[4])
                 docs_, nth = np.unique(b[6].astype(np.int64), return_inverse=True)
                 word = pairs.word[pair]
-                got = (np.bincount(nth, x, len(docs_)) for x in (logp[pair], base[word], known[word]))
-                yield rows_of([(0, part, seq, pack(docs_, *got))])
+                found = (np.bincount(nth, x, len(docs_)) for x in (logp[pair], base[word], known[word]))
+                yield rows_of([(0, part, seq, pack(docs_, *found))])
 
-    both = answers.filter("bucket >= 0").select("bucket", F.lit(0).alias("kind"), "part", "seq", "blob").unionByName(_send(rows, buckets, True, chunk_bytes, common_from).select("bucket", F.lit(1).alias("kind"), "part", "seq", "blob"))
-    sums = dealt(both, buckets, "bucket", "kind", "part", "seq").mapInArrow(seat, ROWS)
+    both = answers.select("bucket", F.lit(0).alias("kind"), "part", "seq", "blob")
+    for *_, tables in samples:
+        both = both.unionByName(kept(tables, 1))
+    both = both.unionByName(_send(rows, buckets, True, chunk_bytes, common_from).select("bucket", F.lit(2).alias("kind"), "part", "seq", "blob"))
+    sums = dealt(both, buckets, "bucket", "kind", "seq", "part").mapInArrow(score, ROWS)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, 2):
@@ -352,26 +428,3 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = sums.select("part", F.when(F.col("seq") < 0, -1 - F.col("seq")).otherwise(F.col("seq")).cast("int").alias("chunk"), "seq", "blob")
     chunks = chunks.repartition("part", "chunk").sortWithinPartitions("part", "chunk", "seq")
     return chunks.mapInArrow(total, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def predictive(pairs: Pairs, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Averaged probability of each pair's word after its context."""
-    c, context, base = pairs.c, pairs.context, parent[pairs.word]
-    size_class = np.log2(np.maximum(customers, 1)).astype(np.int64)
-    t = np.minimum(c, 1)
-    start = np.bincount(context, t, len(tables))
-    elsewhere = np.maximum(tables - start, 0)  # tables whose pairs are in other buckets
-    start = np.bincount(size_class, start)
-    total = np.zeros(len(c))
-
-    def now() -> np.ndarray:
-        # Other buckets' tables grow like those of this bucket's contexts of the same size.
-        own = np.bincount(context, t, len(tables))
-        grown = np.maximum(np.bincount(size_class, own) / np.maximum(start, 1), 1)
-        return (own + elsewhere * grown[size_class])[context]
-
-    for sweep in range(BURN + KEEP):
-        t = sample_tables(c, np.maximum(now() - t, 0), base, discount, STRENGTH, rng).astype(float)
-        if sweep >= BURN:
-            total += (c - discount * t + (STRENGTH + discount * now()) * base) / (STRENGTH + customers[context])
-    return total / KEEP

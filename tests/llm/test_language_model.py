@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 from strata.llm import blobs
 from strata.llm import language_model as L
+from strata.llm import pitman_yor as P
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,65 +59,138 @@ def test_base_and_held_out_gain_at_any_number_of_buckets(spark):
     assert abs(means[0] / means[1] - 1) < 0.02
 
 
-def one_bucket(texts, train):
-    """All steps in one bucket: pairs, the parent's probabilities, and what they need."""
-    chunk = L.Chunk(texts, np.array(train))
-    [(_, blob)] = list(chunk.sent(1, False))
-    pairs = L.Pairs([L.unpack(blob)])
-    count, as_word, customers, tables = (s.astype(float) for s in pairs.sums())
-    v, k = int((count > 0).sum()), as_word.sum()
-    d = 0.4
-    own = L.sample_root(as_word, v, np.random.default_rng(1), d)
-    mass = (L.ROOT_STRENGTH + d * own.sum()) / (L.ROOT_STRENGTH + k) / (v + 1)
-    parent = (as_word - d * own) / (L.ROOT_STRENGTH + k) + mass
-    return pairs, customers, tables, parent, mass, v
-
-
-def test_probabilities_after_a_context_add_up_to_one():
-    docs = [t.encode() for _, t in corpus(200)]
-    known = sorted({w for t in docs for w in t.lower().split()})
-    probes = [b"w1 " + w for w in known] + [b"w1 nowhere", b"w1"]
-    pairs, customers, tables, parent, mass, v = one_bucket(docs + probes, [True] * len(docs) + [False] * len(probes))
-    known_words = parent[np.flatnonzero(parent > mass * 1.0000001)]
-    assert len(known_words) == v and math.isclose(known_words.sum() + mass, 1, rel_tol=1e-9)
-    p = L.predictive(pairs, customers, tables, parent, 0.7, np.random.default_rng(2))
-    from xxhash import xxh64_intdigest
-
-    at = np.searchsorted(pairs.words, np.uint64(xxh64_intdigest(b"w1") | 1))
-    own = pairs.context == at
-    assert own.sum() == v + 1  # the known words with the end, and one unknown
-    assert math.isclose(p[own].sum(), 1, rel_tol=1e-6)
-
-
-def brute_tables(c, others, base, d, strength):
-    """Weights of t tables, by listing all seatings' sizes through the recursion in plain floats."""
+def naive(docs, sweeps=30, burn=10, seed=1):
+    """One-process sampler, customer by customer with its table sizes; the score of each text.
+
+    Discounts are estimated as the operator does; strengths are the operator's.
+    """
+    rng = random.Random(seed)
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    texts = [[*WORD.findall(lower(t)), None] for _, t in docs]
+    pairs = [list(zip([None, *own[:-1]], own, strict=True)) for own in texts]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs]
+    tokens = [p for own, h in zip(pairs, held, strict=True) if not h for p in own]
+    counts = collections.Counter(tokens)
+    of = lambda c: P.discount_of(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    d, root_d = of(counts), of(collections.Counter(w for _, w in counts))
+    base = 1 / (len({w for _, w in tokens}) + 1)
+    tables, of_context, customers = collections.defaultdict(list), collections.Counter(), collections.Counter(u for u, _ in tokens)
+    seated = collections.Counter()
+    root, totals = collections.defaultdict(list), [0, 0]  # customers and tables of the parent
+
+    def parent(w):
+        return (sum(root[w]) - root_d * len(root[w]) + (L.ROOT_STRENGTH + root_d * totals[1]) * base) / (L.ROOT_STRENGTH + totals[0])
+
+    def enter_root(w, sign):
+        own = root[w]
+        if sign < 0:
+            k = rng.choices(range(len(own)), own)[0]
+            own[k] -= 1
+            totals[0] -= 1
+            if not own[k]:
+                own.pop(k)
+                totals[1] -= 1
+            return
+        weights = [n - root_d for n in own] + [(L.ROOT_STRENGTH + root_d * totals[1]) * base]
+        k = rng.choices(range(len(weights)), weights)[0]
+        totals[0] += 1
+        if k == len(own):
+            own.append(1)
+            totals[1] += 1
+        else:
+            own[k] += 1
+
+    def sit(u, w):
+        own = tables[u, w]
+        k = rng.choices(range(len(own) + 1), [n - d for n in own] + [(L.STRENGTH + d * of_context[u]) * parent(w)])[0]
+        if k == len(own):
+            own.append(1)
+            of_context[u] += 1
+            enter_root(w, 1)
+        else:
+            own[k] += 1
+
+    def leave(u, w):
+        own = tables[u, w]
+        k = rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            own.pop(k)
+            of_context[u] -= 1
+            enter_root(w, -1)
+
+    for u, w in tokens:
+        sit(u, w)
+    total = collections.Counter()
+    for sweep in range(sweeps):
+        for u, w in tokens:
+            leave(u, w)
+            sit(u, w)
+        if sweep >= burn:
+            for u, w in {p for own in pairs for p in own}:
+                own = tables.get((u, w), [])
+                total[u, w] += (sum(own) - d * len(own) + (L.STRENGTH + d * of_context[u]) * parent(w)) / (L.STRENGTH + customers[u])
+    return [sum(math.log10(total[p] / (sweeps - burn)) for p in own) for own in pairs]
+
+
+def test_scores_equal_those_of_a_naive_sampler(spark):
+    docs = corpus(150)
+    want = naive(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for size in (10**9, 700):  # one bucket, and several
+        got = {r.doc_id: r for r in L.score_texts(df, tokens_per_bucket=size, chunk_bytes=3000, common_from=20).collect()}
+        for held in (True, False):
+            ours, theirs = (np.array([x for (i, _), x in zip(docs, s, strict=True) if got[i].held_out == held]) for s in ([got[i].score for i, _ in docs], want))
+            assert abs(ours.sum() / theirs.sum() - 1) < 0.01 and np.abs(ours - theirs).max() < 0.03 * np.abs(theirs).max()
+
+
+def test_a_sample_adds_up_to_one():
+    rng = np.random.default_rng(1)
+    words, contexts = 30, 6
+    c = rng.integers(0, 5, (contexts, words))
+    context, word = (x.ravel() for x in np.indices(c.shape))
+    t = np.minimum(c.ravel(), rng.integers(1, 3, c.size))
+    k = np.bincount(word, t, words)
+    root = np.minimum(k, 2)
+    parent = L.Parent((k > 0).sum(), k.sum(), root.sum(), 0.4)
+    p0 = parent.of(k, root)
+    assert math.isclose(p0[k > 0].sum() + parent.of(0, 0), 1, rel_tol=1e-12)
+    n = contexts + words
+    customers, tables = np.bincount(context, c.ravel(), n), np.bincount(context, t, n)
+    p = L.predictive(c.ravel(), t, context, customers, tables, p0[word], 0.7).reshape(c.shape)
+    unknown = L.predictive(np.zeros(contexts), np.zeros(contexts), np.arange(contexts), customers, tables, np.full(contexts, parent.of(0, 0)), 0.7)
+    assert np.allclose(p[:, k > 0].sum(axis=1) + unknown, 1, rtol=1e-12)
+
+
+def brute_tables(c, others, a, b, d, strength):
+    """Weights of t tables, through the recursion of Stirling numbers in plain floats."""
     s = [[0.0] * (c + 1) for _ in range(c + 1)]
     s[0][0] = 1.0
     for n in range(c):
         for t in range(n + 2):
             s[n + 1][t] = s[n][t] * (n - d * t) + (s[n][t - 1] if t else 0)
-    w = [0.0] + [s[c][t] * base**t * math.prod(strength + d * (others + i) for i in range(t)) for t in range(1, c + 1)]
+    w = [0.0] + [s[c][t] * math.prod((strength + d * (others + i)) * (a + i) / (b + i) for i in range(1, t)) for t in range(1, c + 1)]
     return [x / sum(w) for x in w]
 
 
+CASES = ((2, 0, 0.5, 1.0, 0.5), (3, 0, 0.2, 5.0, 0.6), (12, 3, 2.3, 9.0, 0.3), (48, 40, 0.5, 100.0, 0.6), (48, 1000, 30.0, 400.0, 0.8), (48, 5, 0.001 * 1e18, 1e18, 0.5))
+
+
 def test_tables_follow_their_conditional_distribution():
     rng = np.random.default_rng(3)
-    for c, others, base_, d in ((2, 0, 0.5, 0.5), (5, 10, 0.05, 0.7), (12, 3, 0.3, 0.3), (L.EXACT, 40, 0.02, 0.6)):
-        n = 20_000
-        t = L.sample_tables(np.full(n, c), np.full(n, float(others)), np.full(n, base_), d, 1.0, rng)
-        want = brute_tables(c, others, base_, d, 1.0)
-        assert np.abs(np.bincount(t, minlength=c + 1) / n - want).max() < 0.015
-
-
-def test_jumps_seat_like_one_customer_after_the_other():
-    rng = np.random.default_rng(4)
-    c, others, base_, d, n = 400, 20.0, 0.02, 0.5, 4000
-    t = L.sample_tables(np.full(n, c), np.full(n, others), np.full(n, base_), d, 1.0, rng)
-    plain = np.ones(n)
-    for j in range(1, c):
-        a = (1.0 + d * (others + plain)) * base_
-        plain += rng.random(n) < a / (j - d * plain + a)
-    assert abs(t.mean() / plain.mean() - 1) < 0.05
+    n = 20_000
+    full = lambda x: np.full(n, float(x))
+    for c, others, a, b, d in CASES:
+        want = brute_tables(c, others, a, b, d, 1.0)
+        for exact in (P.EXACT, 2):  # drawn from the weights, and in jumps
+            t = P.seat(np.full(n, c), full(others), full(a), full(b), d, 1.0, rng, exact)
+            assert np.abs(np.bincount(t, minlength=c + 1) / n - want).max() < (0.015 if exact > 2 else 0.03)
+            assert abs(t.mean() / np.dot(want, np.arange(c + 1)) - 1) < (0.015 if exact > 2 else 0.03)
+
+
+def test_log_gamma():
+    x = np.array([0.03, 0.5, 1, 2.5, 10, 1e3, 1e7])
+    assert np.allclose(P.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
 
 
 def test_pack_round_trip():
