@@ -13,7 +13,9 @@ The search runs over many lanes of a batch at once, each lane skipping for itsel
 Defined results. Null or empty text: no words, no hits. Null or empty item: no window. A
 null item id counts as one item, written as the empty string. Equal windows of several
 items hit for all of them; rows with equal ids are one item. Repeated documents are
-judged one by one. Empty tables give empty results or clean documents.
+judged one by one. Very long texts are read whole; memory is in proportion to a batch, and
+for the benchmark to a block: about 120 bytes for each of its words, an item being whole in
+one block. Other columns pass through. Empty tables give empty results or clean documents.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, with_struct
+from .common import map_arrow, named, stash, with_struct
 
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 #: Lower-cases A-Z; every byte that is no word character becomes a space.
@@ -120,26 +122,25 @@ class Matcher:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
         self.names: list[str] = []
+        by_length: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for name, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+            words = words_of(text)
             if not words:
                 continue
-            self.names.append(name)
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words))
             m = min(window, len(words))
-            own = by_length.setdefault(m, {})
-            for i in range(len(words) - m + 1):
-                own.setdefault(tuple(words[i : i + m]), set()).add(len(self.names) - 1)
+            windows, owners = by_length.setdefault(m, ([], []))
+            windows.append(np.lib.stride_tricks.sliding_window_view(ids, m))
+            owners.append(np.full(len(windows[-1]), len(self.names)))
+            self.names.append(name)
         self.machines = []
-        for own in by_length.values():
-            owners = list(own.values())
-            counts = np.array([len(x) for x in owners])
-            self.machines.append((
-                Machine(np.array(list(own), np.int32)),
-                np.concatenate([[0], np.cumsum(counts)]),
-                np.array([i for x in owners for i in x], np.int64),
-            ))
+        for windows, owners in by_length.values():
+            patterns, row = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+            # Each pattern's items, once each, in one array.
+            pairs = np.unique(row.ravel() * len(self.names) + np.concatenate(owners))
+            counts = np.bincount(pairs // len(self.names), minlength=len(patterns))
+            self.machines.append((Machine(patterns), np.concatenate([[0], np.cumsum(counts)]), pairs % len(self.names)))
 
     def scan(self, texts: list[bytes], before: list[dict] | None) -> dict[str, list]:
         get = self.vocabulary.get
@@ -208,14 +209,17 @@ def find_contamination(
     chars = items.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = int(chars // 2 // block_words) + 1  # a word and its separator take two characters at least
     block_of = F.pmod(F.xxhash64("id", "body"), F.lit(blocks))
-    state = docs.select(*[c for c in docs.columns if c.lower() != out.lower()])
+    state = docs.select(*[named(c) for c in docs.columns if c.lower() != out.lower()])
     for k in range(blocks):
         rows = items.filter(block_of == k).collect()
         sent = spark.sparkContext.broadcast(Matcher([(r.id, r.body.encode()) for r in rows], window))
         if k == 0:
             state = with_struct(state, text_col, out, HITS, lambda sent=sent: lambda texts: sent.value.scan(texts, None))
         else:
-            state = _again(stash(state, "leak"), text_col, out, sent)
+            state = stash(state, "leak")
+            before.unpersist()
+            state = _again(state, text_col, out, sent)
+        before = sent
     return state
 
 
@@ -223,7 +227,7 @@ def _again(state: DataFrame, text_col: str, out: str, sent) -> DataFrame:
     """One more block: earlier hits are carried in the struct itself."""
     import pyarrow as pa
 
-    text, past, schema = state.columns.index(text_col), state.columns.index(out), state.schema
+    text, past = state.columns.index(text_col), state.columns.index(out)
 
     def run(batches):
         for batch in batches:
@@ -233,4 +237,4 @@ def _again(state: DataFrame, text_col: str, out: str, sent) -> DataFrame:
             made = pa.StructArray.from_arrays([pa.array(got[f.name], f.type) for f in kind], fields=list(kind))
             yield pa.RecordBatch.from_arrays([made if i == past else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return state.mapInArrow(run, schema)
+    return map_arrow(state, run, state.schema.fields)
