@@ -9,15 +9,21 @@ Three known kinds (``assign``, ``access``, ``hex``) are found by pattern. The ki
   letter: words, numbers and paths of such letters alone are not judged;
 * three tests ask whether the token could be uniform over that alphabet: chi-squared of
   its character counts, the number of runs above and below the middle, and the serial
-  correlation of neighbours; Fisher's method combines their p-values;
-* within each class of lengths, the Benjamini-Hochberg rule at ``rate`` decides over all
-  tokens of the corpus which ones are not random. The others are reported. Short tokens,
-  whose tests are weak, thus don't share a threshold with long ones.
+  correlation of neighbours; Fisher's method combines their p-values. Random tokens have
+  evenly spread p-values, others have mostly small ones;
+* a token is reported if its p-value exceeds the threshold of its class of lengths. It is
+  the least one at which no more than ``rate`` of the reported tokens are estimated to be
+  false: of the tokens above a threshold, those are true that an even spread of p-values
+  accounts for, and how high this spread lies follows from the upper half of p-values.
+  Where many words look nearly random, as short ones do, the threshold rises; it is never
+  below ``LEAST_P``, nor where the Benjamini-Hochberg rule at ``rate`` calls a token not
+  random. Short tokens thus don't share a threshold with long ones.
 
 The rule needs counts of p-values only: a histogram of bounded size, never a sort.
 
 Positions are code points, ends exclusive. They are sums of the lengths of gaps and
-matches; sums run in blocks, so texts with very many matches stay near linear.
+matches; sums run in blocks, so texts with very many matches stay near linear. Cutting a
+text at its spans scans it once per span.
 
 Defined results. Null or empty text: no spans. Spans of several kinds may overlap. Every
 row is judged for itself, repeated rows too; each counts in the statistics. An empty
@@ -29,10 +35,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import named, stash
 
 #: The known shapes. ``hex`` and ``access`` hold their least lengths, which
 #: leaves out nothing but failing matches; ``assign`` can't, as a failing match hides text.
@@ -63,11 +69,11 @@ ENCODINGS = (
     (r"^[A-Za-z0-9_-]+$", (r"[A-Z]", r"[a-z]"), _UPPER + _LOWER + _DIGITS + "-_", ""),
     (r"^[A-Za-z0-9+/_-]+$", (r"[A-Z]", r"[a-z]"), _UPPER + _LOWER + _DIGITS + "+/-_", ""),
 )
-#: Length classes: their least lengths. Rate of false discoveries of non-random tokens.
+#: Length classes: their least lengths. Rate of false ones among the reported tokens.
 CLASSES = (20, 24, 32, 48, 64, 128)
 RATE = 0.05
-#: Steps of the histogram: per unit of ln(p), down to e^-500.
-STEPS, LOWEST = 64, -500.0
+#: Steps of the histogram of p-values from 0 to 1; the least p-value of a reported token.
+STEPS, LEAST_P = 1000, 0.001
 
 #: Coefficients of the rational fit of erfc (relative error below 1.2e-7).
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -84,18 +90,31 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def running_sums(values: Column) -> Column:
-    """Inclusive prefix sums of an array of longs, in blocks."""
+def _running(values: Column, fold: Callable[[Column], Column], both: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive prefix folds of an array of longs, in blocks."""
 
     def with_bases(bases: Column) -> Column:
-        return F.transform(values, lambda _, i: bases[F.floor(i / BLOCK).cast("int")] + _sum(F.slice(values, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), i % BLOCK + 1)))
+        def at(i: Column) -> Column:
+            own = fold(F.slice(values, (F.floor(i / BLOCK) * BLOCK + 1).cast("int"), i % BLOCK + 1))
+            return both(bases[F.floor(i / BLOCK).cast("int")], own)
+
+        return F.transform(values, lambda _, i: at(i))
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
-    sums = F.transform(blocks, lambda b: _sum(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
-    bases = let(sums, lambda s: F.transform(blocks, lambda b: _sum(F.slice(s, F.lit(1), b))))
+    folds = F.transform(blocks, lambda b: fold(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+    bases = let(folds, lambda s: F.transform(blocks, lambda b: fold(F.slice(s, F.lit(1), b))))
     return F.when(F.size(values) > 0, let(bases, with_bases)).otherwise(F.array().cast("array<bigint>"))
 
 
+def running_sums(values: Column) -> Column:
+    return _running(values, _sum, lambda a, b: a + b)
+
+
+def running_maxima(values: Column) -> Column:
+    """Of numbers from 0 on."""
+    return _running(values, lambda x: F.coalesce(F.array_max(x), F.lit(0).cast("long")), F.greatest)
+
+
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """All matches of ``pattern``: kind, start, stop and the matched string."""
 
@@ -133,54 +152,48 @@ def _tail(z: Column) -> Column:
     return let(F.abs(z) / math.sqrt(2.0), fit)
 
 
-def p_value(token: Column, alphabet: str) -> Column:
-    """Fisher's combination of the three tests for uniformity over ``alphabet``."""
-    k = len(alphabet)
-    n = F.length(token).cast("double")
+def p_value(token: Column, alphabet: Column) -> Column:
+    """Fisher's combination of the three tests for uniformity over the characters of ``alphabet``."""
+    k, n = F.length(alphabet).cast("double"), F.length(token).cast("double")
+    half = F.floor(k / 2).cast("int")
 
-    def count(of: str, text: Column) -> Column:
-        return (F.length(text) - F.length(F.replace(text, F.lit(of), F.lit("")))) / float(len(of))
+    def count(of: Column, text: Column) -> Column:
+        return (F.length(text) - F.length(F.replace(text, of, F.lit("")))) / F.length(of)
 
-    squares = F.aggregate(
-        F.array(*[F.lit(c) for c in alphabet]),
-        F.lit(0.0),
-        lambda s, c: s + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0)),
-    )
+    letters = F.filter(F.split(alphabet, ""), lambda c: c != "")
+    squares = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.pow(count(c, token), F.lit(2.0)))
     spread = 2.0 / (9.0 * (k - 1))
-    chi_z = (F.cbrt((squares * k / n - n) / (k - 1.0)) - (1.0 - spread)) / math.sqrt(spread)
+    chi_z = (F.cbrt((squares * k / n - n) / (k - 1.0)) - (1.0 - spread)) / F.sqrt(spread)
     chi = let(chi_z, lambda z: F.when(z > 0, _tail(z) / 2).otherwise(1.0 - _tail(z) / 2))
 
     def runs_of(b: Column) -> Column:
-        ones = count("1", b)
+        ones = count(F.lit("1"), b)
 
         def judged(x: Column) -> Column:  # x: expected runs less one
-            seen = 1.0 + count("01", b) + count("10", b)
+            seen = 1.0 + count(F.lit("01"), b) + count(F.lit("10"), b)
             return F.when(x < 1.5, F.pow(F.lit(2.0), 1.0 - n)).otherwise(_tail((seen - 1.0 - x) / F.sqrt(x * (x - 1.0) / (n - 1.0))))
 
         return let(2.0 * ones * (n - ones) / n, judged)
 
-    runs = let(F.translate(token, alphabet, "0" * (k // 2) + "1" * (k - k // 2)), runs_of)
-    places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - (k + 1) / 2.0)
+    halves = F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), k.cast("int") - half))
+    runs = let(F.call_function("translate", token, alphabet, halves), runs_of)
+    places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c) - (k + 1) / 2.0)
     products = let(places, lambda x: F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     serial = _tail(products / ((k * k - 1) / 12.0) / F.sqrt(n - 1.0))
-    half = -(F.ln(F.greatest(chi, F.lit(1e-200))) + F.ln(F.greatest(runs, F.lit(1e-200))) + F.ln(F.greatest(serial, F.lit(1e-200))))
-    return let(half, lambda x: F.exp(-x) * (1.0 + x + x * x / 2.0))
+    half_sum = -(F.ln(F.greatest(chi, F.lit(1e-200))) + F.ln(F.greatest(runs, F.lit(1e-200))) + F.ln(F.greatest(serial, F.lit(1e-200))))
+    return let(half_sum, lambda x: F.exp(-x) * (1.0 + x + x * x / 2.0))
 
 
 def _judged(token: Column) -> Column:
     """p-value under the first encoding that the token may have; null if none."""
-
-    def over(alphabet: str, marks: str) -> Column:
-        return let(F.translate(token, marks, ""), lambda t: p_value(t, alphabet)) if marks else p_value(token, alphabet)
-
-    out = None
+    found = None
     for whole, needed, alphabet, marks in ENCODINGS:
         fits = token.rlike(whole)
         for part in needed:
             fits = fits & token.rlike(part)
-        p = over(alphabet, marks)
-        out = F.when(fits, p) if out is None else out.when(fits, p)
-    return out
+        own = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(marks).alias("marks"))
+        found = F.when(fits, own) if found is None else found.when(fits, own)
+    return let(found, lambda e: F.when(e.isNotNull(), let(F.call_function("translate", token, e["marks"], F.lit("")), lambda t: p_value(t, e["alphabet"]))))
 
 
 def _class(length: Column) -> Column:
@@ -208,7 +221,7 @@ def raw_spans(text: Column) -> Column:
                 s["start"].alias("start"),
                 s["stop"].alias("stop"),
                 _class(s["stop"] - s["start"]).alias("class"),
-                F.when(p.isNotNull(), F.floor(F.greatest(F.ln(F.greatest(p, F.lit(1e-300))), F.lit(LOWEST)) * STEPS).cast("int")).alias("step"),
+                F.least(F.floor(p * STEPS).cast("int"), F.lit(STEPS - 1)).alias("step"),
             ),
         ),
     )
@@ -227,27 +240,46 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets",
     named ``out`` is replaced. The candidates rest in a written table between the pass
     that counts p-values and the pass that decides.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
-    raw = stash(docs.select(*kept, raw_spans(F.coalesce(F.col(text_col), F.lit(""))).alias(out)), "secrets")
+    kept = [named(c) for c in (docs.columns if keep is None else keep) if c.lower() != out.lower()]
+    raw = stash(docs.select(*kept, raw_spans(F.coalesce(named(text_col), F.lit(""))).alias(out)), "secrets")
     limits = _limits(raw.select(F.explode(out).alias("s")).filter("s.kind = 'random'").select("s.class", "s.step"), rate)
     order = F.array(*[F.lit(k) for k in KINDS])
-    held = F.filter(out, lambda s: (s["kind"] != "random") | (s["step"] > F.coalesce(F.element_at(F.lit(limits) if not limits else F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), s["class"]), F.lit(-(2**31)))) if limits else F.lit(True))
+    least = F.array(*[F.lit(limits.get(k, STEPS)) for k in range(len(CLASSES))])
+    held = F.filter(out, lambda s: (s["kind"] != "random") | (s["step"] >= least[s["class"]]))
     ranked = F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).cast("int").alias("rank"), s["stop"].alias("stop"))))
     spans = F.transform(ranked, lambda s: F.struct(F.element_at(order, s["rank"]).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
     return raw.select(*kept, spans.alias(out))
 
 
 def _limits(steps: DataFrame, rate: float) -> dict[int, int]:
-    """Per length class, the highest histogram step that Benjamini-Hochberg rejects.
+    """Per length class, the least histogram step of reported tokens.
 
-    At most ``len(CLASSES)`` rows come to the driver.
+    At most ``len(CLASSES) * STEPS`` counts come to the driver.
     """
-    counts = steps.groupBy("class", "step").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("class").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.select("class", "step", F.sum("n").over(up).alias("rank"), F.sum("n").over(Window.partitionBy("class")).alias("all"))
-    edge = F.exp((F.col("step") + 1) / F.lit(float(STEPS)))
-    rejected = ranked.filter(edge <= rate * F.col("rank") / F.col("all")).groupBy("class").agg(F.max("step").alias("step"))
-    return {r["class"]: r["step"] for r in rejected.collect()}
+    counts: dict[int, list[int]] = {}
+    for r in steps.groupBy("class", "step").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["class"], [0] * STEPS)[r["step"]] = r["n"]
+    return {k: least_step(own, rate) for k, own in counts.items()}
+
+
+def least_step(counts: list[int], rate: float) -> int:
+    """The least step from which on at most ``rate`` of the tokens are estimated to be false.
+
+    Per step, an even spread of random tokens is estimated from each part of the upper
+    half, and the lowest estimate counts. It is never that of no token at all: few tokens,
+    which tell nothing about the spread, are reported.
+    """
+    above = [0] * (len(counts) + 1)
+    for step in range(len(counts) - 1, -1, -1):
+        above[step] = above[step + 1] + counts[step]
+    half = len(counts) // 2
+    per_step = min(max(above[s], 1) / (len(counts) - s) for s in range(half, len(counts) * 9 // 10 + 1))
+    # Tokens that Benjamini and Hochberg's rule calls not random are out in any case.
+    rejected = [s for s in range(half) if (s + 1) / len(counts) * above[0] <= rate * (above[0] - above[s + 1])]
+    for step in range(max(math.ceil(LEAST_P * len(counts)), *(s + 1 for s in rejected[-1:]), 0), half):
+        if above[step] * (1 - rate) <= per_step * (len(counts) - step):
+            return step
+    return half
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -255,24 +287,13 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     ``spans`` must be sorted by start, as ``find_secrets`` returns them.
     """
-    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    merged = F.aggregate(
-        spans,
-        empty,
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] > s["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))),
-    )
 
-    def cut(m: Column) -> Column:
-        gaps = F.transform(
-            F.sequence(F.lit(0), F.size(m)),
-            lambda i: let(
-                F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(m, i - 1)["stop"]),
-                lambda a: F.substr(text, (a + 1).cast("int"), (F.when(i < F.size(m), F.get(m, i)["start"]).otherwise(F.length(text).cast("long")) - a).cast("int")),
-            ),
-        )
-        return F.array_join(gaps, mark)
+    def cut(reach: Column) -> Column:
+        """``reach``: 0, then the highest stop of the spans so far."""
+        opening = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (spans[i]["start"] >= reach[i]))
+        between = F.transform(opening, lambda i: F.substr(text, (reach[i] + 1).cast("int"), (spans[i]["start"] - reach[i]).cast("int")))
+        rest = F.substr(text, (F.element_at(reach, -1) + 1).cast("int"))
+        return F.array_join(F.concat(between, F.array(rest)), mark)
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged, cut))
+    stops = F.transform(spans, lambda s: s["stop"])
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.concat(F.array(F.lit(0).cast("long")), running_maxima(stops)), cut))
