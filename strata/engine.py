@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 import uuid
@@ -31,10 +32,11 @@ META_SCHEMA = "_meta"
 class Claims:
     """Which engines live: each that runs something renews a file; a stale one is dead."""
 
-    FOLDER, EVERY, STALE = "_meta/alive", 5.0, 30.0
+    FOLDER, EVERY, STALE, CLOCKS_DIFFER = "_meta/alive", 5.0, 30.0, 300.0
 
     def __init__(self, files, owner: str):
         self.files, self.owner, self.ended, self.thread = files, owner, threading.Event(), None
+        self.seen: dict[str, tuple[bytes, float]] = {}
 
     def _renew(self) -> None:
         self.files.put(f"{self.FOLDER}/{self.owner}", repr(time.time()).encode())
@@ -50,12 +52,25 @@ class Claims:
             self._renew()
 
     def alive(self, owner: str) -> bool:
+        """False only without a claim, or if it was not renewed for long.
+
+        A claim counts as renewed when its text changes, by this engine's clock; a claim
+        seen for the first time is old only by far more than clocks of two machines differ.
+        """
         if owner == self.owner:
             return not self.ended.is_set()
+        name = f"{self.FOLDER}/{owner}"
         try:
-            return time.time() - float(self.files.read(f"{self.FOLDER}/{owner}")) < self.STALE
-        except Exception:  # noqa: BLE001  no file: not alive
+            claim = self.files.read(name)
+        except Exception:
+            if self.files.exists(name):
+                raise
             return False
+        seen, since = self.seen.get(owner, (None, 0.0))
+        if seen != claim:
+            self.seen[owner] = claim, time.monotonic()
+            return seen is not None or time.time() - float(claim) < self.STALE + self.CLOCKS_DIFFER
+        return time.monotonic() - since < self.STALE
 
     def release(self) -> None:
         self.ended.set()
@@ -227,11 +242,34 @@ class Engine:
         storage = self.storage(base, int(num))
         return storage.landed() if landed else storage.history(self.catalog.dataset(base)["type_code"])
 
+    def _parts(self, code: str, read: Callable[[SpecStorage, str], DataFrame]) -> DataFrame | None:
+        """The union of ``read`` over a dataset's live specs, or of one spec; None if there is nothing to read."""
+        self.meta.refresh()
+        plain = code.lower()
+        row = self.meta.last("dataset", dataset_code=plain)
+        if row is not None and not row["is_deleted"]:
+            found = [read(self.storage(plain, s["build_spec_num"]), row["type_code"]) for s in self.catalog.live_specs(plain)]
+            return history.dataset_view(found) if found else None
+        base, _, num = plain.rpartition("_")
+        if not num.isdigit():
+            return None
+        return read(self.storage(base, int(num)), self.catalog.dataset(base)["type_code"])
+
+    def current(self, code: str) -> DataFrame:
+        """Open versions, tombstones too: the table where ``end_build_id`` is null, without its history."""
+        found = self._parts(code, lambda storage, kind: storage.current(kind))
+        return self.table(code) if found is None else found
+
     def as_of(self, code: str, build_id: int) -> DataFrame:
-        return history.as_of(self.table(code), build_id)
+        found = self._parts(code, lambda storage, kind: storage.as_of(kind, build_id))
+        return self.table(code) if found is None else found
+
+    def delta(self, code: str, from_build_id: int, to_build_id: int, current: bool = True) -> DataFrame:
+        found = self._parts(code, lambda storage, kind: storage.delta(kind, from_build_id, to_build_id, current))
+        return self.table(code) if found is None else found
 
-    def delta(self, code: str, from_build_id: int, to_build_id: int) -> DataFrame:
-        return history.delta(self.table(code), from_build_id, to_build_id)
+    def warn(self, text: str) -> None:
+        logging.getLogger("strata").warning(text)
 
     # Journals.
 

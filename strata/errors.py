@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 #: The SQLSTATE codes that callers may rely on.
 SYNTAX_ERROR = "42601"
 DUPLICATE_SCHEMA = "42P06"
@@ -20,12 +22,17 @@ UNIQUE_VIOLATION = "23505"
 INTERNAL_ERROR = "XX000"
 
 
+@dataclass(eq=False)
 class StrataError(Exception):
     """``pos`` counts characters from 0 in the text of the whole request."""
 
-    def __init__(self, message: str, *, pos: int | None = None, hint: str | None = None, sqlstate: str = SYNTAX_ERROR):
-        super().__init__(message)
-        self.message, self.pos, self.hint, self.sqlstate = message, pos, hint, sqlstate
+    message: str
+    sqlstate: str = field(default=SYNTAX_ERROR, kw_only=True)
+    pos: int | None = field(default=None, kw_only=True)
+    hint: str | None = field(default=None, kw_only=True)
+
+    def __str__(self) -> str:
+        return self.message
 
 
 def line_and_column(text: str, pos: int) -> tuple[int, int]:

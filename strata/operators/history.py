@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import spark_type
-from .transfer import Shape, with_next
+from .transfer import Shape, open_versions, with_next
 
 
 def columns(shape: Shape) -> list[str]:
@@ -57,3 +57,31 @@ def delta(history: DataFrame, from_build_id: int, to_build_id: int, current: boo
     """Versions of builds in (from, to]; with ``current``, open and active ones only."""
     window = history.filter((F.col("build_id") > from_build_id) & (F.col("build_id") <= to_build_id))
     return window.filter(F.col("end_build_id").isNull() & F.col("is_active")) if current else window
+
+
+def store_current(log: DataFrame, shape: Shape) -> DataFrame:
+    """``store_history`` where ``end_build_id`` is null: the newest version of each key, without a window."""
+    return open_versions(log, shape).withColumn("end_build_id", F.lit(None).cast("long")).select(*columns(shape))
+
+
+def store_as_of(log: DataFrame, shape: Shape, build_id: int) -> DataFrame:
+    """``as_of`` of a store's history from its log.
+
+    The versions come from builds up to ``build_id`` only, by an aggregate; later builds
+    give no more than the build that ended a version.
+    """
+    shown = open_versions(log.filter(F.col("build_id") <= build_id), shape)
+    ended = log.filter(F.col("build_id") > build_id).groupBy(*shape.key).agg((F.min("build_id") - 1).alias("end_build_id"))
+    return shown.join(ended, list(shape.key), "left").select(*columns(shape))
+
+
+def store_delta(log: DataFrame, shape: Shape, from_build_id: int, to_build_id: int, current: bool = True) -> DataFrame:
+    """``delta`` of a store's history from its log.
+
+    What ends a version is younger than it, so builds up to ``from_build_id`` aren't read;
+    the filter lies below the aggregate or window, where it prunes folders.
+    """
+    later = log.filter(F.col("build_id") > from_build_id)
+    if current:
+        return store_current(later, shape).filter((F.col("build_id") <= to_build_id) & F.col("is_active"))
+    return store_history(later, shape).filter(F.col("build_id") <= to_build_id)

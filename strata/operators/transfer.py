@@ -139,7 +139,11 @@ def bulk(slice_: DataFrame, shape: Shape) -> DataFrame:
 
 def statistics(result: DataFrame) -> DataFrame:
     """Counts of inserted, updated and deleted keys; zeros for an empty result."""
-    return result.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{c}_row_cnt") for c in ("inserted", "updated", "deleted")])
+    return result.agg(*_statistics())
+
+
+def _statistics() -> list[Column]:
+    return [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{c}_row_cnt") for c in ("inserted", "updated", "deleted")]
 
 
 def nothing(slice_: DataFrame, shape: Shape) -> DataFrame:
@@ -155,31 +159,43 @@ def plan_transfer(dataset_type: str, kind: str, target_is_empty: bool) -> str:
     return "merge"
 
 
-def validate(slice_: DataFrame, shape: Shape, unique: bool) -> int:
-    """Check what landed; returns the number of rows. One pass for nulls and the count.
+def survey(slice_: DataFrame, shape: Shape) -> dict[str, int]:
+    """One pass over what landed: rows, rows with a null key, active rows without some value."""
+    lacking = F.col("is_active") & any_null(list(shape.rest)) if shape.rest else F.lit(False)
+    seen = slice_.agg(
+        F.count("*").alias("rows"),
+        F.count(F.when(any_null(list(shape.key)), 1)).alias("null_keys"),
+        F.count(F.when(lacking, 1)).alias("lacking"),
+    )
+    return seen.first().asDict()
+
+
+def validate(slice_: DataFrame, seen: dict[str, int], shape: Shape, unique: bool) -> None:
+    """Judge what ``survey`` saw.
 
     ``unique`` is for transfers that don't compare: there a repeated key is an error,
-    while a merge takes one row per key.
+    while a merge takes one row per key and checks the versions that it makes.
     """
-    lacking = F.col("is_active") & any_null(list(shape.rest)) if shape.rest and unique else F.lit(False)
-    seen = slice_.agg(
-        F.count("*").alias("n"),
-        F.count(F.when(any_null(list(shape.key)), 1)).alias("keys"),
-        F.count(F.when(lacking, 1)).alias("values"),
-    ).first()
-    if seen["keys"]:
-        raise StrataError(f"{seen['keys']} rows have a null in the primary key", sqlstate=NOT_NULL_VIOLATION)
-    if seen["values"]:
-        raise StrataError(f"{seen['values']} active rows lack a value outside the key", sqlstate=NOT_NULL_VIOLATION)
-    if unique and (n := duplicate_key_count(slice_, shape).first()["duplicates"]):
+    if seen["null_keys"]:
+        raise StrataError(f"{seen['null_keys']} rows have a null in the primary key", sqlstate=NOT_NULL_VIOLATION)
+    if not unique:
+        return
+    check_values(seen["lacking"])
+    if n := duplicate_key_count(slice_, shape).first()["duplicates"]:
         raise StrataError(f"{n} active rows repeat a primary key", sqlstate=UNIQUE_VIOLATION)
-    return seen["n"]
 
 
-def validate_versions(versions: DataFrame, shape: Shape) -> None:
-    """New active versions must have all values; tombstones keep what there was."""
-    if shape.rest and (n := missing_values(versions, shape).count()):
-        raise StrataError(f"{n} active rows lack a value outside the key", sqlstate=NOT_NULL_VIOLATION)
+def check_values(lacking: int) -> None:
+    """Active rows must have all values; tombstones keep what there was."""
+    if lacking:
+        raise StrataError(f"{lacking} active rows lack a value outside the key", sqlstate=NOT_NULL_VIOLATION)
+
+
+def outcome(versions: DataFrame, shape: Shape) -> tuple[dict[str, int], int]:
+    """Statistics of written versions, and how many lack a value, in one pass."""
+    lacking = F.col("is_active") & any_null(list(shape.rest)) if shape.rest else F.lit(False)
+    got = versions.agg(*_statistics(), F.count(F.when(lacking, 1)).alias("lacking")).first().asDict()
+    return got, got.pop("lacking")
 
 
 def transfer(dataset_type: str, kind: str, slice_: DataFrame, log: DataFrame, target_is_empty: bool, shape: Shape) -> DataFrame:

@@ -1,17 +1,25 @@
 """Small files of an installation, through the file system that its root names.
 
-Local roots use the operating system, all others Hadoop's FileSystem in Spark's JVM.
-``write_new`` creates a file or fails if it is there: that is the only lock there is.
+Local roots use the operating system, all others Hadoop's FileContext in Spark's JVM.
+``write_new`` makes a file appear whole, or fails if it is there: that is the only lock
+there is. It needs a rename that is atomic and never replaces, so roots on stores without
+one (object stores) are refused.
 """
 
 from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
+from ..errors import FEATURE_NOT_SUPPORTED, StrataError
+
+#: Schemes whose rename is atomic and fails if the target is there.
+ATOMIC_RENAME = ("hdfs", "viewfs", "abfs", "abfss", "ofs", "o3fs")
+
 
 class LocalFiles:
     def __init__(self, root: str):
@@ -64,8 +72,10 @@ class LocalFiles:
 
 class HadoopFiles:
     def __init__(self, spark: SparkSession, root: str):
-        self.root, self.jvm = root, spark.sparkContext._jvm
-        self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.root, self.jvm = spark, root, spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), conf)
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -80,31 +90,42 @@ class HadoopFiles:
         finally:
             stream.close()
 
-    def _write(self, name: str, data: bytes, overwrite: bool) -> None:
-        stream = self.fs.create(self._path(name), overwrite)
+    def _aside(self, name: str, data: bytes):
+        """``data`` in a new file beside ``name``."""
+        path = self._path(f"{name}.{uuid.uuid4().hex}.part")
+        stream = self.fs.create(path, False)
         try:
             stream.write(bytearray(data))
         finally:
             stream.close()
+        return path
 
-    def write_new(self, name: str, data: bytes) -> bool:
+    def _rename(self, part, name: str, how) -> bool:
         from py4j.protocol import Py4JJavaError
 
-        if self.exists(name):
-            return False
+        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = how
         try:
-            self._write(name, data, False)
+            self.context.rename(part, self._path(name), options)
         except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception):
+            self.fs.delete(part, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
                 return False
             raise
         return True
 
+    def write_new(self, name: str, data: bytes) -> bool:
+        if self.exists(name):
+            return False
+        return self._rename(self._aside(name, data), name, self.jvm.org.apache.hadoop.fs.Options.Rename.NONE)
+
     def put(self, name: str, data: bytes) -> None:
-        self._write(name, data, True)
+        self._rename(self._aside(name, data), name, self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE)
 
     def names(self, folder: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(folder))) if self.exists(folder) else []
+        if not self.exists(folder):
+            return []
+        return sorted(n for s in self.fs.listStatus(self._path(folder)) if not (n := s.getPath().getName()).endswith(".part"))
 
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
@@ -115,4 +136,9 @@ class HadoopFiles:
 
 def open_files(spark: SparkSession, root: str) -> LocalFiles | HadoopFiles:
     root = root.rstrip("/")
-    return LocalFiles(root) if urlparse(root).scheme in ("", "file") else HadoopFiles(spark, root)
+    scheme = urlparse(root).scheme
+    if scheme in ("", "file"):
+        return LocalFiles(root)
+    if scheme not in ATOMIC_RENAME:
+        raise StrataError(f"{scheme} has no atomic rename, which commits need", sqlstate=FEATURE_NOT_SUPPORTED, hint=f"use one of {', '.join(ATOMIC_RENAME)}")
+    return HadoopFiles(spark, root)

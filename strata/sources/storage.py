@@ -2,7 +2,11 @@
 
 A build's new versions are one folder ``build_id=<id>``; they are visible once the commit
 that ends the build lists it, so a build that dies leaves nothing to see. Nothing is
-rewritten, and a read of a range of builds prunes folders.
+rewritten, and a read of a range of builds opens its folders only.
+
+Every ``SNAPSHOT_EVERY`` builds the open versions of a store are written once more, as a
+snapshot. A merge and a read of what is current start from the newest snapshot and the
+builds after it, so their cost doesn't grow with the length of history.
 """
 
 from __future__ import annotations
@@ -13,8 +17,11 @@ from pyspark.sql import types as T
 
 from ..functions.types import spark_type
 from ..operators import history
-from ..operators.transfer import INIT, Shape
-from .metalog import MetaLog
+from ..operators.transfer import INIT, Shape, open_versions
+from .metalog import MetaLog, full_row
+
+
+SNAPSHOT_EVERY = 16
 
 
 def typed(attrs: list[dict], names: tuple[str, ...]) -> list[T.StructField]:
@@ -75,23 +82,64 @@ class SpecStorage:
         own = T.StructType([f for f in versions.schema if f.name != "build_id"])
         return self.spark.read.schema(own).parquet(path)
 
-    def log(self) -> DataFrame:
-        """All visible versions. Flags of the transfer, which the files also hold, are not read."""
-        paths = [self.files.path(f"{self.folder}/build_id={b['build_id']}") for b in self.builds()]
+    def log(self, after: int = 0) -> DataFrame:
+        """Visible versions of builds after ``after``. Flags of the transfer, which the files also hold, are not read."""
+        paths = [self.files.path(f"{self.folder}/build_id={b['build_id']}") for b in self.builds() if b["build_id"] > after]
         if not paths:
             return self.spark.createDataFrame([], self.log_schema)
         found = self.spark.read.schema(self.log_schema).option("basePath", self.files.path(self.folder)).parquet(*paths)
         return found.select(*self.log_schema.names)
 
+    def recent_log(self) -> DataFrame:
+        """Versions among which the newest of each key is its open one: the snapshot and what came after it."""
+        last = self._snapshot()
+        if last is None:
+            return self.log()
+        shot = self.spark.read.schema(self.log_schema).parquet(self.files.path(f"{self.folder}/open/{last}"))
+        return shot.unionByName(self.log(last))
+
+    def _snapshot(self) -> int | None:
+        return max((r["build_id"] for r in self.meta.all("snapshot", dataset_code=self.dataset, build_spec_num=self.num, storage=self.storage)), default=None)
+
+    def snapshot_due(self) -> bool:
+        last = self._snapshot() or 0
+        return sum(b["build_id"] > last for b in self.builds()) >= SNAPSHOT_EVERY
+
+    def write_snapshot(self) -> dict:
+        """Write the open versions; the row that makes the snapshot visible."""
+        newest = max(b["build_id"] for b in self.builds())
+        shown = open_versions(self.recent_log(), self.shape)
+        shown.write.mode("overwrite").parquet(self.files.path(f"{self.folder}/open/{newest}"))
+        return full_row("snapshot", dataset_code=self.dataset, build_spec_num=self.num, storage=self.storage, build_id=newest)
+
     def is_empty(self) -> bool:
         """No version at all; the first build with rows ends this, so few folders are looked at."""
         return self.log().isEmpty()
 
+    def _resends(self) -> list[int]:
+        return [b["build_id"] for b in self.builds() if b["transfer"] == INIT]
+
     def history(self, dataset_type: str) -> DataFrame:
         if dataset_type == "mart":
-            return history.mart_history(self.log(), self.shape, [b["build_id"] for b in self.builds() if b["transfer"] == INIT])
+            return history.mart_history(self.log(), self.shape, self._resends())
         return history.store_history(self.log(), self.shape)
 
+    def current(self, dataset_type: str) -> DataFrame:
+        if dataset_type == "mart":
+            return self.history(dataset_type).filter("end_build_id IS NULL")
+        return history.store_current(self.recent_log(), self.shape)
+
+    def as_of(self, dataset_type: str, build_id: int) -> DataFrame:
+        if dataset_type == "mart":
+            return history.as_of(self.history(dataset_type), build_id)
+        return history.store_as_of(self.log(), self.shape, build_id)
+
+    def delta(self, dataset_type: str, from_build_id: int, to_build_id: int, current: bool = True) -> DataFrame:
+        if dataset_type == "mart":
+            shown = history.mart_history(self.log(from_build_id), self.shape, self._resends())
+            return history.delta(shown, from_build_id, to_build_id, current)
+        return history.store_delta(self.log(from_build_id), self.shape, from_build_id, to_build_id, current)
+
     def drop(self) -> None:
         self.files.drop(self.folder)
         self.files.drop(self.landing)

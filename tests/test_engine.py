@@ -1,337 +1,416 @@
-"""End to end: command text in, tables, journals and statuses out."""
+"""Through command text: a library's shelves and loans, built, exported and conducted."""
 
+import itertools
 import json
+import random
+import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 from strata.engine import Engine
 from strata.errors import StrataError
-
-DEAL = "create store dataset dm.deal (num text, val integer, primary key (num))"
-DEAL_SPEC = """create build_spec dm.deal.1 (init mode initial, incr mode increment, sect mode allegro)
-with (chunk_attr = num, parallel = 2) as python $$
-    with warehouse() as wh:
-        df = wh.sql("select * from deal_src")
-        print("rows", df.count())
-        wh.write_interface(df)
+from strata.sources import storage
+
+SHELF = "create store dataset lib.shelf (branch text, isbn bigint, copies integer, note text, primary key (branch, isbn))"
+SHELF_SPEC = """create build_spec lib.shelf.1 (init mode initial, incr mode increment, sect mode by_branch)
+with (parallel = 3, chunk_attr = branch) as python $$
+    print("landing", mode_code)
+    with warehouse() as w:
+        w.write_interface(w.sql("select * from delivery"))
+$$"""
+ROWS = "branch string, isbn bigint, copies int, note string, is_active boolean"
+LETTERS = "create mart dataset lib.letter (branch text, isbn bigint, copies integer, primary key (branch, isbn))"
+LETTERS_SPEC = """create build_spec lib.letter.7 (skip, appd mode increment, init mode initial, appd mode again) with (chunk_attr = isbn) from lib.shelf as python $$
+with warehouse() as w:
+    new = w.sql(f"select branch, isbn, copies, is_active, build_id from lib.shelf where end_build_id is null")
+    w.write_interface(new.where(f"is_active and build_id > {from_build_id} and build_id <= {to_build_id}").drop("build_id"))
+$$"""
+ENDLESS = """create build_spec lib.{0}.1 (init mode initial) with (chunk_attr=x) as python $$
+import time
+while True:
+    time.sleep(0.02)
 $$"""
 
 
-def land(spark, rows):
-    spark.createDataFrame(rows, "num string, val int, is_active boolean").createOrReplaceTempView("deal_src")
+def deliver(spark, rows):
+    spark.createDataFrame(rows, ROWS).createOrReplaceTempView("delivery")
 
 
 @pytest.fixture
-def engine(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "root"), user="ann", key=b"k" * 32, poll=0.05)
-    e.sql("create workspace (dm, stg)")
-    yield e
-    e.close()
+def e(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "root"), user="ida", key=b"7" * 32, poll=0.05)
+    engine.sql("create workspace (lib, old)")
+    yield engine
+    engine.close()
 
 
-def build(e, text, status="done"):
-    n = e.sql(text).first()[0]
-    assert e.builds.wait(n) == status, [r["message"] for r in e.meta.all("build_log", build_id=n)]
-    return n
+@pytest.fixture
+def shelf(e):
+    e.sql(SHELF)
+    e.sql(SHELF_SPEC)
+    return e
 
 
-def counts(e, n):
-    r = e.meta.last("build_log", build_id=n)
-    return tuple(r[f"{c}_row_cnt"] for c in ("prepared", "inserted", "updated", "deleted"))
+def run(e, spec, mode, status="done"):
+    dataset, _, num = spec.rpartition(".")
+    n = e.sql(f"build('{dataset}', {num}, '{mode}')").first()[0]
+    assert e.builds.wait(n) == status, [r["message"] for r in e.meta.all("build_log", build_id=n)]
+    return n
 
 
-def rows(df):
-    return sorted(map(tuple, df.collect()), key=str)
+def conduct(e, text="flow()", status="done"):
+    f = e.sql(text).first()[0]
+    assert e.flows.wait(f) == status, [r["message"] for r in e.meta.all("flow_log", flow_id=f)]
+    return f
 
 
-def error(e, text):
+def refused(e, text, sqlstate=None, part=""):
     with pytest.raises(StrataError) as x:
         e.sql(text)
+    assert part in x.value.message and sqlstate in (None, x.value.sqlstate), (x.value.message, x.value.sqlstate)
     return x.value
 
 
-def test_golden_sequence_of_a_store(spark, engine):
-    e = engine
-    e.sql(DEAL)
-    assert e.sql("select * from dm.deal").columns == ["num", "build_id", "end_build_id", "is_active", "val"] and e.table("dm.deal").count() == 0
-    e.sql(DEAL_SPEC)
-    land(spark, [("n1", 1, True), ("n2", 2, True), ("n3", 3, True)])
-    b1 = build(e, "build('dm.deal', 1, 'initial')")
-    assert counts(e, b1) == (3, 3, 0, 0)
-    assert rows(e.table("dm.deal_1")) == [(f"n{k}", b1, None, True, k) for k in (1, 2, 3)]
-    assert e.table("dm.deal_1_$").count() == 0  # emptied after a full load
-    land(spark, [("n1", 1, True), ("n2", 22, True), ("n3", 3, False), ("n4", 4, True)])
-    b2 = build(e, "build('dm.deal', 1, 'initial')")
-    assert counts(e, b2) == (4, 1, 1, 1)
-    assert rows(e.table("dm.deal")) == sorted([
-        ("n1", b1, None, True, 1), ("n2", b1, b2 - 1, True, 2), ("n2", b2, None, True, 22),
-        ("n3", b1, b2 - 1, True, 3), ("n3", b2, None, False, 3), ("n4", b2, None, True, 4),
-    ], key=str)
-    land(spark, [("n5", 5, True)])
-    b3 = build(e, "build('dm.deal', 1, 'increment')")
-    assert counts(e, b3) == (1, 1, 0, 0) and e.table("dm.deal_1_$").count() == 1
-    assert e.sql("select count(*) from dm.deal where end_build_id is null").first()[0] == 5
-    assert [r.num for r in e.as_of("dm.deal", b1).orderBy("num").collect()] == ["n1", "n2", "n3"]
-    assert rows(e.as_of("dm.deal", b2).select("num", "is_active")) == [("n1", True), ("n2", True), ("n3", False), ("n4", True)]
-    assert rows(e.delta("dm.deal", b1, b3).select("num")) == [("n2",), ("n4",), ("n5",)]
-    land(spark, [("n3", 3, True)])  # revived: counts as inserted
-    assert counts(e, build(e, "build('dm.deal', 1, 'increment')")) == (1, 1, 0, 0)
-    land(spark, [("n1", 11, True)])
-    assert counts(e, build(e, "build('dm.deal', 1, 'allegro')")) == (1, 0, 1, 0)
-    lines = [r.message for r in e.sql(f"attach({b1})").collect()]
-    assert any("rows 3" in x for x in lines) and lines[-1] == "ATTACH"
-    assert [r["status_code"] for r in e.attach(b1)] == ["wait", "load", "load", "comp", "done"] and list(e.attach(b1, 10**9)) == []
-
-
-def test_failures_fix_and_windows(spark, engine):
-    e = engine
-    e.sql(DEAL)
-    e.sql(DEAL_SPEC)
-    land(spark, [("n1", 1, True), ("n1", 1, True)])
-    bad = build(e, "build('dm.deal', 1, 'initial')", "fail")
-    assert "repeat" in e.meta.last("build_log", build_id=bad)["message"] and e.table("dm.deal").count() == 0
-    assert f"fix({bad})" in error(e, "build('dm.deal', 1, 'initial')").hint
-    assert "nothing to fix" not in error(e, f"stop({bad})").message
-    e.sql(f"fix({bad})")
-    assert error(e, f"fix({bad})").sqlstate == "55000" and error(e, "stop(99)").sqlstate == "42704"
-    land(spark, [(None, 1, True)])
-    e.sql(f"fix({build(e, 'build(' + repr('dm.deal') + ', 1, ' + repr('initial') + ')', 'fail')})")
-    land(spark, [("n1", 1, True)])
-    first = build(e, "build('dm.deal', 1, 'initial')")
-    land(spark, [("n1", None, True)])  # a null outside the key
-    e.sql(f"fix({build(e, 'build(' + repr('dm.deal') + ', 1, ' + repr('increment') + ')', 'fail')})")
-    assert e.builds.window_from("dm.deal", 1)[0] == first
-    land(spark, [("n2", 1, True)])
-    build(e, "build('dm.deal', 1, 'allegro')")  # a manual mode leaves the window
-    assert e.builds.window_from("dm.deal", 1)[0] == first
-    assert build(e, "build('dm.deal', 1, 'increment')") == e.builds.window_from("dm.deal", 1)[0]
-    assert error(e, "build('dm.deal', 1, 'nope')").sqlstate == error(e, "build('dm.x', 1, 'initial')").sqlstate == "42704"
-
-
-def test_body_errors_and_bare_namespace(engine):
-    e = engine
-    e.sql("create store dataset dm.cat (x text, primary key (x))")
-    e.sql("create build_spec dm.cat.1 (init mode initial) with (chunk_attr=x) as python $$\nprint(sorted(k for k in globals() if not k.startswith('__')))\nprint(mode_code, from_build_id, to_build_id, previous_time, parallel_cnt)\n1/0\n$$")
-    n = build(e, "build('dm.cat', 1, 'initial')", "fail")
-    messages = [r["message"] for r in e.meta.all("build_log", build_id=n) if r["message"]]
-    assert messages[0] == "['from_build_id', 'mode_code', 'parallel_cnt', 'previous_time', 'print', 'to_build_id', 'warehouse']"
-    assert messages[1] == "initial 0 1 None 1" and messages[2].startswith("ZeroDivisionError") and "line 4" in messages[2]
-    assert [r.message for r in e.sql("python $$print('a', 1)\nwith warehouse() as w: print(w.table('dm.cat').count())$$").collect()] == ["a 1", "0", "PYTHON"]
-    x = error(e, "python $$\nx = (\n$$")
-    assert x.pos is not None and "no Python" in x.message
-
-
-def mart(e):
-    e.sql(DEAL)
-    e.sql(DEAL_SPEC)
-    e.sql("create mart dataset dm.feed (num text, val integer, primary key (num))")
-    e.sql("""create build_spec dm.feed.1 (appd mode increment, init mode initial, skip, appd mode resend) with (chunk_attr = num) from dm.deal as python $$
-with warehouse() as wh:
-    wh.write_interface(wh.sql(f"select num, val from dm.deal where build_id > {from_build_id} and build_id <= {to_build_id} and end_build_id is null and is_active"))
-$$""")
-
-
-def test_flow_marts_and_presets(spark, engine):
-    e = engine
-    mart(e)
-    land(spark, [("n1", 1, True)])
-    f = e.sql("flow()").first()[0]
-    assert e.flows.wait(f) == "done", [r["message"] for r in e.meta.all("flow_log", flow_id=f)]
-    assert rows(e.table("dm.feed").select("num", "val")) == [("n1", 1)]
-    land(spark, [("n1", 2, True), ("n2", 2, True)])
-    assert e.flows.wait(e.sql("flow(export = skip)").first()[0]) == "done"
-    assert e.table("dm.feed").count() == 1  # absorbed, not exported
-    land(spark, [("n3", 3, True)])
-    spark.createDataFrame([("dm.deal", 1, "allegro")], "c string, n int, m string").createOrReplaceTempView("night_plan")
-    e.sql("create flow_spec night as $$select c, n, m, 1 as extra from night_plan$$")
-    f = e.sql("flow('night')").first()[0]
-    assert e.flows.wait(f) == "done"
-    steps = [(b["dataset_code"], b["mode_code"]) for b in e.meta.all("build", flow_id=f)]
-    assert steps == [("dm.deal", "allegro"), ("dm.deal", "increment"), ("dm.feed", "increment")]
-    land(spark, [("n9", 9, True)])
-    e.sql("create or replace flow_spec night as $$select 'dm.feed', 1, 'resend'$$")
-    f = e.sql("flow('night')").first()[0]
-    assert e.flows.wait(f) == "stop" and "mart" in e.meta.last("flow_log", flow_id=f)["message"]
-    before = e.table("dm.feed").count()
-    n = build(e, "build('dm.feed', 1, 'initial')")  # a full resend ends all older portions
-    got = e.table("dm.feed")
-    assert got.filter(F.col("build_id") < n).filter(f"end_build_id = {n - 1}").count() == before
-    assert any("plan:" in x.message for x in e.sql("attach flow(1)").collect())
-    assert e.sql("select count(*) from _meta.flow_log where status_code = 'done'").first()[0] == 3
-
-
-def test_pause_fail_fix_and_stop(spark, engine):
-    e = engine
-    e.sql("create store dataset dm.cat (x text, primary key (x))")
-    e.sql("create build_spec dm.cat.1 (init mode initial) with (chunk_attr=x) as python $$\nwith warehouse() as w:\n    w.write_interface(w.sql('select * from cat_src'))\n$$")
-    spark.createDataFrame([(None, True)], "x string, is_active boolean").createOrReplaceTempView("cat_src")
-    f = e.sql("flow()").first()[0]
-    until(lambda: any(b for b in e.meta.all("build", flow_id=f) if e.meta.status("build", b["build_id"]) == "fail"))
-    assert "flow" in error(e, "build('dm.cat', 1, 'initial')").message or True
-    e.sql(f"pause flow({f})")
-    assert error(e, f"pause flow({f})").sqlstate == "55000" and e.meta.status("flow", f) == "hold"
-    spark.createDataFrame([("a", True)], "x string, is_active boolean").createOrReplaceTempView("cat_src")
-    e.sql(f"fix({e.meta.all('build', flow_id=f)[0]['build_id']})")
-    time.sleep(0.3)
-    assert len(e.meta.all("build", flow_id=f)) == 1  # still paused
-    e.sql(f"resume flow({f})")
-    assert e.flows.wait(f) == "done" and len(e.meta.all("build", flow_id=f)) == 2
-    assert error(e, f"resume flow({f})").sqlstate == error(e, f"stop flow({f})").sqlstate == "55000"
+def found(df, *columns):
+    return sorted(map(tuple, (df.select(*columns) if columns else df).collect()), key=str)
 
 
-def until(ready, seconds=60):
+def eventually(ready, seconds=60):
     end = time.monotonic() + seconds
     while not ready():
         assert time.monotonic() < end
         time.sleep(0.05)
 
 
-SLOW = """create build_spec dm.slow.1 (init mode initial) with (chunk_attr=k) as python $$
-import time
-while True:
-    time.sleep(0.02)
-$$"""
-
-
-def test_locks_stop_and_system_fix(spark, engine):
-    e = engine
-    e.sql("create store dataset dm.slow (k text, primary key (k))")
-    e.sql("create store dataset dm.rep (r text, primary key (r))")
-    e.sql(SLOW)
-    e.sql("create build_spec dm.rep.1 (init mode initial) with (chunk_attr=r) from dm.slow as python $$pass$$")
-    n = e.sql("build('dm.slow', 1, 'initial')").first()[0]
-    assert "running" in error(e, "build('dm.slow', 1, 'initial')").message
-    assert "busy" in error(e, "build('dm.rep', 1, 'initial')").message
-    assert error(e, SLOW.replace("create", "create or replace")).sqlstate == error(e, "drop build_spec dm.slow.1").sqlstate == "55000"
+class Model:
+    """History of a store, one key at a time: lists of (build, active, values)."""
+
+    def __init__(self):
+        self.keys = {}
+
+    def build(self, n, mode, rows):
+        landed = {}
+        for branch, isbn, copies, note, active in rows:
+            rank = (0 if active is None else 1 if active else 2, copies, note)
+            if (branch, isbn) not in landed or rank < landed[branch, isbn][0]:
+                landed[branch, isbn] = rank, bool(active), (copies, note)
+        branches = {r[0] for r in rows}
+        counts = {"inserted": 0, "updated": 0, "deleted": 0}
+        for key in sorted({*landed, *self.keys}):
+            in_reach = key in landed or mode == "initial" or (mode == "by_branch" and key[0] in branches)
+            past = self.keys.get(key, [])
+            was, before = (past[-1][1], past[-1][2]) if past else (False, None)
+            _, active, values = landed.get(key, (None, False, None))
+            if not in_reach or not (active or was) or (active and was and values == before):
+                continue
+            counts["updated" if active and was else "inserted" if active else "deleted"] += 1
+            self.keys.setdefault(key, []).append((n, active, values if active else before))
+        return counts
+
+    def history(self):
+        out = []
+        for key, versions in self.keys.items():
+            ends = [v[0] - 1 for v in versions[1:]] + [None]
+            out += [(*key, n, end, active, *values) for (n, active, values), end in zip(versions, ends, strict=True)]
+        return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_builds_equal_a_model(spark, shelf, monkeypatch, seed):
+    monkeypatch.setattr(storage, "SNAPSHOT_EVERY", 3)
+    e, model, rng, built = shelf, Model(), random.Random(seed), []
+    for step in range(7):
+        mode = "initial" if step in (0, 4) else rng.choice(["increment", "by_branch"])
+        keys = rng.sample(list(itertools.product("abc", range(6))), rng.randint(3, 12))
+        rows = [(b, i, rng.randint(1, 2), rng.choice(["x", "y"]), step == 0 or rng.random() < 0.7) for b, i in keys]
+        if step:
+            rows += [(b, i, 9, "late", rng.choice([None, False])) for b, i, *_ in rows[:1]]
+        deliver(spark, rows)
+        n = run(e, "lib.shelf.1", mode)
+        log = e.meta.last("build_log", build_id=n)
+        assert {"prepared": len(rows)} | model.build(n, mode, rows) == {k: log[f"{k}_row_cnt"] for k in ("prepared", "inserted", "updated", "deleted")}
+        assert e.table("lib.shelf_1_$").count() == (0 if mode == "initial" else len(rows))
+        built.append(n)
+    want = model.history()
+    assert found(e.table("lib.shelf")) == want == found(e.sql("select * from lib.shelf_1"))
+    assert found(e.current("lib.shelf")) == [r for r in want if r[3] is None]
+    assert len(e.meta.all("snapshot")) == 2
+    for p, q in itertools.combinations([0, *built], 2):
+        assert found(e.as_of("lib.shelf", q)) == [r for r in want if r[2] <= q and (r[3] is None or r[3] >= q)]
+        assert found(e.delta("lib.shelf", p, q)) == [r for r in want if p < r[2] <= q and r[3] is None and r[4]]
+        assert found(e.delta("lib.shelf", p, q, current=False)) == [r for r in want if p < r[2] <= q]
+
+
+def test_what_a_build_says(spark, shelf):
+    deliver(spark, [("a", 1, 1, "x", True)])
+    n = run(shelf, "lib.shelf.1", "initial")
+    assert [r["status_code"] for r in shelf.attach(n)] == ["wait", "load", "load", "comp", "done"] and list(shelf.attach(n, 10**9)) == []
+    *lines, tag = [r.message for r in shelf.sql(f"attach({n})").collect()]
+    assert tag == "ATTACH" and any("landing initial" in x for x in lines)
+    stream = shelf.stream("build_log").writeStream.format("memory").queryName("shelf_journal").start()
+    stream.processAllAvailable()
+    stream.stop()
+    assert {r.status_code for r in spark.sql(f"select * from shelf_journal where build_id = {n}").collect()} == {"wait", "load", "comp", "done"}
+
+
+@pytest.mark.parametrize(
+    ("mode", "rows", "part"),
+    [
+        ("initial", [("a", None, 1, "x", True)], "null in the primary key"),
+        ("initial", [("a", 1, 1, "x", True), ("a", 1, 2, "x", True)], "repeat a primary key"),
+        ("initial", [("a", 1, None, "x", True)], "lack a value"),
+        ("increment", [("a", 5, None, "x", True), ("b", 1, 1, "x", True)], "lack a value"),
+    ],
+)
+def test_bad_deliveries_fail_and_leave_nothing(spark, shelf, mode, rows, part):
+    e, good = shelf, 0
+    if mode == "increment":  # only a merge into what is there checks the versions that it makes
+        deliver(spark, [("z", 1, 1, "x", True)])
+        good = run(e, "lib.shelf.1", "initial")
+    before = found(e.table("lib.shelf"))
+    deliver(spark, rows)
+    n = run(e, "lib.shelf.1", mode, "fail")
+    assert part in e.meta.last("build_log", build_id=n)["message"] and found(e.table("lib.shelf")) == before
+    assert f"fix({n})" in refused(e, f"build('lib.shelf', 1, '{mode}')").hint
+    refused(e, f"stop({n})", "55000", "failed")
+    e.sql(f"fix({n})")
+    refused(e, f"fix({n})", "55000", "ended")
+    assert e.builds.window_from("lib.shelf", 1)[0] == good
+
+
+def test_windows_move_with_clean_builds_only(spark, shelf):
+    e = shelf
+    assert e.builds.window_from("lib.shelf", 1) == (0, None)
+    deliver(spark, [("a", 1, 1, "x", True)])
+    first = run(e, "lib.shelf.1", "initial")
+    run(e, "lib.shelf.1", "by_branch")  # run by hand only
+    last = e.meta.last("build_log", build_id=first)
+    assert e.builds.window_from("lib.shelf", 1) == (first, last["log_time"])
+    assert run(e, "lib.shelf.1", "increment") == e.builds.window_from("lib.shelf", 1)[0]
+    refused(e, "build('lib.shelf', 1, 'weekly')", "42704")
+    refused(e, "build('lib.shed', 1, 'initial')", "42704")
+    refused(e, "stop(99)", "42704")
+
+
+def test_bodies(e):
+    e.sql("create store dataset lib.visit (x text, primary key (x))")
+    body = "\nprint(*sorted(k for k in globals() if k[0] != '_'))\nprint(mode_code, from_build_id, to_build_id, previous_time, parallel_cnt)\n[][1]\n"
+    e.sql(f"create build_spec lib.visit.1 (init mode initial) with (chunk_attr=x) as python $${body}$$")
+    n = run(e, "lib.visit.1", "initial", "fail")
+    names, values, failure = [r["message"] for r in e.meta.all("build_log", build_id=n) if r["message"]]
+    assert names.split() == ["from_build_id", "mode_code", "parallel_cnt", "previous_time", "print", "to_build_id", "warehouse"]
+    assert values == "initial 0 1 None 1" and failure.startswith("IndexError") and "line 4" in failure
+    assert [r.message for r in e.sql("python $$with warehouse() as w: print(w.table('lib.visit').count(), 'rows')$$").collect()] == ["0 rows", "PYTHON"]
+    assert refused(e, "python $$\n  if\n$$", part="no Python").pos is not None
+
+
+def test_marts_by_flows_and_by_hand(spark, shelf):
+    e = shelf
+    e.sql(LETTERS)
+    e.sql(LETTERS_SPEC)
+    deliver(spark, [("a", 1, 1, "x", True), ("b", 1, 4, "x", True)])
+    first = conduct(e)
+    assert found(e.table("lib.letter"), "branch", "copies") == [("a", 1), ("b", 4)]
+    deliver(spark, [("a", 2, 2, "x", True)])
+    conduct(e, "flow(export = skip)")
+    assert e.table("lib.letter").count() == 2  # gathered, and dropped by the skip
+    deliver(spark, [("c", 3, 3, "x", True)])
+    conduct(e)
+    assert found(e.table("lib.letter"), "branch", "isbn") == [("a", 1), ("b", 1), ("c", 3)]
+    n = run(e, "lib.letter.7", "initial")  # a resend in full ends all portions before it
+    ended = e.table("lib.letter").filter(F.col("build_id") < n)
+    assert found(ended.select("end_build_id").distinct()) == [(n - 1,)] and found(e.delta("lib.letter", n - 1, n, current=False), "branch") == found(e.current("lib.letter"), "branch")
+    assert found(e.as_of("lib.letter", n - 1), "branch") == [("a",), ("b",), ("c",)]
+    assert any("plan:" in r.message for r in e.sql(f"attach flow({first})").collect())
+    assert e.sql("select count(distinct flow_id) from _meta.flow_log where status_code = 'done'").first()[0] == 3
+
+
+def test_presets_run_what_their_query_names(spark, shelf):
+    e = shelf
+    e.sql(LETTERS)
+    e.sql(LETTERS_SPEC)
+    deliver(spark, [("a", 1, 1, "x", True)])
+    conduct(e)
+    spark.createDataFrame([("lib.shelf", 1, "by_branch", "x")], "dataset string, num int, mode string, why string").createOrReplaceTempView("todo")
+    e.sql("create flow_spec weekly as $$select * from todo$$")
+    f = conduct(e, "flow('weekly')")
+    assert [(b["dataset_code"], b["mode_code"]) for b in e.meta.all("build", flow_id=f)] == [("lib.shelf", "by_branch"), ("lib.shelf", "increment"), ("lib.letter", "increment")]
+    e.sql("create or replace flow_spec weekly as $$select 'lib.letter', 7, 'again'$$")
+    assert "mart" in e.meta.last("flow_log", flow_id=conduct(e, "flow('weekly')", "stop"))["message"]
+    e.sql("drop flow_spec weekly")
+    refused(e, "flow('weekly')", "42704")
+
+
+def test_a_failed_step_waits_for_its_fix(spark, shelf):
+    e = shelf
+    deliver(spark, [(None, 1, 1, "x", True)])
+    f = e.sql("flow()").first()[0]
+    steps = lambda: [e.meta.status("build", b["build_id"]) for b in e.meta.all("build", flow_id=f)]
+    eventually(lambda: steps() == ["fail"])
+    e.sql(f"pause flow({f})")
+    refused(e, f"pause flow({f})", "55000")
+    deliver(spark, [("a", 1, 1, "x", True)])
+    e.sql(f"fix({e.meta.all('build', flow_id=f)[0]['build_id']})")
+    time.sleep(0.3)
+    assert steps() == ["fix"] and e.meta.status("flow", f) == "hold"
+    e.sql(f"resume flow({f})")
+    assert e.flows.wait(f) == "done" and steps() == ["fix", "done"]
+    refused(e, f"resume flow({f})", "55000")
+    refused(e, f"stop flow({f})", "55000")
+
+
+def test_what_runs_keeps_others_out(e):
+    for name in ("dust", "mould"):
+        e.sql(f"create store dataset lib.{name} (x text, primary key (x))")
+    e.sql(ENDLESS.format("dust"))
+    e.sql("create build_spec lib.mould.1 (init mode initial) with (chunk_attr=x) from lib.dust as python $$pass$$")
+    n = e.sql("build('lib.dust', 1, 'initial')").first()[0]
+    refused(e, "build('lib.dust', 1, 'initial')", part="running")
+    refused(e, "build('lib.mould', 1, 'initial')", part="busy")
+    refused(e, "drop build_spec lib.dust.1", "55000")
+    refused(e, ENDLESS.format("dust").replace("create", "create or replace"), "55000")
     e.sql(f"stop({n})")
-    assert e.builds.wait(n) == "fail" and "stopped by ann" in e.meta.last("build_log", build_id=n)["message"]
-    assert "busy" in error(e, "build('dm.rep', 1, 'initial')").message  # an open fail is no whole source
+    assert e.builds.wait(n) == "fail" and "stopped by ida" in e.meta.last("build_log", build_id=n)["message"]
+    refused(e, "build('lib.mould', 1, 'initial')", part="busy")  # a source isn't whole before its fix
     e.sql(f"fix({n})")
     f = e.sql("flow()").first()[0]
-    until(lambda: e.meta.all("build", flow_id=f))
-    assert "flow" in error(e, "build('dm.rep', 1, 'initial')").message
-    second = e.sql("flow()").first()[0]  # waits for its turn
+    eventually(lambda: e.meta.all("build", flow_id=f))
+    refused(e, "build('lib.mould', 1, 'initial')", part="flow")
+    waiting = e.sql("flow()").first()[0]
     time.sleep(0.2)
-    assert e.meta.status("flow", second) == "wait"
-    e.sql(f"stop flow({second})")
-    e.sql(f"stop flow({f})")
-    assert e.flows.wait(f) == e.flows.wait(second) == "stop"
+    assert e.meta.status("flow", waiting) == "wait"
+    for x in (waiting, f):
+        e.sql(f"stop flow({x})")
+    assert {e.flows.wait(f), e.flows.wait(waiting)} == {"stop"}
     assert e.meta.status("build", e.meta.all("build", flow_id=f)[0]["build_id"]) == "fix"
 
 
-def test_orphans_of_another_engine(spark, engine, tmp_path):
-    e = engine
-    e.sql("create store dataset dm.slow (k text, primary key (k))")
-    e.sql(SLOW)
-    other = Engine(spark, str(tmp_path / "root"), user="bob", poll=0.05)
-    n = other.sql("build('dm.slow', 1, 'initial')").first()[0]
-    assert "another engine" in error(e, f"stop({n})").message
-    run = other.builds.runs[n]
-    other.claims.release()  # as if its process had died
-    assert "orphaned" in error(e, "build('dm.slow', 1, 'initial')").message
+def test_builds_of_a_dead_engine(spark, e, tmp_path):
+    e.sql("create store dataset lib.dust (x text, primary key (x))")
+    e.sql(ENDLESS.format("dust"))
+    other = Engine(spark, str(tmp_path / "root"), user="bo", poll=0.05)
+    n = other.sql("build('lib.dust', 1, 'initial')").first()[0]
+    thread = other.builds.runs[n].thread
+    refused(e, f"stop({n})", part="another engine")
+    other.claims.release()
+    refused(e, "build('lib.dust', 1, 'initial')", part="orphaned")
     e.sql(f"stop({n})")
     assert e.meta.status("build", n) == "fail"
     e.sql(f"fix({n})")
     other.builds.cancel(n, "end")
-    run.thread.join(30)
+    thread.join(30)
+
+
+def test_liveness_is_judged_by_changes(e, monkeypatch):
+    name = f"{e.claims.FOLDER}/far"
+    assert not e.claims.alive("far")
+    e.files.put(name, repr(time.time() - 100).encode())  # another machine's clock is late
+    assert e.claims.alive("far") and e.claims.alive("far")
+    monkeypatch.setattr(e.claims, "STALE", 0.0)
+    assert not e.claims.alive("far")
+    e.files.put(name, repr(time.time()).encode())
+    assert e.claims.alive("far")
+    monkeypatch.setattr(e.files, "read", lambda _: 1 / 0)
+    with pytest.raises(ZeroDivisionError):  # storage that can't be read proves nothing
+        e.claims.alive("far")
+
+
+def test_demands_on_specs(shelf):
+    e = shelf
+    new = SHELF_SPEC.replace("shelf.1", "shelf.2")
+    for change, part in (
+        (("shelf.2", "shelf.0"), "1 at least"),
+        ((", chunk_attr = branch", ""), "chunk_attr is missing"),
+        (("chunk_attr = branch", "chunk_attr = note"), "not in the primary key"),
+        (("parallel = 3", "parallel = 0"), "whole number"),
+        (("parallel = 3", "parallel = many"), "whole number"),
+        (("parallel = 3", "colour = 3"), "unknown option"),
+        (("init mode initial", "sect mode initial"), "'sect'"),
+        (("sect mode by_branch", "appd mode by_branch"), "'appd'"),
+        (("sect mode by_branch", "skip"), "'skip'"),
+        (("init mode initial, incr mode increment, ", ""), "initial or increment"),
+        (("by_branch", "increment"), "listed twice"),
+        (("as python", "using drum as python"), "does not exist"),
+        (("as python", "using warehouse as python"), "warehouse"),
+        (("as python", "from lib.shelf as python"), "own dataset"),
+        (("as python", "from lib.attic as python"), "does not exist"),
+    ):
+        assert change[0] in new
+        refused(e, new.replace(*change), part=part)
+    several = refused(e, new.replace("parallel = 3, chunk_attr = branch", "parallel = 0, colour = 3"), "22023")
+    assert "chunk_attr" in several.message and "colour" in several.hint and "parallel" in several.hint
+    refused(e, SHELF_SPEC, "42710")
 
 
-def test_catalog_rules(engine):
-    e = engine
-    assert error(e, "create workspace (dm)").sqlstate == "42P06" and error(e, "alter workspace add dm").sqlstate == "42P06"
+def test_catalog_commands(shelf):
+    e = shelf
+    refused(e, "create workspace (lib)", "42P06")
+    refused(e, "alter workspace add old", "42P06")
     e.sql("alter workspace add raw")
-    assert error(e, "create store dataset nope.x (a text, primary key (a))").sqlstate == "3F000"
-    e.sql(DEAL)
-    assert error(e, DEAL).sqlstate == "42710" and error(e, DEAL.replace("store", "or replace mart").replace("create or", "create or")).sqlstate in ("0A000", "42601")
-    for text, part in (
-        (DEAL_SPEC.replace("deal.1", "deal.0"), "1 at least"),
-        (DEAL_SPEC.replace("chunk_attr = num, ", ""), "chunk_attr"),
-        (DEAL_SPEC.replace("chunk_attr = num", "chunk_attr = val"), "primary key"),
-        (DEAL_SPEC.replace("parallel = 2", "parallel = 0"), "parallel"),
-        (DEAL_SPEC.replace("parallel = 2", "speed = 2"), "unknown option"),
-        (DEAL_SPEC.replace("init mode initial", "incr mode initial"), "type init"),
-        (DEAL_SPEC.replace("sect mode allegro", "appd mode allegro"), "no transfer type"),
-        (DEAL_SPEC.replace("init mode initial, incr mode increment, ", ""), "initial or increment"),
-        (DEAL_SPEC.replace("as python", "using crm as python"), "does not exist"),
-        (DEAL_SPEC.replace("as python", "using warehouse as python"), "warehouse"),
-        (DEAL_SPEC.replace("as python", "from dm.deal as python"), "own dataset"),
-        (DEAL_SPEC.replace("as python", "from dm.x as python"), "does not exist"),
-    ):
-        assert part in error(e, text).message, text
-    e.sql(DEAL_SPEC)
-    assert error(e, DEAL_SPEC).sqlstate == "42710" and error(e, "drop dataset dm.deal").sqlstate == "2BP01"
-    replace = DEAL.replace("create", "create or replace")
-    assert error(e, replace.replace("val integer", "val bigint")).sqlstate == error(e, replace.replace("(num))", "(val))")).sqlstate == error(e, replace.replace("val integer, ", "")).sqlstate == "0A000"
-    e.sql("create store dataset dm.pup (y text, primary key (y))")
-    e.sql("create build_spec dm.pup.1 (init mode initial) with (chunk_attr=y) from dm.deal as python $$pass$$")
-    assert "circle" in error(e, DEAL_SPEC.replace("create", "create or replace").replace("as python", "from dm.pup as python")).message
-    e.sql("create mart dataset dm.feed (num text, primary key (num))")
-    assert "skip" in error(e, "create build_spec dm.feed.1 (appd mode increment) with (chunk_attr=num) as python $$x$$").message
-    assert "no source" in error(e, DEAL_SPEC.replace("deal.1", "deal.2").replace("as python", "from dm.feed as python")).message
-    e.sql("comment on dataset dm.deal is 'deals'")
-    e.sql("comment on attr dm.deal.val is 'worth'")
-    e.sql("comment on workspace is 'all'")
-    assert error(e, "comment on attr dm.deal.nope is 'x'").sqlstate == "42704"
-    e.sql(replace)  # comments outlive a replace
-    d = e.catalog.dataset("dm.deal")
-    assert (d["descr"], {a["attr_code"]: a["descr"] for a in e.catalog.attrs("dm.deal", d["version_id"])}) == ("deals", {"num": None, "val": "worth"})
-    e.sql("drop build_spec dm.pup.1")
-    e.sql("drop dataset dm.pup")
-    assert error(e, "drop dataset dm.pup").sqlstate == "42704"
+    refused(e, "create store dataset gone.x (a text, primary key (a))", "3F000")
+    refused(e, SHELF, "42710")
+    refused(e, "drop dataset lib.shelf", "2BP01")
+    again = SHELF.replace("create", "create or replace")
+    for change in (("copies integer", "copies bigint"), ("(branch, isbn)", "(branch)"), ("copies integer, ", "")):
+        refused(e, again.replace(*change), "0A000")
+    e.sql("create store dataset lib.loan (who text, primary key (who))")
+    e.sql("create build_spec lib.loan.1 (incr mode increment) with (chunk_attr=who) from lib.shelf as python $$pass$$")
+    refused(e, SHELF_SPEC.replace("create", "create or replace").replace("as python", "from lib.loan as python"), part="circle")
+    e.sql(LETTERS)
+    refused(e, LETTERS_SPEC.replace("(skip, ", "("), part="skip")
+    refused(e, SHELF_SPEC.replace("shelf.1", "shelf.2").replace("as python", "from lib.letter as python"), part="no source")
+    for what, text in (("dataset lib.shelf", "books"), ("attr lib.shelf.copies", "how many"), ("workspace", "all of it")):
+        e.sql(f"comment on {what} is '{text}'")
+    refused(e, "comment on attr lib.shelf.shade is 'x'", "42704")
+    e.sql(again)  # comments outlive it
+    d = e.catalog.dataset("lib.shelf")
+    assert (d["descr"], [a["descr"] for a in e.catalog.attrs("lib.shelf", d["version_id"])]) == ("books", [None, None, "how many", None])
+    e.sql("drop build_spec lib.loan.1")
+    e.sql("drop dataset lib.loan")
+    refused(e, "drop dataset lib.loan", "42704")
     assert e.sql("select max(version_id) from _meta.version").first()[0] == e.meta.rows["version"][-1]["version_id"]
     e.sql("drop workspace")
-    assert error(e, "flow()").sqlstate == "42704"
-
-
-def test_drop_and_create_starts_with_empty_storage(spark, engine):
-    e = engine
-    e.sql(DEAL)
-    e.sql(DEAL_SPEC)
-    land(spark, [("n1", 1, True)])
-    n = build(e, "build('dm.deal', 1, 'initial')")
-    e.sql("drop build_spec dm.deal.1")
-    assert e.table("dm.deal").count() == 0
-    e.sql(DEAL_SPEC)
-    assert e.table("dm.deal").count() == 0 and e.builds.window_from("dm.deal", 1)[0] == n  # the journal outlives the spec
-    build(e, "build('dm.deal', 1, 'increment')")
-    e.sql(DEAL_SPEC.replace("create", "create or replace"))  # a replace keeps the rows
-    assert e.table("dm.deal").count() == 1
-
-
-def test_connections_and_secrets(spark, engine, tmp_path):
-    e = engine
-    fields = "host_name='127.0.0.1', port_num=1, database_name='d', user_name='u', password='s3cret'"
-    e.sql(f"create postgres connection crm with ({fields})")
-    row = e.catalog.connection(type("R", (), {"text": "crm", "pos": 0}))
-    assert "s3cret" not in json.dumps(e.meta.rows, default=str) and json.loads(row["param_json"])["port_num"] == 1
-    assert e.secrets.open_fields(row["param_json"])["password"] == "s3cret"
-    assert error(e, "test crm").sqlstate == "08001" and error(e, "test nope").sqlstate == "42704"
-    for text, part in ((fields.replace("port_num=1", "port_num='1'"), "takes a number"), (fields + ", x=1", "no field"), (fields.replace("password='s3cret'", "user_name='a'"), "twice"), ("host_name='h'", "needs a field")):
-        assert part in error(e, f"create or replace postgres connection crm with ({text})").message
-    assert error(e, f"create postgres connection crm with ({fields})").sqlstate == "42710"
-    assert error(e, f"create postgres connection warehouse with ({fields})").sqlstate == "22023"
-    wrong = Engine(spark, str(tmp_path / "root"), key=b"x" * 32)
+    refused(e, "flow()", "42704")
+
+
+def test_a_dropped_spec_starts_anew(spark, shelf):
+    e = shelf
+    deliver(spark, [("a", 1, 1, "x", True)])
+    n = run(e, "lib.shelf.1", "initial")
+    e.sql("drop build_spec lib.shelf.1")
+    assert e.table("lib.shelf").count() == e.current("lib.shelf").count() == e.as_of("lib.shelf", n).count() == 0
+    e.sql(SHELF_SPEC)
+    assert e.table("lib.shelf").count() == 0 and e.builds.window_from("lib.shelf", 1)[0] == n  # journals stay
+    run(e, "lib.shelf.1", "increment")
+    e.sql(SHELF_SPEC.replace("create", "create or replace"))
+    assert e.table("lib.shelf").count() == 1
+
+
+def test_connections_hide_their_secrets(spark, e, tmp_path):
+    fields = "host_name='127.0.0.1', port_num=1, database_name='d', user_name='u', password='hush!'"
+    e.sql(f"create postgres connection drum with ({fields})")
+    row = e.meta.last("connection", connection_code="drum")
+    assert "hush!" not in json.dumps(e.meta.rows, default=str) and e.secrets.open_fields(row["param_json"])["password"] == "hush!"
+    refused(e, "test drum", "08001")
+    refused(e, "test horn", "42704")
+    for change, part in ((("port_num=1", "port_num='1'"), "takes a number"), (("user_name='u'", "user_name='u', hat=1"), "no field"), (("password=", "user_name="), "twice"), ((", user_name='u', password='hush!'", ""), "needs a field")):
+        refused(e, f"create or replace postgres connection drum with ({fields.replace(*change)})", part=part)
+    refused(e, f"create postgres connection drum with ({fields})", "42710")
+    refused(e, f"create postgres connection warehouse with ({fields})", "22023")
     with pytest.raises(StrataError):
-        wrong.secrets.open_fields(row["param_json"])
+        Engine(spark, str(tmp_path / "root"), key=b"8" * 32).secrets.open_fields(row["param_json"])
 
 
-def test_two_engines_share_one_log(spark, engine, tmp_path):
+def test_two_engines_write_one_log(spark, e, tmp_path):
     other = Engine(spark, str(tmp_path / "root"))
-    engine.sql(DEAL)
-    assert error(other, DEAL).sqlstate == "42710"
-    other.sql("comment on dataset dm.deal is 'x'")
-    engine.sql("alter workspace add more")
-    assert [v["version_id"] for v in engine.meta.rows["version"]] == [1, 2, 3, 4]
-
-
-def test_journal_as_a_stream(spark, engine):
-    e = engine
-    e.sql(DEAL)
-    e.sql(DEAL_SPEC)
-    land(spark, [("n1", 1, True)])
-    n = build(e, "build('dm.deal', 1, 'initial')")
-    q = e.stream("build_log").writeStream.format("memory").queryName("journal_rows").start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.status_code for r in spark.sql(f"select * from journal_rows where build_id = {n} order by build_log_id").collect()][-1] == "done"
+    e.sql(SHELF)
+    refused(other, SHELF, "42710")
+    texts = [(x, f"comment on dataset lib.shelf is '{k}'") for k in range(6) for x in (e, other)]
+    threads = [threading.Thread(target=x.sql, args=(t,)) for x, t in texts]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(60)
+    e.meta.refresh()
+    assert [v["version_id"] for v in e.meta.rows["version"]] == list(range(1, 15))

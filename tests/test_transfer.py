@@ -1,6 +1,8 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 from strata.errors import StrataError
 from strata.operators import history as H
 from strata.operators import transfer as T
@@ -80,13 +82,17 @@ def test_empty_slices(spark):
 
 def test_validations(spark):
     ok = spark.createDataFrame([(1, 1, True, 5, "a"), (1, 1, None, None, None), (1, 2, False, None, None)], SLICE)
-    assert T.validate(ok, SHAPE, True) == 3
+    seen = T.survey(ok, SHAPE)
+    assert seen == {"rows": 3, "null_keys": 0, "lacking": 0}
+    T.validate(ok, seen, SHAPE, True)
     for bad, unique in (([(None, 1, False, 1, "a")], False), ([(1, 1, True, None, "a")], True), ([(1, 1, True, 1, "a")] * 2, True)):
         df = spark.createDataFrame(bad, SLICE)
         with pytest.raises(StrataError):
-            T.validate(df, SHAPE, unique)
+            T.validate(df, T.survey(df, SHAPE), SHAPE, unique)
+    made = spark.createDataFrame([(1, 1, True, None, "a", 1, 0, 0), (1, 2, False, None, "a", 0, 0, 1)], SLICE + ", inserted int, updated int, deleted int")
+    assert T.outcome(made, SHAPE) == ({"inserted_row_cnt": 1, "updated_row_cnt": 0, "deleted_row_cnt": 1}, 1)
     with pytest.raises(StrataError):
-        T.validate_versions(spark.createDataFrame([(1, 1, True, None, "a")], SLICE), SHAPE)
+        T.check_values(1)
     assert T.duplicate_key_count(spark.createDataFrame([(1, None, True, 1, "a")] * 3, SLICE), SHAPE).first()[0] == 2
 
 
@@ -102,3 +108,26 @@ def test_as_of_and_delta(spark):
     df = spark.createDataFrame([("a", 5, None, True), ("b", 3, 4, True), ("c", 5, None, False)], "k string, build_id long, end_build_id long, is_active boolean")
     assert sorted(r.k for r in H.as_of(df, 5).collect()) == ["a", "c"] and [r.k for r in H.as_of(df, 3).collect()] == ["b"]
     assert [r.k for r in H.delta(df, 4, 5).collect()] == ["a"] and len(H.delta(df, 0, 5, current=False).collect()) == 3
+
+
+def test_reads_from_the_log_equal_those_from_history(spark):
+    rng = random.Random(4)
+    log = spark.createDataFrame([(k % 3, k, b, rng.random() < 0.8, b, "a") for k in range(12) for b in sorted(rng.sample(range(1, 9), rng.randint(1, 6)))], LOG)
+    whole = H.store_history(log, SHAPE).cache()
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.select(*a.columns).collect()), key=str)
+    assert same(H.store_current(log, SHAPE), whole.filter("end_build_id is null"))
+    for p in range(10):
+        assert same(H.store_as_of(log, SHAPE, p), H.as_of(whole, p))
+        for q in range(p, 10):
+            for current in (True, False):
+                assert same(H.store_delta(log, SHAPE, p, q, current), H.delta(whole, p, q, current))
+
+
+def test_delta_and_as_of_prune_folders(spark, tmp_path):
+    spark.createDataFrame([(1, k, b, True, b, "a") for k in range(5) for b in (1, 2, 3, 4)], LOG).write.partitionBy("build_id").parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log").select("a", "b", F.col("build_id").cast("long").alias("build_id"), "is_active", "v", "w")
+    plan = H.store_delta(log, SHAPE, 2, 3)._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[[^\]]*\]", plan)
+    assert filters and all("> 2" in f for f in filters) and "Window" not in plan
+    plan = H.store_as_of(log, SHAPE, 2)._jdf.queryExecution().executedPlan().toString()
+    assert sorted("<= 2" in f for f in re.findall(r"PartitionFilters: \[[^\]]*\]", plan)) == [False, True] and "Window" not in plan
