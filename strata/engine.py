@@ -291,7 +291,8 @@ class Engine:
         return connectors.factory(lambda: self._jdbc(self.catalog.connection(C.Ref(code))))
 
     def warehouse_factory(self, land: Callable[[DataFrame], None] | None = None) -> Callable:
-        return connectors.factory(lambda: connectors.WarehouseHandle(self.spark, self.table, self.query, land))
+        reads = {"sql": self.query, "table": self.table, "current": self.current, "as_of": self.as_of, "delta": self.delta}
+        return connectors.factory(lambda: connectors.WarehouseHandle(self.spark, reads, land))
 
     def _python(self, c: C.PythonBlock, say: Callable[[str], None]) -> None:
         self.catalog.require()

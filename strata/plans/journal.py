@@ -94,9 +94,11 @@ def with_window(builds: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def window_from(builds: DataFrame, log: DataFrame, dataset: str, num: int) -> DataFrame:
-    """The lower border of a spec's delta: its last clean build that is done, else 0."""
+    """The lower border of a spec's delta: its last clean build that is done, and when that was; 0 and null without one."""
     own = clean_done(builds, log).filter((F.col("dataset_code") == dataset) & (F.col("build_spec_num") == num))
-    return own.agg(F.coalesce(F.max("build_id"), F.lit(0)).cast("long").alias("from_build_id"))
+    ended = log.groupBy("build_id").agg(F.max_by("log_time", "build_log_id").alias("log_time"))
+    last = own.join(ended, "build_id").agg(F.max(F.struct("build_id", "log_time")).alias("last"))
+    return last.select(F.coalesce("last.build_id", F.lit(0)).cast("long").alias("from_build_id"), F.col("last.log_time").alias("previous_time"))
 
 
 def window_to_manual(builds: DataFrame, flow_log: DataFrame) -> DataFrame:

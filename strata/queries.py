@@ -385,10 +385,10 @@ def active_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.active_readers(as_builds(spark, sf_dir), as_journal(spark, sf_dir), edges, "dm.base")
 
 
-@query("mode_sets", f"WITH {SPECS} SELECT dataset_code, build_spec_num, array_to_string(list_sort(['initial', CASE WHEN version_id % 2 = 0 THEN 'increment' ELSE 'allegro' END]), ',') AS modes FROM c")
+@query("mode_sets", f"WITH {SPECS} SELECT dataset_code, build_spec_num, array_to_string(list_sort(['initial', CASE WHEN version_id % 2 = 0 THEN 'increment' ELSE 'by_hand' END]), ',') AS modes FROM c")
 def mode_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = as_specs(spark, sf_dir)
-    modes = specs.select("dataset_code", "build_spec_num", "version_id", F.explode(F.array(F.lit("initial"), F.when(F.col("version_id") % 2 == 0, "increment").otherwise("allegro"))).alias("mode_code"))
+    modes = specs.select("dataset_code", "build_spec_num", "version_id", F.explode(F.array(F.lit("initial"), F.when(F.col("version_id") % 2 == 0, "increment").otherwise("by_hand"))).alias("mode_code"))
     return journal.mode_sets(specs, modes).withColumn("modes", F.array_join("modes", ","))
 
 
@@ -397,9 +397,12 @@ def specs_with_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.with_window(as_builds(spark, sf_dir), as_journal(spark, sf_dir))
 
 
-@query("window_from", f"WITH {BUILDS} SELECT coalesce(max(build_id), 0)::BIGINT AS from_build_id FROM b JOIN j USING (build_id) WHERE status_code = 'done' AND mode_code IN ('initial', 'increment', 'skip') AND dataset_code = 'dm.d3' AND build_spec_num = 2")
+@query("window_from", f"""WITH {BUILDS}, t AS (SELECT user_id AS build_id, arg_max(ts, event_id) AS log_time FROM events GROUP BY 1)
+    SELECT coalesce(max(build_id), 0)::BIGINT AS from_build_id, arg_max(log_time, build_id) AS previous_time FROM b JOIN j USING (build_id) JOIN t USING (build_id)
+    WHERE status_code = 'done' AND mode_code IN ('initial', 'increment', 'skip') AND dataset_code = 'dm.d3' AND build_spec_num = 2""")
 def window_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return journal.window_from(as_builds(spark, sf_dir), as_journal(spark, sf_dir), "dm.d3", 2)
+    log = as_journal(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("build_log_id"), F.col("ts").alias("log_time")), "build_log_id")
+    return journal.window_from(as_builds(spark, sf_dir), log, "dm.d3", 2)
 
 
 def as_flow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,32 +434,30 @@ def next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.next_id(events(spark, sf_dir), "event_id")
 
 
-@query("full_set_copy", EVENT.replace("event_id", "CAST(999999999 AS BIGINT) AS event_id") + " WHERE user_id = 7")
-def full_set_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).filter("user_id = 7").withColumn("event_id", F.lit(999_999_999).cast("long"))
-
-
 # 2.D: order and plan of a small graph, and the relay.
 
-GOLDEN = [
-    graph.LiveSpec("dm.cat", 1, "store", frozenset({"initial"})),
-    graph.LiveSpec("dm.deal", 1, "store", frozenset({"initial", "increment", "allegro"}), has_window=True),
-    graph.LiveSpec("dm.feed", 1, "mart", frozenset({"initial", "increment", "skip", "resend"}), frozenset({"dm.deal"})),
-    graph.LiveSpec("dm.pup", 1, "store", frozenset({"initial", "increment"}), frozenset({"dm.cat"}), has_window=True),
-    graph.LiveSpec("dm.slow", 1, "store", frozenset({"initial"})),
-    graph.LiveSpec("dm.rep", 1, "store", frozenset({"initial", "increment"}), frozenset({"dm.slow"}), has_window=True),
+LIBRARY = [
+    graph.LiveSpec("lib.shelf", 1, "store", frozenset({"initial", "increment", "by_branch"}), has_window=True),
+    graph.LiveSpec("lib.loan", 1, "store", frozenset({"initial", "increment"}), frozenset({"lib.shelf"}), has_window=True),
+    graph.LiveSpec("lib.loan", 2, "store", frozenset({"initial"})),
+    graph.LiveSpec("lib.rate", 1, "store", frozenset({"initial"})),
+    graph.LiveSpec("lib.fine", 1, "store", frozenset({"initial", "increment"}), frozenset({"lib.loan", "lib.rate"})),
+    graph.LiveSpec("out.label", 1, "mart", frozenset({"increment", "skip"}), frozenset({"lib.shelf"})),
+    graph.LiveSpec("out.letter", 1, "mart", frozenset({"initial", "increment", "skip"}), frozenset({"lib.fine"})),
 ]
 
 
-@query("topo_order", "SELECT * FROM (VALUES (1, 'dm.cat'), (2, 'dm.deal'), (3, 'dm.feed'), (4, 'dm.pup'), (5, 'dm.slow'), (6, 'dm.rep')) t(place, dataset_code)")
+@query("topo_order", "SELECT * FROM (VALUES (1, 'lib.rate'), (2, 'lib.shelf'), (3, 'lib.loan'), (4, 'lib.fine'), (5, 'out.label'), (6, 'out.letter')) t(place, dataset_code)")
 def topo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = {s.dataset: set(s.sources) for s in GOLDEN}
+    edges: dict[str, set[str]] = {}
+    for s in LIBRARY:
+        edges.setdefault(s.dataset, set()).update(s.sources)
     return spark.createDataFrame(list(enumerate(graph.order(set(edges), edges), 1)), "place int, dataset_code string")
 
 
-@query("flow_plan", "SELECT * FROM (VALUES (1, 'dm.cat', 1, 'initial'), (2, 'dm.deal', 1, 'increment'), (3, 'dm.feed', 1, 'increment'), (4, 'dm.pup', 1, 'increment'), (5, 'dm.slow', 1, 'initial'), (6, 'dm.rep', 1, 'increment')) t(place, dataset_code, num, mode_code)")
+@query("flow_plan", "SELECT * FROM (VALUES (1, 'lib.rate', 1, 'initial'), (2, 'lib.shelf', 1, 'increment'), (3, 'lib.loan', 1, 'increment'), (4, 'lib.loan', 2, 'initial'), (5, 'lib.fine', 1, 'initial'), (6, 'out.label', 1, 'increment'), (7, 'out.letter', 1, 'increment')) t(place, dataset_code, num, mode_code)")
 def flow_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, s.dataset, s.num, s.mode) for n, s in enumerate(graph.plan_flow(GOLDEN, {}), 1)]
+    rows = [(n, s.dataset, s.num, s.mode) for n, s in enumerate(graph.plan_flow(LIBRARY, {}), 1)]
     return spark.createDataFrame(rows, "place int, dataset_code string, num int, mode_code string")
 
 

@@ -119,9 +119,10 @@ def factory(make: Callable[[], object]) -> Callable:
 class WarehouseHandle:
     """What a body may do with the installation: query it, and land a slice for its build."""
 
-    def __init__(self, spark: SparkSession, read: Callable[[str], DataFrame], sql: Callable[[str], DataFrame], land: Callable[[DataFrame], None] | None):
-        self.spark, self.table, self.sql = spark, read, sql
-        self._land = land
+    def __init__(self, spark: SparkSession, reads: dict[str, Callable[..., DataFrame]], land: Callable[[DataFrame], None] | None):
+        self.spark, self._land = spark, land
+        # The engine's own reads: sql, table, current, as_of, delta.
+        self.__dict__ |= reads
 
     def write_interface(self, df: DataFrame) -> None:
         if self._land is None:
