@@ -1,7 +1,8 @@
 """Quality rules, line first: clean each line, then judge what is left of the document.
 
-Every line is held against rules for punctuation, navigation and boilerplate. Lines that
-fail any rule are removed. A document that loses more than ``MAX_LOST`` of the bytes of its
+Every line is held against rules for punctuation, navigation and boilerplate: by its signs
+and their share, by separators between few words, and by phrases of four languages, as a
+line's language isn't known. Lines that fail any rule are removed. A document that loses more than ``MAX_LOST`` of the bytes of its
 words, or keeps fewer than ``MIN_WORDS`` words, is rejected.
 
 Defined results. Words are runs of characters other than ASCII white space. Null text:
@@ -25,16 +26,35 @@ MIN_WORDS, MAX_REPEATED_PERCENT, SYMBOLS = 50, 50, b"#*$%&|<>"
 #: Fixed values of the line rules; texts are UTF-8 bytes throughout.
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 NAVIGATION = tuple(c.encode() for c in "|»›→•·")
-LINK_WORDS = frozenset(b"home,login,log in,sign in,sign up,menu,next,previous,share,tweet,search,contact,sitemap,subscribe".split(b","))
-BOILERPLATE = tuple(
-    x.encode()
-    for x in (
+#: By language: whole lines that are links, and what only boilerplate says.
+LINK_WORDS = {
+    "en": "home,login,log in,sign in,sign up,menu,next,previous,share,tweet,search,contact,sitemap,subscribe",
+    "de": "startseite,anmelden,abmelden,registrieren,menü,weiter,zurück,teilen,suche,kontakt,impressum,abonnieren",
+    "fr": "accueil,connexion,se connecter,s'inscrire,menu,suivant,précédent,partager,rechercher,contact,plan du site,s'abonner",
+    "es": "inicio,iniciar sesión,registrarse,menú,siguiente,anterior,compartir,buscar,contacto,mapa del sitio,suscribirse",
+}
+BOILERPLATE = {
+    "en": (
         "all rights reserved", "©", "copyright (c)", "terms of use", "terms of service", "privacy policy", "cookie policy",
         "accept cookies", "accept all cookies", "enable javascript", "javascript is disabled", "javascript is required",
         "lorem ipsum", "read more", "click here", "subscribe to our", "subscribe to the", "licensed under the", "powered by",
         "skip to content", "skip to main content",
-    )
-)
+    ),
+    "de": (
+        "alle rechte vorbehalten", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "cookies akzeptieren",
+        "alle cookies akzeptieren", "javascript aktivieren", "weiterlesen", "hier klicken", "newsletter abonnieren", "zum inhalt springen",
+    ),
+    "fr": (
+        "tous droits réservés", "conditions d'utilisation", "conditions générales", "politique de confidentialité", "accepter les cookies",
+        "accepter tous les cookies", "activer javascript", "lire la suite", "cliquez ici", "abonnez-vous à", "aller au contenu",
+    ),
+    "es": (
+        "todos los derechos reservados", "condiciones de uso", "términos y condiciones", "política de privacidad", "aceptar cookies",
+        "aceptar todas las cookies", "activar javascript", "leer más", "haga clic aquí", "suscríbete a", "saltar al contenido",
+    ),
+}
+_LINKS = frozenset(x.encode() for own in LINK_WORDS.values() for x in own.split(","))
+_BOILERPLATE = tuple(x.encode() for own in BOILERPLATE.values() for x in own)
 MAX_SYMBOL_SHARE, MAX_LINE_REPEAT, MAX_LOST = 0.10, 0.5, 0.40
 PLAIN = re.compile(rb"[0-9A-Za-z]")
 
@@ -80,11 +100,11 @@ def line_fails(line: bytes, words: list[bytes], navigation: bool = True, boilerp
         return "punctuation"
     if navigation and len(words) >= 3 and sum(map(line.count, NAVIGATION)) * 3 >= len(words):
         return "navigation"
-    if len(words) <= 3 and b" ".join(words).lower().rstrip(b" >:.!") in LINK_WORDS:
+    if len(words) <= 3 and b" ".join(words).lower().rstrip(b" >:.!") in _LINKS:
         return "navigation"
     if boilerplate:
         low = line.lower()
-        if any(x in low for x in BOILERPLATE):
+        if any(x in low for x in _BOILERPLATE):
             return "boilerplate"
     least = MAX_LINE_REPEAT * len(words)
     if len(words) >= 10 and (repeats is None or repeats > least) and repeated_words(words) > least:
@@ -101,7 +121,7 @@ def judge(text: bytes, with_text: bool = True) -> tuple:
     n_symbols = len(text) - len(text.translate(None, SYMBOLS))
     n_repeat = repeated_words(words)
     navigation = any(c in text for c in NAVIGATION)
-    boilerplate = any(x in low for x in BOILERPLATE)
+    boilerplate = any(x in low for x in _BOILERPLATE)
     seen: set[bytes] = set()
     n_dup, kept, kept_bytes, kept_words = 0, [], 0, 0
     for line in text.split(b"\n"):
