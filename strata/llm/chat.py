@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .secrets import let, running_sums
+
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", "</turn>\n"
 #: Fixed values of the template: what is escaped, and as what. The escape sign is first.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
@@ -92,20 +94,16 @@ def format_chat(
     # Texts that follow each other directly are one span: no prefix sums over parts for plain text.
     all_text = ~F.exists("p", lambda p: p["type"] != "text")
     whole = F.array(_span(F.col("n"), F.col("at"), body_at, F.col("at") + F.length("piece") - len(CLOSE)))
-    by_part = F.filter(
-        F.transform(
-            "v",
-            lambda _, i: F.when(
-                F.col("p")[i]["type"] == "text",
-                _span(
-                    F.col("n"),
-                    F.col("at"),
-                    body_at + F.aggregate(F.slice("v", F.lit(1), i), F.lit(0).cast("long"), lambda s, x: s + F.length(x)),
-                    body_at + F.aggregate(F.slice("v", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + F.length(x)),
-                ),
+    sizes = F.transform("v", lambda x: F.length(x).cast("long"))
+    by_part = let(
+        running_sums(sizes),
+        lambda stops: F.filter(
+            F.transform(
+                "v",
+                lambda x, i: F.when(F.col("p")[i]["type"] == "text", _span(F.col("n"), F.col("at"), body_at + stops[i] - F.length(x), body_at + stops[i])),
             ),
+            lambda s: s.isNotNull(),
         ),
-        lambda s: s.isNotNull(),
     )
     nothing = F.array().cast("array<struct<turn:bigint,turn_start:bigint,start:bigint,stop:bigint>>")
     attached = F.transform(
