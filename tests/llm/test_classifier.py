@@ -89,3 +89,35 @@ def test_training_pools_what_scoring_pools():
     # Windows of padding alone are nowhere pooled: a text and its longer copy of the same bytes agree.
     same = [b"abcd" * n for n in (4, 255, 256, 257, 300, 2000)]
     assert np.ptp(net.score(same)) < 1e-6
+
+
+def plain_score(net, text):
+    """The network in plain loops over one text."""
+    step, chunks = C.CHUNK - C.OVERLAP, []
+    at = 0
+    while True:
+        chunks.append(text[at : at + C.CHUNK])
+        if at + C.CHUNK >= len(text):
+            break
+        at += step
+    pooled = []
+    for chunk in chunks:
+        windows = max(-(-len(chunk) // C.STRIDE) - C.WIDTH // C.STRIDE, 0) + 1
+        padded = list(chunk) + [C.PAD] * (C.WIDTH + C.STRIDE)
+        best = [0.0] * C.FILTERS
+        for w in range(windows):
+            x = [float(v) for b in padded[w * C.STRIDE : w * C.STRIDE + C.WIDTH] for v in net.emb[b]]
+            for f in range(C.FILTERS):
+                best[f] = max(best[f], sum(a * float(k) for a, k in zip(x, net.conv[:, f], strict=True)) + float(net.bias[f]))
+        pooled.append(best)
+    feats = [max(c[f] for c in pooled) for f in range(C.FILTERS)] + [sum(c[f] for c in pooled) / len(pooled) for f in range(C.FILTERS)]
+    hidden = [np.tanh(sum(x * float(w) for x, w in zip(feats, net.w1[:, h], strict=True)) + float(net.b1[h])) for h in range(C.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(h * float(w) for h, w in zip(hidden, net.w2, strict=True)) + float(net.b2[0]))))
+
+
+def test_scores_equal_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    net = C.Network.fresh(rng)
+    net.bias += rng.standard_normal(C.FILTERS).astype(np.float32) * 0.2
+    texts = [b"", b"a", "é1234567".encode(), bytes(range(97, 123)) * 3, bytes(rng.integers(32, 127, 1023).astype(np.uint8)), bytes(rng.integers(32, 127, 1100).astype(np.uint8))]
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-4)
