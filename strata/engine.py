@@ -178,14 +178,21 @@ class Engine:
         found = statements(text)
         if len(found) == 1:
             text = found[0].text
-        return self.spark.sql(self._resolved(text))
+        views: dict[tuple[str, str], str] = {}
+        resolved = self._resolved(text, views)
+        try:
+            return self.spark.sql(resolved)  # which resolves names at once, so views can go
+        finally:
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
 
-    def _resolved(self, text: str) -> str:
+    def _resolved(self, text: str, made: dict[tuple[str, str], str]) -> str:
+        """``text`` with views in place of the workspace's names; ``made`` gets these views."""
         if not self.meta.installed():
             return text
         schemas = {*self.catalog.require()["usage"].split(","), META_SCHEMA}
         parts = [(s.kind, text[s.start : s.stop]) for s in spans(text)]
-        out, k, made = [], 0, {}
+        out, k = [], 0
         while k < len(parts):
             kind, raw = parts[k]
             own = kind == "word" and raw.lower() in schemas and not (out and out[-1] == ".")
@@ -196,7 +203,7 @@ class Engine:
                 view = made.get((raw.lower(), name)) or self._view(raw.lower(), name)
                 if view:
                     made[raw.lower(), name] = view
-                    out.append(view)
+                    out.append(f"`{view}`")
                     k += used
                     continue
             out.append(raw)
@@ -210,7 +217,7 @@ class Engine:
             return None
         view = f"strata_{schema}_{name}".replace("$", "iface") + f"_{uuid.uuid4().hex[:8]}"
         df.createOrReplaceTempView(view)
-        return f"`{view}`"
+        return view
 
     # Tables.
 
@@ -315,6 +322,6 @@ class Engine:
         self.catalog.require()
         if self.builds.runs or self.flows.runs:
             raise StrataError("builds or flows are running", sqlstate=INVALID_PARAMETER_VALUE)
-        for folder in ("_meta/log", "data", "iface"):
+        for folder in (MetaLog.FOLDER, MetaLog.CHECKPOINTS, "data", "iface"):
             self.files.drop(folder)
         self.meta.__init__(self.files)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from strata.engine import Engine
 from strata.errors import StrataError
-from strata.sources import storage
+from strata.sources import connectors, metalog, storage
 
 SHELF = "create store dataset lib.shelf (branch text, isbn bigint, copies integer, note text, primary key (branch, isbn))"
 SHELF_SPEC = """create build_spec lib.shelf.1 (init mode initial, incr mode increment, sect mode by_branch)
@@ -414,3 +414,38 @@ def test_two_engines_write_one_log(spark, e, tmp_path):
         t.join(60)
     e.meta.refresh()
     assert [v["version_id"] for v in e.meta.rows["version"]] == list(range(1, 15))
+
+
+def test_a_start_reads_the_newest_checkpoint(spark, e, tmp_path, monkeypatch):
+    monkeypatch.setattr(metalog, "FIRST_CHECKPOINT", 3)
+    e.sql(SHELF)
+    for k in range(12):
+        e.sql(f"comment on dataset lib.shelf is '{k}'")
+    assert [int(n.split(".")[0]) for n in e.files.names("_meta/checkpoint")] == [3, 6, 12]
+    read = []
+    files = type(e.files)(e.files.root)
+    files.read = lambda name, plain=files.read: read.append(name) or plain(name)
+    log = metalog.MetaLog(files)
+    log.refresh()
+    assert log.rows == e.meta.rows and len(read) == 3  # the checkpoint at 12, and commits 13 and 14
+
+
+def test_views_of_a_query_do_not_stay(spark, shelf):
+    before = {t.name for t in spark.catalog.listTables()}
+    got = shelf.sql("select a.isbn from lib.shelf a join lib.shelf_1 b on a.isbn = b.isbn join _meta.version v on true")
+    assert {t.name for t in spark.catalog.listTables()} == before and got.count() == 0
+
+
+def test_a_body_moves_rows_over_jdbc(spark, e, monkeypatch):
+    """Spark brings the embedded Derby; its addresses and probe stand in for a class of connections."""
+    kind = connectors.CLASSES["postgres"]
+    own = type(kind)(kind.fields, "jdbc:derby:memory:{database_name};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver", "select 1 as one from sysibm.sysdummy1")
+    monkeypatch.setitem(connectors.CLASSES, "postgres", own)
+    e.sql("create postgres connection drum with (host_name='x', port_num=1, database_name='strata', user_name='app', password='p')")
+    assert [r.message for r in e.sql("test drum").collect()] == ["TEST"]
+    with e.connection_factory("drum")() as db:
+        db.write(spark.createDataFrame([("a", k, k + 1, "n") for k in range(20)], "branch string, isbn long, copies int, note string"), "books")
+    e.sql(SHELF)
+    e.sql(SHELF_SPEC.replace("as python", "using drum as python").replace('w.write_interface(w.sql("select * from delivery"))', 'with drum() as db: w.write_interface(db.read("select * from books", "isbn", 0, 20, 4))'))
+    run(e, "lib.shelf.1", "initial")
+    assert e.table("lib.shelf").agg(F.count("*"), F.sum("copies")).first() == (20, 210)
