@@ -12,7 +12,8 @@ ids; then low bits, high bits (64-bit words), samples (32-bit), ids.
 
 Defined results. Null or empty text: the end id alone. Null ids sort first; documents
 with equal ids follow by text, and each keeps its own place. A document longer than a
-segment makes a segment of its own. An empty table gives no segments.
+segment makes a segment of its own; it is read and encoded whole, so a task's memory is
+in proportion to it. Other columns are left aside. An empty table gives no segments.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, stash
@@ -90,15 +91,6 @@ class EliasFano:
         place = word * 64 + (cut & -cut).bit_length() - 1
         return ((place - i) << self.low_width) | self.low_of(i)
 
-    def decode(self) -> np.ndarray:
-        """All ends at once."""
-        places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        ends = (places - np.arange(self.n)) << self.low_width
-        if self.low_width:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_width].reshape(self.n, self.low_width)
-            ends |= bits.astype(np.int64) @ (1 << np.arange(self.low_width))
-        return ends
-
 
 def write_segment(ids: np.ndarray, ends: np.ndarray, width: int) -> bytes:
     code = EliasFano.encode(ends)
@@ -132,7 +124,8 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_col: str = "d
     width = 2 if max(vocabulary_size(definition) - 1, end_id) < 1 << 16 else 4
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange("i").sortWithinPartitions(F.asc_nulls_first("i"), "t")
+    # A very common id is split where its texts begin differently, so it fills no task alone.
+    rows = rows.repartitionByRange(F.asc_nulls_first("i"), F.substring("t", 1, 32)).sortWithinPartitions(F.asc_nulls_first("i"), "t")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +170,6 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     """
     bound_batches(segments.sparkSession)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    from pyspark.sql import Window
-
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     placed = segments.join(F.broadcast(bases), "part").select("doc_ids", (F.col("base") + F.col("before")).alias("at"), "data")
 
@@ -186,7 +177,7 @@ def read_tokens(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for names, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, code = read_segment(data)
-                ends = code.decode()
+                ends = np.array([code.select(i) for i in range(code.n)], np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 plain = ids.astype("<u4")
                 sums = [zlib.crc32(plain[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -83,15 +83,15 @@ class Encoder:
         split: dict[bytes, list[str]] = {}
         whole: list[bytes] = []
         simple, pieces = SIMPLE.fullmatch, PIECES.findall
-        for word in new:
-            text = word.decode("utf-8")
+        texts = b"\n".join(new).decode("utf-8").split("\n") if new else []
+        for word, text in zip(new, texts, strict=True):
             if simple(text) and not (special and any(s in word for s in special)):
                 split[word] = pieces(text.lower())
             else:
                 whole.append(word)
         self._pieces(sorted(self.pieces.missing(set().union(*split.values()))))
-        known = self.pieces.young
-        out = {word: b"".join([known[p] for p in own]) for word, own in split.items()}
+        known = self.pieces.young.__getitem__
+        out = {word: known(own[0]) if len(own) == 1 else b"".join(map(known, own)) for word, own in split.items()}
         out.update(zip(whole, self._library([w.decode("utf-8") for w in whole]), strict=True))
         return out
 
@@ -103,7 +103,7 @@ class Encoder:
         own = self._words(list(new), [s for s in self.special if any(s in t for t in texts)])
         known = self.words.young
         known.update(own)
-        out = [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in own:
             if len(w) > CACHED_LENGTH:
                 del known[w]

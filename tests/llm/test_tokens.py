@@ -49,8 +49,7 @@ def test_elias_fano_round_trip_and_select(n):
         ends = np.cumsum(rng.integers(0, high, n))
         ids = rng.integers(0, 49408, ends[-1])
         back, code = token_files.read_segment(token_files.write_segment(ids, ends, 2))
-        assert (back == ids).all() and (code.decode() == ends).all()
-        assert all(code.select(i) == ends[i] for i in range(0, n, max(1, n // 50)))
+        assert (back == ids).all() and [code.select(i) for i in range(code.n)] == ends.tolist()
 
 
 def test_boundaries_take_little_space():
@@ -100,7 +99,7 @@ def test_packing_keeps_every_token(spark):
     check_packing(got, 32)
     found = {}
     for r in got:
-        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        assert len(r.ids) == 2 * r.length and zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4").tobytes()) == r.ids_crc32
         found.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
     for (i, _), ids in zip(rows, whole([t for _, t in rows]), strict=True):
         cuts = [(k, at, min(32, len(ids) - at)) for k, at in enumerate(range(0, len(ids), 32))]
