@@ -14,8 +14,9 @@ ranks of its pieces go to which class; a piece's rank follows from counts per wr
 task, so a very common length isn't gathered anywhere.
 
 Defined results. Null or empty text: the end id alone, one piece. Only documents longer
-than the capacity are cut. Repeated documents and ids are packed one by one. An empty
-table gives no rows.
+than the capacity are cut; a very long one is encoded whole, so a task's memory is in
+proportion to it. Null ids stay null. Repeated documents and ids are packed one by one.
+Other columns are left aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, stash
-from .tokens import encoder, groups_of
+from .tokens import encoder, groups_of, vocabulary_size
 
 CAPACITY = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long"
@@ -40,12 +41,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids b
 def cut_pieces(docs: DataFrame, definition: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", by_words: bool = False, with_ids: bool = True) -> DataFrame:
     """Pieces of tokenized documents, written; ``nth`` counts equal lengths within a task's ``part``.
 
-    ``ids`` holds little-endian unsigned 32-bit integers (null without ``with_ids``).
+    ``ids`` holds little-endian unsigned integers of 16 bits, or of 32 if the vocabulary needs
+    them (null without ``with_ids``); ``ids_crc32`` is that of 32-bit integers.
     """
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     end = np.array([end_id], "<u4").tobytes()
+    narrow = max(vocabulary_size(definition) - 1, end_id) < 1 << 16
+
+    def kept(own: bytes) -> bytes:
+        return np.frombuffer(own, "<u4").astype("<u2").tobytes() if narrow else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part = encoder(sent.value, by_words), TaskContext.get().partitionId()
@@ -59,7 +65,7 @@ def cut_pieces(docs: DataFrame, definition: str, end_id: int, capacity: int = CA
                     for k, at in enumerate(range(0, len(blob), 4 * capacity)):
                         own = blob[at : at + 4 * capacity]
                         n = len(own) // 4
-                        out.append((name, k, at // 4, n, zlib.crc32(own), own if with_ids else None, part, int(seen[n])))
+                        out.append((name, k, at // 4, n, zlib.crc32(own), kept(own) if with_ids else None, part, int(seen[n])))
                         seen[n] += 1
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -37,7 +37,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = F.array(*[F.struct(F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role")) for t, r in enumerate(("user", "assistant"))])
+    probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(said).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     made = chat.format_chat(rows)
     back = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("learned"))
@@ -53,8 +54,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), END_ID, by_words=True, with_ids=False)
-    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    got = packing.pack(table(spark, sf_dir, "documents"), tokenizer(), END_ID, by_words=True)
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
