@@ -6,9 +6,9 @@ maximum there, over the windows that start in the text and end no later than its
 byte, rounded up to a stride. Over the document's chunks, the maximum and the mean of
 these feed one hidden layer and one probability.
 
-It is trained on the driver on a bounded sample: the ``sample_rows`` labelled rows with
-the least hashes of their ids (fewer if there are fewer), up to the row with which their
-texts reach ``SAMPLE_BYTES``. Every text, in training as in scoring, is read whole and
+It is trained by one task on a bounded sample: the ``sample_rows`` labelled rows with the
+least hashes of their ids (fewer if there are fewer), up to the row with which their texts
+reach ``SAMPLE_BYTES``. Only the network comes to the driver. Every text, in training as in scoring, is read whole and
 pooled over the same windows of all of its chunks.
 
 Defined results. Null or empty text: one chunk of padding, which has a score like any
@@ -19,14 +19,17 @@ share of label 1 in the sample (0.5 if it is empty). An empty table gives no row
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_struct
+from .common import bound_batches, with_struct
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 1024, 64, 8, 4
 EMBEDDING, FILTERS, HIDDEN = 8, 48, 16
@@ -209,8 +212,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = (F.xxhash64("i"), "i", "y", "body")
     before = F.sum(F.octet_length("body").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     first = texts.join(F.broadcast(sample), "i").orderBy(*order).limit(sample_rows)
-    rows = first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SAMPLE_BYTES).orderBy(*order).collect()
-    return train([r.body.encode() for r in rows], [r.y for r in rows])
+    rows = first.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SAMPLE_BYTES).select("body", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies, labels = [], []
+        for batch in batches:
+            bodies += batch.column(0).cast(pa.binary()).to_pylist()
+            labels += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(bodies, labels))], pa.binary())], names=["net"])
+
+    bound_batches(docs.sparkSession)
+    made = rows.mapInArrow(run, "net binary").collect()  # the sample is one partition, in order
+    return pickle.loads(made[0].net) if made else train([], [])
 
 
 def classify(docs: DataFrame, net: Network, text_col: str = "text", out: str = "judged") -> DataFrame:
