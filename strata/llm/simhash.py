@@ -14,22 +14,23 @@ by a task of its own. A tile returns a spanning forest of its links, never all p
 Forests are joined into components by alternating large-star and small-star steps on
 distributed tables; nothing of a document's size or number reaches the driver.
 
-For a similarity of shingle sets, where repeats of a shingle must not count and far more
-bits would differ, ``similar_documents`` works on the sets of distinct shingles (as 64-bit
-hashes) in two steps:
-
-* candidates: 256 min-wise hash functions a set, which agree with a probability of the
-  Jaccard similarity J, whatever the sets' sizes. Sets that agree in one of 42 bands of 6
-  functions are compared by sketches of one bit a function, with a radius over five
-  standard deviations above the mean at 0.8. At J = 0.8 a pair has no common band with a
-  probability of 3e-6, and a larger one less;
+For a similarity of shingle sets far more bits would differ, and repeats of a shingle must
+not count. There ``similar_documents`` works on the sets of distinct shingles in two steps:
+
+* candidates: 256-bit SimHashes of the sets, compared as above. At a Jaccard similarity J
+  of 0.8 large sets differ in 38.8 bits on average, sets of four and five members in 48, with
+  a standard deviation of 6.2 at most, so a radius of 80 loses a pair with a probability
+  below 3e-7. Blocks of bits can't bring pairs
+  together at such a radius: sets meet if they agree in one of 28 bands of 5 min-wise
+  functions, which happens with the probability 1 - (1 - J^5)^28, all but 2e-5 at 0.8;
 * links: within the components of candidates, every pair that can reach the similarity
   (by its rarest shingles) is counted exactly, so none below it is ever linked.
 
 Defined results. Null or empty text, or no words: fingerprint zero, linked like any
 other. Fewer words than a shingle: one shingle of all words. Equal fingerprints are one
 node, so copies are never paired. A component's id is the smallest id in it; null ids are
-skipped unless all are null. Repeated rows stay. An empty table gives no rows.
+skipped unless all are null. Repeated rows stay. Very long texts are read whole; a task's
+memory is in proportion to the longest one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,16 +44,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, stash, with_struct
+from .common import bound_batches, fresh, named, stash, with_struct
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of a group that one part holds; a tile holds two parts.
 TILE = 4096
 #: Rows that a task compares at once, besides those of one tile.
 ROWS_AT_ONCE = 1 << 15
-#: For similarities: min-wise functions, those of a band, and differing bits of candidates'
-#: sketches at most (25.6 on average at 0.8, with a standard deviation of 4.8).
-FUNCTIONS, BAND, SKETCH_RADIUS = 256, 6, 52
+#: For similarities: bands and min-wise functions of each; words of a SimHash and differing bits at most.
+BANDS, BAND, WORDS, FAR = 28, 5, 4, 80
+#: Keys with so many rows that they are joined by a broadcast: at most this many.
+HUBS = 50_000
 #: Shingles of a component of candidates that one part holds; a tile holds two parts.
 PART = 1 << 20
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -188,16 +190,37 @@ def _keys(fp: Column, radius: int) -> Column:
 
 def forest(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the distinct ``fp`` of ``fps``."""
-    return _compared(fps.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"), F.col("fp").alias("w0")), 1, radius, tile)
+    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"))
+    return _compared(keyed, fps.select("fp", F.col("fp").alias("w0")), radius, tile)
 
 
-def _compared(keyed: DataFrame, words: int, radius: int, tile: int) -> DataFrame:
-    """Edges between nodes ``fp`` that share a ``key`` and whose words ``w0``, ... differ in few bits."""
+def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values`` (one row per key, and how many rows have it, as ``n``).
+
+    A key with many of the ``total`` rows would meet in one task: there are at most HUBS
+    such keys, so these are broadcast, and their rows stay where they are.
+    """
+    many = F.col("n") > max(1000, total // HUBS)
+    hubs = F.broadcast(values.filter(many))
+    near = rows.join(hubs, key)
+    far = rows.join(F.broadcast(values.filter(many).select(key)), key, "left_anti").join(values.filter(~many), key)
+    return near.unionByName(far).drop("n")
+
+
+def _compared(keyed: DataFrame, nodes: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Edges between nodes ``fp`` that share a ``key`` and whose words (the other columns of ``nodes``) differ in few bits."""
     bound_batches(keyed.sparkSession)
-    names = [f"w{k}" for k in range(words)]
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > tile)
-    parts = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
-    salted = keyed.join(large, "key", "left").select("key", "fp", *names, parts.alias("s"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
+    names = [c for c in nodes.columns if c != "fp"]
+    words = len(names)
+    # Most keys have one node; only the others carry words along.
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = keyed.join(several.hint("merge"), "key")
+    if words > 1:
+        met = met.join(nodes, "fp")
+    else:
+        met = met.withColumn(names[0], F.col("fp"))
+    parts = F.ceil(F.col("n") / tile).cast("int")
+    salted = met.select("key", "fp", *names, parts.alias("s"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
     pairs = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda x: x != F.col("own")), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
     )
@@ -246,22 +269,24 @@ def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes of ``edges`` (a, b); the root is a component's least node.
 
     Large-star and small-star steps alternate until nothing changes. Each step needs the
-    least neighbour of each node, an aggregate with a partial stage, so a node with very
-    many edges isn't gathered.
+    least neighbour of each node: an aggregate with a partial stage, and a join by which
+    the edges of a node with very many aren't gathered.
     """
 
     def state(df: DataFrame) -> tuple:
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return r.n, r.h
 
+    def with_least(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        return spread_join(rows, least, "a", 2 * before[0])
+
     now = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
+        large = with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
         now = stash(small.select("e.a", "e.b").filter("a <> b").distinct(), "stars")
         after = state(now)
         if after == before:
@@ -271,12 +296,15 @@ def star_components(edges: DataFrame) -> DataFrame:
 
 
 def _components(printed: DataFrame, edges: DataFrame) -> DataFrame:
-    """``printed`` (doc_id, fp, ...) with ``root`` and ``component_id``."""
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """Per node ``fp`` of ``printed`` (doc_id, fp): its ``root``, ``component_id`` and number ``n`` of rows."""
+    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = star_components(edges)
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return printed.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+    # Written, as the joins below read them more than once.
+    rooted = stash(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")), "rooted")
+    several = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1"), "roots")
+    alone = rooted.join(several.select("root"), "root", "left_anti").select("fp", "root", F.col("least").alias("component_id"), F.col("rows").alias("n"))
+    joined = spread_join(rooted, several, "root", HUBS).select("fp", "root", "component_id", F.col("rows").alias("n"))
+    return stash(alone.unionByName(joined), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -284,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     printed = with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "simhash", size)
     printed = stash(printed.select("doc_id", F.col("simhash.fp").alias("fp")), "fingerprints")
     edges = forest(printed.select("fp").distinct(), radius, tile)
-    return _components(printed, edges).select("doc_id", "fp", "component_id")
+    return spread_join(printed, _components(printed, edges), "fp", printed.count()).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
@@ -294,41 +322,44 @@ def shingle_set(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(s, seed) for s in set(shingles_of(text, size))], np.uint64))
 
 
-def minima(own: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """The least value of each min-wise function over a set of hashes."""
+def bands_of(own: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """A key per band of min-wise functions over a set of hashes."""
     rng = np.random.default_rng(seed)
-    flips, odd = rng.integers(0, 1 << 64, (2, FUNCTIONS), np.uint64)
+    flips, odd = rng.integers(0, 1 << 64, (2, BANDS * BAND), np.uint64)
     odd |= np.uint64(1)
-    least = np.full(FUNCTIONS, ~np.uint64(0))
+    least = np.full(BANDS * BAND, ~np.uint64(0))
     for a in range(0, len(own), 256):
         np.minimum(least, ((own[a : a + 256, None] ^ flips) * odd).min(axis=0), out=least)
-    return least
-
-
-def sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A mixed bit of each minimum, in 64-bit words; and a key per band."""
-    bits = np.packbits((least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.uint8), bitorder="little")
-    bands = len(least) // BAND
-    rows = least[: bands * BAND].reshape(bands, BAND)
-    keys = np.arange(bands, dtype=np.uint64)
-    for column in rows.T:
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
         keys = (keys ^ column) * np.uint64(0xC2B2AE3D27D4EB4F)
         keys ^= keys >> np.uint64(29)
-    return bits.view(np.int64), keys.view(np.int64)
+    return keys.view(np.int64)
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes in WORDS words; each word is a majority over the hashes, mixed anew."""
+    counts = np.zeros(64 * WORDS, np.int64)
+    turns = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)[:WORDS]
+    for a in range(0, len(own), 1 << 12):
+        mixed = own[a : a + (1 << 12), None] * turns
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(own), bitorder="little").view(np.int64)
 
 
 def with_sketches(docs: DataFrame, text_col: str, out: str, size: int) -> DataFrame:
-    """``docs`` with the struct ``out``: ``fp`` (of the whole shingle set), sketch words ``w0``, ... and ``bands``."""
+    """``docs`` with the struct ``out``: ``fp`` (of the whole shingle set), SimHash words ``w0``, ... and ``bands``."""
     from xxhash import xxh64_intdigest
 
-    names = [f"w{k}" for k in range(FUNCTIONS // 64)]
+    names = [f"w{k}" for k in range(WORDS)]
 
     def work(texts: list[bytes]) -> dict:
         sets = [shingle_set(t, size) for t in texts]
-        made = [sketch(minima(s)) for s in sets]
-        words = np.array([w for w, _ in made], np.int64).reshape(-1, len(names))
+        words = np.array([wide_fingerprint(s) for s in sets], np.int64).reshape(-1, WORDS)
         fps = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return {"fp": fps, "bands": [b for _, b in made]} | {n: words[:, k].copy() for k, n in enumerate(names)}
+        return {"fp": fps, "bands": [bands_of(s) for s in sets]} | {n: words[:, k].copy() for k, n in enumerate(names)}
 
     fields = [T.StructField(n, T.LongType()) for n in ("fp", *names)]
     return with_struct(docs, text_col, out, T.StructType([*fields, T.StructField("bands", T.ArrayType(T.LongType()))]), lambda: work)
@@ -386,14 +417,12 @@ def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return labels
 
 
-def _confirmed(texts: DataFrame, rooted: DataFrame, size: int, similarity: float, tile: int, part: int) -> DataFrame:
+def _confirmed(members: DataFrame, size: int, similarity: float, tile: int, part: int) -> DataFrame:
     """Edges between nodes of one component of candidates whose sets reach the similarity.
 
-    ``texts``: fp, text; ``rooted``: node, root. Components larger than a part are cut into
-    salted parts, and each pair of parts is compared by a task of its own.
+    ``members``: root, fp, text, one row per node. Components larger than a part are cut
+    into salted parts, and each pair of parts is compared by a task of its own.
     """
-    nodes = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
-    members = texts.join(nodes, texts.fp == nodes.node).dropDuplicates(["fp"]).select("root", "fp", "text")
 
     def with_sets(texts: list[bytes]) -> dict:
         sets = [shingle_set(t, size) for t in texts]
@@ -402,7 +431,8 @@ def _confirmed(texts: DataFrame, rooted: DataFrame, size: int, similarity: float
     kind = T.StructType([T.StructField("hashes", T.BinaryType()), T.StructField("n", T.LongType())])
     sets = stash(with_struct(members, "text", "own", kind, lambda: with_sets).select("root", "fp", "own.hashes", "own.n"), "sets")
     parts = F.greatest(F.ceil(F.sum("n") / part), F.ceil(F.count("*") / tile)).cast("int")
-    large = sets.groupBy("root").agg(parts.alias("s")).filter("s > 1")
+    # Written, so that its size is known and sets stay in place where it is small.
+    large = stash(sets.groupBy("root").agg(parts.alias("s")).filter("s > 1"), "large")
     salted = sets.join(large, "root", "left").withColumn("s", F.coalesce("s", F.lit(1))).withColumn("at", F.pmod(F.xxhash64("fp"), "s").cast("int"))
     pairs = F.when(F.col("s") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda x: x != F.col("at")), lambda x: F.struct(F.least(x, F.col("at")).alias("i"), F.greatest(x, F.col("at")).alias("j")))
@@ -433,30 +463,59 @@ def _confirmed(texts: DataFrame, rooted: DataFrame, size: int, similarity: float
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, tile: int, part: int) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` stashed with sketches, the name of their column, and per set: fp, root, component_id, n."""
+    out = fresh(docs, "sketch")
+    printed = stash(with_sketches(docs, text_col, out, size), "similar")
+    words = [f"w{k}" for k in range(WORDS)]
+    ids = printed.select(named(id_col).alias("doc_id"), F.col(f"{out}.fp").alias("fp"))
+    sketches = stash(printed.select(f"{out}.*").dropDuplicates(["fp"]), "sketches")
+    candidates = _compared(sketches.select("fp", F.explode("bands").alias("key")), sketches.select("fp", *words), FAR, tile)
+    rooted = star_components(candidates)
+    nodes = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
+    # One document of each set in a component gives its text.
+    first = ids.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(nodes, F.col("fp") == F.col("node")).select("root", "fp", "doc_id")
+    first = stash(first, "members")  # so that its size is known, and texts stay in place where it is small
+    texts = printed.select(named(id_col).alias("id"), F.col(f"{out}.fp").alias("own"), named(text_col).alias("text"))
+    chosen = texts.join(first, (F.col("own") == F.col("fp")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    members = chosen.select("root", "fp", "text").dropDuplicates(["fp"])
+    return printed, out, _components(ids, _confirmed(members, size, similarity, tile, part))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile: int = TILE, part: int = PART) -> DataFrame:
-    """``docs`` with the struct ``group``: fp, root and component_id.
+    """Per row of ``docs``: doc_id, fp, root and component_id.
 
     Two documents link if the Jaccard similarity of their shingle sets is ``similarity``
     or more; groups are the components of all links. Candidates are tuned to 0.8 or more.
     """
-    kept = docs.select(*[c for c in docs.columns if c.lower() not in ("group", "simhash")])
-    printed = stash(with_sketches(kept, text_col, "simhash", size), "similar")
-    node = F.col("simhash.fp")
-    words = [f"w{k}" for k in range(FUNCTIONS // 64)]
-    nodes = printed.select(node.alias("fp"), *[F.col(f"simhash.{w}").alias(w) for w in words], F.col("simhash.bands").alias("bands")).dropDuplicates(["fp"])
-    candidates = _compared(nodes.select("fp", F.explode("bands").alias("key"), *words), len(words), SKETCH_RADIUS, tile)
-    texts = printed.select(node.alias("fp"), F.col(text_col).alias("text"))
-    edges = _confirmed(texts, star_components(candidates), size, similarity, tile, part)
-    found = _components(printed.select(F.col(id_col).alias("doc_id"), node.alias("fp")).distinct(), edges)
-    group = F.struct("fp", "root", "component_id").alias("group")
-    by_id = found.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), group)
-    joined = printed.withColumn("__fp0", node).join(by_id, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp0") == F.col("__fp")))
-    return joined.drop("__id", "__fp", "__fp0", "simhash")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group of similar ones: that with the smallest id."""
-    columns = docs.columns
-    found = similar_documents(docs, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("group.component_id")))
-    # Rows that repeat an id within a group, too, come down to one.
-    return found.withColumn("__root", F.col("group.root")).dropDuplicates([id_col, "__root"]).select(*columns)
+    printed, out, groups = _similar(docs, id_col, text_col, size, similarity, tile, part)
+    ids = printed.select(named(id_col).alias("doc_id"), F.col(f"{out}.fp").alias("fp"))
+    return spread_join(ids, groups, "fp", ids.count()).select("doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tile: int = TILE, part: int = PART) -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that with the smallest id.
+
+    Null ids come last. Of rows that share this id, in a group, the one with the least
+    text stays, nulls first; of equal texts, the one with the least hash of its columns.
+    Only ids travel until it is known which rows go; a join then takes these out.
+    """
+    printed, out, groups = _similar(docs, id_col, text_col, size, similarity, tile, part)
+    fp = F.col(f"{out}.fp")
+    ids = stash(printed.select(named(id_col).alias("id"), fp.alias("fp")).groupBy("id", "fp").agg(F.count("*").alias("times")), "ids")
+    grouped = stash(spread_join(ids, groups, "fp", ids.count()), "grouped")
+    # A group's rows with its smallest id, and those that are one too many.
+    several = grouped.groupBy("root").agg(F.sum("times").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("kept")).filter("n > 1")
+    named_rows = stash(spread_join(grouped.select("id", "fp", "root", "times"), stash(several, "several"), "root", HUBS), "named")
+    loses = ~F.col("id").eqNullSafe(F.col("kept.id"))
+    tied = named_rows.filter(~loses).groupBy("root").agg(F.sum("times").alias("rows")).filter("rows > 1").select("root", F.lit(True).alias("tied"))
+    marks = named_rows.join(tied, "root", "left").filter(loses | F.col("tied")).select("id", "fp", "root", (~loses).alias("tied"))
+    marks = stash(marks.toDF("m_id", "m_fp", "m_root", "m_tied"), "marks")
+    columns = [named(c) for c in docs.columns]
+    hashed = [named(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    row = F.struct(F.struct(*columns).alias("row"), fp.alias("fp"), named(id_col).alias("id"), F.struct(named(text_col), F.xxhash64(*hashed)).alias("order"))
+    rows = printed.select(row.alias("r"))
+    same = (F.col("r.fp") == F.col("m_fp")) & F.col("r.id").eqNullSafe(F.col("m_id"))
+    stay = rows.join(marks, same, "left_anti").select("r.row")
+    last = rows.join(marks.filter("m_tied"), same).groupBy("m_root").agg(F.min_by("r.row", "r.order").alias("row")).select("row")
+    return stay.unionByName(last).select("row.*")

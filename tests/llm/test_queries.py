@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import test_decontaminate as t1
@@ -146,12 +147,41 @@ def test_pipeline_stages(spark, tables):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+CLASHING = ("group", "simhash", "sketch", "__id", "__root", "benchmark_leak", "leak", "secret_spans", "secrets", "quality_judged", "judged", "fp", "root", "row", "m_id", "id", "n", "key", "a b.c")
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tables):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    for k, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id")))
+    before = {r.doc_id: tuple(r)[5:] for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, tables[0])
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) > 50 and all(tuple(r)[5:] == before[r.doc_id] for r in rows)
+    assert corpus_pipeline.STAGES[4][1](spark, docs, tables[0]).count() >= docs.count()
+
+
 def test_stages_take_odd_rows(spark, tables):
-    kind = "doc_id long, text string, lang string, source string, n_chars long, GROUP string, secret_spans int, quality_judged string, benchmark_leak long, root int"
-    rows = [(None, None, None, None, None, None, None, None, None, None), (1, "", None, None, 0, "g", 1, "q", 2, 3), (1, "", None, None, 0, "g", 1, "q", 2, 3), (2, "word " * 100_000, "en", "s", None, None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "word " * 100_000, "en", "s", None)]
     odd = spark.createDataFrame(rows, kind)
     for df in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:4]:
             out = stage(spark, df, tables[0])
             assert out.columns == odd.columns and out.count() <= 4
         assert corpus_pipeline.STAGES[4][1](spark, df, tables[0]).count() >= 0
+
+
+def test_near_dedup_has_one_survivor_of_ties(spark, tables):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(7, text, "b"), (7, text, "a"), (7, text + " more", "c"), (7, None, "d"), (7, "", "e"), (None, text, "f"), (8, text, "g"), (None, "alone here", "h"), (None, "alone here", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 5):
+        got = corpus_pipeline.near_dedup(spark, df.repartition(parts), tables[0]).collect()
+        # Equal texts: the least hash of the columns; of null and empty: null.
+        assert sorted((r.doc_id or 0, r.text) for r in got if r.text is not None) == [(0, "alone here"), (7, text)]
+        assert [r.source for r in got if r.text is None] == ["d"] and len(got) == 3
+        first = got if parts == 1 else first
+        assert sorted(map(str, got)) == sorted(map(str, first))

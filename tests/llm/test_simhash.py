@@ -181,7 +181,7 @@ def test_components_of_candidates_are_cut_into_parts(spark):
     want = roots(range(60), [(i, j) for i in range(60) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for part in (2000, S.PART):
-        got = {r.doc_id: r.group.component_id for r in S.similar_documents(df, part=part, tile=16).collect()}
+        got = {r.doc_id: r.component_id for r in S.similar_documents(df, part=part, tile=16).collect()}
         assert got == want
 
 
