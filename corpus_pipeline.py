@@ -1,7 +1,15 @@
 """The corpus pipeline: STAGES, run in order, each over all that its predecessor kept.
 
-Every stage but the last returns the columns of ``documents``. Between stages the rows
-rest in a written table, so lost executors cost no more than the stage that runs.
+Every stage but the last returns the columns of its documents, whatever their names.
+Between stages the rows rest in a written table, so lost executors cost no more than the
+stage that runs.
+
+Defined results. Null texts count as empty: the classifier scores them, all empty ones are
+near duplicates of each other, they hold no benchmark window and no secret, and pack as
+the end id alone; a null text stays null. Null ids come last among near duplicates. Very
+long texts are read whole. Of repeated rows near-dedup keeps one (see ``one_of_each``).
+Empty tables give no rows; without usable labels no document is rejected. Further columns
+pass through unchanged.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import classifier, decontaminate, packing, secrets, simhash
-from strata.llm.common import stash, table
+from strata.llm.common import fresh, stash, table
 from strata.llm.queries import END_ID, tokenizer
 
 KEPT_FROM = 0.7
@@ -23,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = classifier.fit(docs, table(spark, sf_dir, "labels"))
     if net.constant is not None:
         return docs
-    judged = classifier.classify(docs, net, out="quality_judged")
-    return judged.filter(F.col("quality_judged.score") >= KEPT_FROM).select(*docs.columns)
+    out = fresh(docs, "judged")
+    judged = classifier.classify(docs, net, out=out)
+    return judged.filter(F.col(f"{out}.score") >= KEPT_FROM).drop(out)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,21 +43,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out="benchmark_leak")
-    return found.filter(F.col("benchmark_leak.n_hit") == 0).select(*docs.columns)
+    out = fresh(docs, "leak")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), out=out)
+    return found.filter(F.col(f"{out}.n_hit") == 0).drop(out)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
-    found = secrets.find_secrets(docs, out="secret_spans")
-    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("secret_spans")))
-    return clean.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = fresh(docs, "secrets")
+    found = secrets.find_secrets(docs, out=out)
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(out)))
+    changed = F.when(F.size(out) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", changed).drop(out)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences of at most 4096 tokens."""
-    got = packing.pack(docs, tokenizer(), END_ID, by_words=True, with_ids=False)
-    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    got = packing.pack(docs, tokenizer(), END_ID, by_words=True)
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
