@@ -57,6 +57,8 @@ BANDS, BAND, WORDS, FAR = 28, 5, 4, 80
 HUBS = 50_000
 #: Shingles of a component of candidates that one part holds; a tile holds two parts.
 PART = 1 << 20
+#: Bits of a bitmap, as ``bitmap_construct_agg`` makes it.
+BITMAP = 1 << 15
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -463,22 +465,43 @@ def _confirmed(members: DataFrame, size: int, similarity: float, tile: int, part
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _in_place(rows: DataFrame, row: Column, marked: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the boolean column ``out``: whether the number ``row`` is in ``marked`` (row).
+
+    No row moves. What is broadcast is a bit per number, in bitmaps of 4 KB for 32768 numbers;
+    every task that numbered rows begins a bitmap of its own, and those without a mark are left out.
+    """
+    at, bits = fresh(rows, "bitmap_at"), fresh(rows, "bitmap")
+    place = F.col("row").bitwiseAND(F.lit(BITMAP - 1))
+    maps = marked.groupBy(F.shiftright("row", BITMAP.bit_length() - 1).alias(at)).agg(F.bitmap_construct_agg(place).alias(bits))
+    joined = rows.join(F.broadcast(maps), F.shiftright(row, BITMAP.bit_length() - 1) == F.col(at), "left")
+    own = row.bitwiseAND(F.lit(BITMAP - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(own, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, own.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+    return joined.withColumn(out, found).drop(at, bits)
+
+
 def _similar(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, tile: int, part: int) -> tuple[DataFrame, str, DataFrame]:
-    """``docs`` stashed with sketches, the name of their column, and per set: fp, root, component_id, n."""
+    """``docs`` stashed with sketches, the name of their column, and per set: fp, root, component_id, n.
+
+    The sketch holds the number ``row`` of its row, which no other row has.
+    """
     out = fresh(docs, "sketch")
-    printed = stash(with_sketches(docs, text_col, out, size), "similar")
+    sketched = with_sketches(docs, text_col, out, size)
+    printed = stash(sketched.withColumn(out, F.col(out).withField("row", F.monotonically_increasing_id())), "similar")
     words = [f"w{k}" for k in range(WORDS)]
-    ids = printed.select(named(id_col).alias("doc_id"), F.col(f"{out}.fp").alias("fp"))
-    sketches = stash(printed.select(f"{out}.*").dropDuplicates(["fp"]), "sketches")
+    fp, row = F.col(f"{out}.fp").alias("fp"), F.col(f"{out}.row").alias("row")
+    sketches = stash(printed.select(*[F.col(f"{out}.{c}") for c in ("fp", *words, "bands")]).dropDuplicates(["fp"]), "sketches")
     candidates = _compared(sketches.select("fp", F.explode("bands").alias("key")), sketches.select("fp", *words), FAR, tile)
     rooted = star_components(candidates)
     nodes = rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
-    # One document of each set in a component gives its text.
-    first = ids.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(nodes, F.col("fp") == F.col("node")).select("root", "fp", "doc_id")
-    first = stash(first, "members")  # so that its size is known, and texts stay in place where it is small
-    texts = printed.select(named(id_col).alias("id"), F.col(f"{out}.fp").alias("own"), named(text_col).alias("text"))
-    chosen = texts.join(first, (F.col("own") == F.col("fp")) & F.col("id").eqNullSafe(F.col("doc_id")))
-    members = chosen.select("root", "fp", "text").dropDuplicates(["fp"])
+    # One row of each set in a component gives its text; the texts of other rows stay in place.
+    first = printed.select(fp, row).groupBy("fp").agg(F.min("row").alias("row")).join(nodes, F.col("fp") == F.col("node")).select("root", "row")
+    first = stash(first, "members")
+    texts = printed.select(fp, row, named(text_col).alias("text"))
+    chosen = _in_place(texts, F.col("row"), first, "chosen").filter("chosen")
+    members = chosen.join(first, "row").select("root", "fp", "text")
+    ids = printed.select(named(id_col).alias("doc_id"), fp)
     return printed, out, _components(ids, _confirmed(members, size, similarity, tile, part))
 
 
@@ -498,24 +521,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null ids come last. Of rows that share this id, in a group, the one with the least
     text stays, nulls first; of equal texts, the one with the least hash of its columns.
-    Only ids travel until it is known which rows go; a join then takes these out.
+    Only ids travel until it is known which rows go. These are then taken out where they
+    lie, and of all rows only those that share the id of the one that stays are moved.
     """
     printed, out, groups = _similar(docs, id_col, text_col, size, similarity, tile, part)
-    fp = F.col(f"{out}.fp")
-    ids = stash(printed.select(named(id_col).alias("id"), fp.alias("fp")).groupBy("id", "fp").agg(F.count("*").alias("times")), "ids")
-    grouped = stash(spread_join(ids, groups, "fp", ids.count()), "grouped")
+    ids = printed.select(named(id_col).alias("id"), F.col(f"{out}.fp").alias("fp"), F.col(f"{out}.row").alias("row"))
+    grouped = stash(spread_join(ids, groups, "fp", ids.count()).select("id", "row", "root"), "grouped")
     # A group's rows with its smallest id, and those that are one too many.
-    several = grouped.groupBy("root").agg(F.sum("times").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("kept")).filter("n > 1")
-    named_rows = stash(spread_join(grouped.select("id", "fp", "root", "times"), stash(several, "several"), "root", HUBS), "named")
+    several = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("kept")).filter("n > 1")
+    named_rows = stash(spread_join(grouped, stash(several, "several"), "root", HUBS), "named")
     loses = ~F.col("id").eqNullSafe(F.col("kept.id"))
-    tied = named_rows.filter(~loses).groupBy("root").agg(F.sum("times").alias("rows")).filter("rows > 1").select("root", F.lit(True).alias("tied"))
-    marks = named_rows.join(tied, "root", "left").filter(loses | F.col("tied")).select("id", "fp", "root", (~loses).alias("tied"))
-    marks = stash(marks.toDF("m_id", "m_fp", "m_root", "m_tied"), "marks")
+    best = named_rows.filter(~loses).select("row", "root")
+    tied = best.join(best.groupBy("root").agg(F.count("*").alias("rows")).filter("rows > 1").select("root"), "root").select("row", "root")
+    tied = stash(tied.toDF("m_row", "m_root"), "tied")
+    marks = stash(named_rows.filter(loses).select("row").unionByName(tied.select(F.col("m_row").alias("row"))), "marks")
     columns = [named(c) for c in docs.columns]
     hashed = [named(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
-    row = F.struct(F.struct(*columns).alias("row"), fp.alias("fp"), named(id_col).alias("id"), F.struct(named(text_col), F.xxhash64(*hashed)).alias("order"))
-    rows = printed.select(row.alias("r"))
-    same = (F.col("r.fp") == F.col("m_fp")) & F.col("r.id").eqNullSafe(F.col("m_id"))
-    stay = rows.join(marks, same, "left_anti").select("r.row")
-    last = rows.join(marks.filter("m_tied"), same).groupBy("m_root").agg(F.min_by("r.row", "r.order").alias("row")).select("row")
+    order = F.struct(named(text_col), F.xxhash64(*hashed))
+    rows = printed.select(F.struct(F.struct(*columns).alias("row"), F.col(f"{out}.row").alias("nth"), order.alias("order")).alias("r"))
+    at = F.col("r.nth")
+    stay = _in_place(rows, at, marks, "gone").filter("not gone").select("r.row")
+    rivals = _in_place(rows, at, tied.select(F.col("m_row").alias("row")), "rival").filter("rival")
+    last = rivals.join(tied, at == F.col("m_row")).groupBy("m_root").agg(F.min_by("r.row", "r.order").alias("row")).select("row")
     return stay.unionByName(last).select("row.*")

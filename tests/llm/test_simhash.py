@@ -194,3 +194,46 @@ def test_repeated_lines_count_once(spark):
     assert jaccard(rows[0][1], rows[1][1]) < 0.1 and jaccard(rows[2][1], rows[3][1]) > 0.9
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in S.one_of_each(df).collect()) == [0, 1, 2]
+
+
+def test_rows_are_marked_where_they_lie(spark):
+    rows = spark.range(0, 80_000, 1, 2).select("id", F.monotonically_increasing_id().alias("row"), F.lit("x").alias("bitmap"))
+    numbers = {r.id: r.row for r in rows.collect()}
+    want = {0, 7, 8, 32_767, 32_768, 39_999, 40_000, 79_999, *random.Random(9).sample(range(80_000), 500)}
+    marks = spark.createDataFrame([(numbers[i],) for i in want for _ in range(2)], "row long")
+    got = S._in_place(rows, F.col("row"), marks, "hit")
+    assert got.columns == ["id", "row", "bitmap", "hit"] and got.count() == 80_000
+    assert {r.id for r in got.filter("hit").collect()} == want
+    assert S._in_place(rows, F.col("row"), marks.limit(0), "hit").filter("hit").count() == 0
+
+
+def test_rows_that_share_the_id_that_stays(spark):
+    rng = random.Random(10)
+    a, b, c = ([f"w{rng.randrange(50_000)}" for _ in range(100)] for _ in range(3))
+    text = lambda words, last: " ".join([*words[:-1], last])
+    rows = [(5, text(a, "z"), 1), (5, text(a, "b"), 2), (5, text(a, "b"), 2), (6, text(a, "a"), 3)]
+    rows += [(None, text(b, "z"), 4), (None, text(b, "y"), 5), (None, text(c, "z"), 6), (9, text(c, "z"), 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m_row long").repartition(3)
+    assert sorted(tuple(r) for r in S.one_of_each(df).select("m_row", "doc_id").collect()) == [(2, 5), (5, None), (7, 9)]
+
+
+def test_texts_stay_in_place_at_any_size(spark):
+    rng = random.Random(12)
+    draw = lambda: f"{rng.getrandbits(40):x}"
+    texts = [[draw() for _ in range(3000)] for _ in range(100)]
+    texts += [[*t[:-1], draw()] for t in texts[:5]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4).localCheckpoint()
+    sc = spark.sparkContext
+
+    def written() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables of ids were large
+    try:
+        assert {r.doc_id for r in S.one_of_each(df).select("doc_id", F.length("text")).collect()} == set(range(100))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written() - before < sum(len(" ".join(t)) for t in texts) / 2
