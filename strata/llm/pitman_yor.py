@@ -22,8 +22,8 @@ from functools import lru_cache
 import numpy as np
 
 EXACT, PATHS = 256, 24
-#: Entries that are weighed at once.
-AT_ONCE = 1 << 14
+#: Entries that are weighed at once; customers up to which weights are products, not sums of logarithms.
+AT_ONCE, PRODUCTS = 1 << 14, 16
 
 
 @lru_cache(maxsize=8)
@@ -52,17 +52,16 @@ def seat(c: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray, discou
     c = c.astype(np.int64)
     t = np.minimum(c, 1)
     few = np.flatnonzero((c > 1) & (c <= exact))
-    few = few[np.argsort(c[few], kind="stable")]
+    few = few[np.argsort(c[few].astype(np.uint16) if exact < 1 << 16 else c[few], kind="stable")]
     for own in np.split(few, np.flatnonzero(np.diff(c[few])) + 1):
         if not len(own):
             continue
         n = int(c[own[0]])
-        i, ways = np.arange(1, n), log_stirling(discount, max(exact, 2))[n, 1 : n + 1]
+        ways, weigh = log_stirling(discount, max(exact, 2))[n, 1 : n + 1], _by_products if n <= PRODUCTS else _by_logarithms
         for at in range(0, len(own), AT_ONCE):
             part = own[at : at + AT_ONCE]
-            grow = (strength + discount * (others[part, None] + i)) * (a[part, None] + i) / (b[part, None] + i)
-            weight = np.concatenate([np.zeros((len(part), 1)), np.cumsum(np.log(grow), axis=1)], axis=1) + ways
-            t[part] = 1 + np.argmax(weight - np.log(-np.log(rng.random(weight.shape))), axis=1)
+            up_to = weigh(ways, others[part], a[part], b[part], discount, strength)
+            t[part] = 1 + (up_to[:-1] <= rng.random(len(part)) * up_to[-1]).sum(axis=0)
     many = np.flatnonzero(c > exact)
     for at in range(0, len(many), AT_ONCE):
         part = many[at : at + AT_ONCE]
@@ -70,6 +69,26 @@ def seat(c: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray, discou
     return t
 
 
+def _by_products(ways: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Running sums of the weights of 1, 2, ... tables: a row for each number, a column for each entry."""
+    ways = np.exp(ways - ways.max())
+    up_to = np.empty((len(ways), len(a)))
+    up_to[0], weight, first = ways[0], np.ones(len(a)), strength + discount * others
+    for i in range(1, len(ways)):
+        weight *= (first + discount * i) * (a + i) / (b + i)
+        np.add(up_to[i - 1], weight * ways[i], out=up_to[i])
+    return up_to
+
+
+def _by_logarithms(ways: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """As ``_by_products``, for any number of tables."""
+    i = np.arange(1, len(ways))[:, None]
+    weight = np.zeros((len(ways), len(a)))
+    np.cumsum(np.log((strength + discount * (others + i)) * (a + i) / (b + i)), axis=0, out=weight[1:])
+    weight += ways[:, None]
+    return np.cumsum(np.exp(weight - weight.max(axis=0)), axis=0)
+
+
 def _seat_in_jumps(c: np.ndarray, others: np.ndarray, a: np.ndarray, b: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
     """One of PATHS seatings of each entry's customers, by importance."""
     n = len(c)

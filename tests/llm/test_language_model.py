@@ -2,6 +2,7 @@ import collections
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -223,3 +224,56 @@ def test_a_common_word_is_spread():
             assert len(n) == buckets and n.max() <= max(100_000 / buckets, 5 * 100_000 / np.sqrt(buckets) / 2)
         n = np.bincount(L.bucket_of(words, words[::-1], buckets), minlength=buckets)
         assert n.max() <= 5 * 100_000 / buckets
+
+
+def test_words_are_split_by_their_rule():
+    texts = ["", " ", "a", " A\x1cb\x85 \tÉé\x0b\x0c\r\nZ ", "x\u2003y\u00a0z", "\x00 \x1f", "end "]
+    words, n = L.split_words([t.encode() for t in texts])
+    want = [WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) for t in texts]
+    assert [w.decode() for w in words.to_pylist()] == sum(want, []) and n.tolist() == [len(w) for w in want]
+    for texts in ([b""], [b"", b" "], [b"a"]):
+        words, n = L.split_words(texts)
+        assert len(words) == n.sum() and len(n) == len(texts)
+
+
+def test_sorted_places_with_and_without_room_for_them():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 1000):
+        for most in (1, 7, 1 << 40, 1 << 62):
+            keys = rng.integers(0, most, n)
+            got, places = L.sort_places(keys, most)
+            assert (places == np.argsort(keys, kind="stable")).all() and (got == keys[places]).all()
+
+
+def test_a_chunk_handles_distinct_words_one_by_one_but_not_their_repeats():
+    def calls(texts):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event in ("call", "c_call")
+
+        before = sys.getprofile()
+        sys.setprofile(count)
+        try:
+            blobs_ = list(L.Chunk(texts, np.ones(len(texts), bool)).sent(3, True))
+        finally:
+            sys.setprofile(before)
+        assert blobs_
+        return n
+
+    text = " ".join(f"w{i * i % 97}" for i in range(500)).encode()
+    L.Chunk([text], np.ones(1, bool))
+    assert calls([text] * 100) < 1.5 * calls([text])
+
+
+def test_both_ways_to_weigh_tables_agree():
+    rng = np.random.default_rng(9)
+    b = rng.random(50) * 1e6 + 1
+    for n in (2, 3, 16):
+        ways, others, a = P.log_stirling(0.6, 256)[n, 1 : n + 1], rng.integers(0, 10**6, 50), b * rng.random(50)
+        one, other = (f(ways, others, a, b, 0.6, 1.0) for f in (P._by_products, P._by_logarithms))
+        assert np.allclose(one / one[-1], other / other[-1], rtol=1e-9)
+    # Products stay finite, whatever a corpus may hold.
+    far = P._by_products(P.log_stirling(0.95, 256)[P.PRODUCTS, 1 : P.PRODUCTS + 1], np.array([1e12, 0.0]), np.array([1e12, 1e-12]), np.array([1e12, 1e12]), 0.95, 1.0)
+    assert np.isfinite(far).all() and (far[-1] > 0).all()
