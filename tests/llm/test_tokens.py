@@ -1,4 +1,6 @@
 import random
+import re
+import sys
 import zlib
 
 import numpy as np
@@ -151,3 +153,44 @@ def test_plan_of_a_huge_histogram_is_fast():
     total = sum(s * n for s, n in counts.items())
     assert sum(t for t, _, _ in classes) <= 1.01 * total / 4096
     assert sum(len(r) for r in packing.slots(classes).values()) < 500_000
+
+
+def test_pieces_are_those_of_their_rule():
+    simple, rule = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]+"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+    rng = random.Random(3)
+    signs = "abrevlstmdSTÀÖØßöøÿÞ''''05-_\x00\x1c\x7f×÷éİ日\U0001f600"
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    held = K.is_simple([w.encode() for w in words]).tolist()
+    assert held == [bool(simple.fullmatch(w)) for w in words]
+    words = [w for w, h in zip(words, held, strict=True) if h]
+    pieces, counts = K.split_pieces([w.encode() for w in words])
+    want = [rule.findall(w.lower()) for w in words]
+    assert [p.decode() for p in pieces.to_pylist()] == sum(want, []) and counts.tolist() == [len(x) for x in want]
+
+
+def test_ids_are_put_together_in_order():
+    blobs = [np.array(x, "<u4").tobytes() for x in ([5], [], [7, 8, 9])]
+    got = K.put_together(blobs, np.array([2, 0, 1, 2]), np.array([0, 2, 0, 2, 0]))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[], [7, 8, 9, 5], [], [7, 8, 9], []]
+    assert K.put_together([], np.zeros(0, np.int64), np.array([0, 0])) == [b"", b""] and K.put_together([], np.zeros(0, np.int64), np.array([], np.int64)) == []
+
+
+def test_new_words_of_known_pieces_take_few_calls():
+    encoder = K.Encoder(DEFINITION, True)
+    parts = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    encoder.packed([" ".join(parts).encode() + b" -"])
+    text = " ".join(f"{a}-{b}" for a in parts for b in parts[:50]).encode()
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        [got] = encoder.packed([text])
+    finally:
+        sys.setprofile(before)
+    assert n < 3 * 5000
+    assert np.frombuffer(got, "<u4").tolist() == whole([text.decode()])[0][:-1].tolist()
